@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm.contexts import op5_contextual_personal_data
 from textquarry.llm.fingerprints import op9_scaled_fingerprints
 from textquarry.llm.mixing import op3_fair_queue_mixing
+from textquarry.llm.near_dups import op7_minhash_near_duplicates
 from textquarry.llm.packing import op2_pattern_packing
 from textquarry.llm.secrets import op10_linked_secrets
 from textquarry.llm.token_counts import op1_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fair_queue_mixing": op3_fair_queue_mixing,
     "op5_contextual_personal_data": op5_contextual_personal_data,
+    "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op9_scaled_fingerprints": op9_scaled_fingerprints,
     "op10_linked_secrets": op10_linked_secrets,
 }
