@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm.contexts import op5_contextual_personal_data
 from textquarry.llm.fingerprints import op9_scaled_fingerprints
+from textquarry.llm.language_model import op4_hidden_markov_scores
 from textquarry.llm.mixing import op3_fair_queue_mixing
 from textquarry.llm.near_dups import op7_minhash_near_duplicates
 from textquarry.llm.packing import op2_pattern_packing
+from textquarry.llm.quality_classifier import op6_ordinal_quality
+from textquarry.llm.quality_rules import op8_learned_quality_rules
 from textquarry.llm.secrets import op10_linked_secrets
 from textquarry.llm.token_counts import op1_token_counts
 
@@ -18,8 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fair_queue_mixing": op3_fair_queue_mixing,
+    "op4_hidden_markov_scores": op4_hidden_markov_scores,
     "op5_contextual_personal_data": op5_contextual_personal_data,
+    "op6_ordinal_quality": op6_ordinal_quality,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
+    "op8_learned_quality_rules": op8_learned_quality_rules,
     "op9_scaled_fingerprints": op9_scaled_fingerprints,
     "op10_linked_secrets": op10_linked_secrets,
 }
