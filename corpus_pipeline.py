@@ -1,11 +1,76 @@
-"""The corpus pipeline: classify, deduplicate, redact, mix and pack documents."""
+"""The corpus pipeline: classify, deduplicate, redact, mix and pack documents.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, read again from Parquet. All but the
+last return the columns of documents; the mix repeats rows that it takes twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.llm.common import shared_folder, staged, table, text_or_empty
+from textquarry.llm.contexts import personal_data, redact
+from textquarry.llm.mixing import mix
+from textquarry.llm.near_dups import few, near_duplicates
+from textquarry.llm.packing import pack_documents
+from textquarry.llm.quality_classifier import classify, train
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier accepts; null and empty texts are judged like any other."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, model).filter("accepted").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five words, 0.8), the one with the least id; one row of each id. Rows without an id or without words stay."""
+    found = staged(near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80))
+    gone = few(staged(found.filter("not kept").select("doc_id").distinct()))
+    left = docs.join(gone, "doc_id", "left_anti")
+    often = few(staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
+    once = left.join(often, "doc_id", "left_anti")
+    return once.unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; null texts stay null."""
+    clean = redact(docs, personal_data(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else clean.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, to the nearest whole copy; equal rows share their copies evenly."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", text_or_empty()))
+    taken = mix(keyed, keep=("_key",)).withColumn("_copies", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"))
+    copies = few(staged(taken.filter("_copies > 0 or size = 0").groupBy("_key").agg(F.round(F.avg(F.greatest("_copies", (F.col("size") == 0).cast("int")))).cast("int").alias("_copies"))))
+    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their places in sequences of 4096."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("PII", remove_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Learned weights, bootstrapped patterns and tokenizers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written as Parquet and read again."""
+    shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = staged(docs) if k < len(STAGES) else docs
     return docs

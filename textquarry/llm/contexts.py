@@ -160,9 +160,10 @@ def score_patterns(seen: DataFrame, rounds: int = 3, support: int = 3) -> DataFr
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5, rounds: int = 3, text: str = "text") -> DataFrame:
-    """Rows (doc_id, _row, base, added): spans (start, kind, end) of the base rules and of the bootstrap."""
-    own = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.arrow_udf(find, FOUND)(text_or_empty(text)).alias("_found"))
-    kept = staged(own.select("doc_id", "_row", "_found.*"))
+    """Rows (doc_id, _row, _key, base, added): _key is a hash of id and text; spans (start, kind, end) of the base rules and of the bootstrap."""
+    whole = text_or_empty(text)
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", whole).alias("_key"), F.arrow_udf(find, FOUND)(whole).alias("_found"))
+    kept = staged(own.select("doc_id", "_row", "_key", "_found.*"))
     seen = kept.filter(F.size("mentions") > 0).select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
     scores = score_patterns(seen.drop("_row"), rounds).filter(F.col("score") >= threshold)
     order = F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.col("kind"))
@@ -176,19 +177,24 @@ def op5_contextual_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(table(spark, sf_dir, "documents")), KINDS)
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with each span of found (doc_id, base, added) replaced by <kind>; found must have one row per doc_id."""
-    spans = found.select("doc_id", F.concat("base", "added").alias("_spans")).filter(F.size("_spans") > 0)
+def redact(docs: DataFrame, found: DataFrame, most: int = 500_000) -> DataFrame:
+    """docs with each span of found replaced by <kind>. Rows with spans are broadcast up to `most` of them, else joined by a shuffle."""
+    spans = staged(found.filter(F.size("base") + F.size("added") > 0).select("_key", F.concat("base", "added").alias("_spans")).dropDuplicates(["_key"]))
+    if spans.limit(most + 1).count() <= most:
+        spans = F.broadcast(spans)
 
     @F.arrow_udf("string")
     def cover(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or not s else covered(x, s) for x, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+        return pa.array([covered(x, s) for x, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return docs.join(spans, "doc_id", "left").withColumn("text", cover("text", "_spans")).drop("_spans")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", text_or_empty())).join(spans, "_key", "left")
+    return keyed.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cover("text", F.coalesce("_spans", F.array().cast("array<struct<start:int,kind:string,end:int>>"))))).drop("_key", "_spans")
 
 
-def covered(text: str, spans: list[dict]) -> str:
-    """text with its spans replaced by <kind>; of overlapping spans the first, longest one counts."""
+def covered(text: str | None, spans: list[dict]) -> str | None:
+    """text with its spans replaced by <kind>; overlapping spans are covered as one, by the first and longest one's kind."""
+    if not text or not spans:
+        return text
     out, at = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
         if s["start"] >= at:

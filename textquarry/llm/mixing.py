@@ -90,9 +90,9 @@ def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240, repeats:
     return queue.withColumns({"taken": taken, "finish_time": finish}).drop("_s", "_null", "_b", "_bucket", "_buckets", "_at", "_upto", "_before", "source_rows")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240) -> DataFrame:
-    """Mix documents (doc_id, text, source): one row per document with size, source_size, target, taken and finish_time."""
-    own = sizes(docs.select("doc_id", "source", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Mix documents (doc_id, text, source): one row per document with size, source_size, target, taken, finish_time and the columns to keep."""
+    own = sizes(docs.select("doc_id", "source", "text", *keep)).drop("text").withColumn("_row", F.monotonically_increasing_id())
     sized = staged(own)
     return fair_queue(sized, staged(source_targets(sized, weights, share)), seed)
 
