@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from textquarry.plans import detection, flagship
+
+QUERIES = {"flagship_app_summary": flagship.app_summary} | detection.QUERIES
+ORACLE_SQL = {"flagship_app_summary": flagship.SQL} | detection.ORACLE_SQL
