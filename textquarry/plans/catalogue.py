@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.plans import detection, flagship
+from textquarry.plans import corpus, detection, flagship
 
-QUERIES = {"flagship_app_summary": flagship.app_summary} | detection.QUERIES
-ORACLE_SQL = {"flagship_app_summary": flagship.SQL} | detection.ORACLE_SQL
+QUERIES = {"flagship_app_summary": flagship.app_summary} | detection.QUERIES | corpus.QUERIES
+ORACLE_SQL = {"flagship_app_summary": flagship.SQL} | detection.ORACLE_SQL | corpus.ORACLE_SQL
