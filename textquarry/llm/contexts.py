@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import staged, table, text_or_empty
+from textquarry.llm.common import slices, staged, table, text_or_empty
 from textquarry.llm.spans import digest_columns
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,7 +36,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates: identifier-like tokens with a digit or an at sign.
-CANDIDATE = re.compile(r"[+(]?[A-Za-z0-9][A-Za-z0-9@._%+()/:\[\]-]*")
+CANDIDATE = re.compile(r"[+(]?[A-Za-z0-9](?:[A-Za-z0-9@._%+()/:\[\]-]|(?<=[0-9])\x20(?=[0-9(]))*")
 LONGEST = 80  # characters of a candidate; identifiers are short
 MARK = re.compile(r"[0-9@]")
 WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,24})[\x20\x09-\x0D]*\Z")
@@ -85,8 +85,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> str:
-    """Runs of digits as 9, capitals as A, small letters as a; other signs stay."""
-    return DIGITS.sub("9", UPPERS.sub("A", LOWERS.sub("a", token)))
+    """Runs of digits as one to four 9 by length (3, 7, 13 and more), of capitals as A, of small letters as a; other signs stay."""
+    return DIGITS.sub(lambda m: "9" * (1 + bisect_left((4, 8, 14), len(m[0]) + 1)), UPPERS.sub("A", LOWERS.sub("a", token)))
 
 
 def left_context(text: str, start: int) -> str:
@@ -124,7 +124,7 @@ FOUND_TYPE = pa.struct([
 
 def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = ("start", "end", "kind", "before", "shape", "string")
-    for batch in batches:
+    for batch in slices(batches):
         done = []
         for x in batch.to_pylist():
             base = base_spans(x)
