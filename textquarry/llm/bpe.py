@@ -26,7 +26,7 @@ def byte_symbols() -> dict[str, int]:
 class Transducer:
     """Exact byte-pair encoding of single pretokens, from the text of a tokenizers .json file with a byte-level BPE model."""
 
-    def __init__(self, spec: str, most_pairs: int = 500_000):
+    def __init__(self, spec: str, most_pairs: int = 300_000):
         model = json.loads(spec)["model"]
         symbols, self.end = byte_symbols(), model.get("end_of_word_suffix") or ""
         vocab, self.most_pairs = model["vocab"], most_pairs

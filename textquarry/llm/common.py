@@ -74,6 +74,25 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 400):
+    """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small."""
+    for batch in batches:
+        for k in range(0, max(1, len(batch)), rows):
+            yield batch.slice(k, rows)
+
+
+_MADE: dict = {}
+
+
+def once(kind, *args):
+    """kind(*args), made once in a Python worker and used by its later tasks too; only the latest one is kept."""
+    key = kind, args
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = kind(*args)
+    return _MADE[key]
+
+
 def rounds(texts: list, limit: int = ROUND_CHARS):
     """Ranges (start, end) of a list of strings with about `limit` characters each, one text at least."""
     start = total = 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table, text_or_empty
+from textquarry.llm.common import slices, table, text_or_empty
 from textquarry.llm.shingles import Shingles
 
 #: Ranges of ids that are dealt out, at most; each bound is one number on the driver.
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, shingle: int = 5, scale: int = 8, text: str = "t
     @F.arrow_udf("string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cut = Shingles(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([as_text(sketch(cut(x), scale)) for x in batch.to_pylist()], pa.string())
 
     return df.withColumn("fingerprint", of(text_or_empty(text)))
@@ -114,7 +114,7 @@ def compare_with_edits(docs: DataFrame, shingle: int = 5, scale: int = 8) -> Dat
             other = sketch(cut(edited), scale)
             return doc_id, len(before), hashlib.sha256(edited.encode()).hexdigest(), as_text(kept), as_text(other), likeness(kept, other), likeness(kept, own), containment(kept, other)
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for at, ahead, doc_id, text in zip(*(batch.column(x).to_pylist() for x in ("range", "ahead", "doc_id", "text")), strict=True):
                 if last is None and ahead:

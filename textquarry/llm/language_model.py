@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept
-from textquarry.llm.common import WORD_REGEX, ascii_lower, staged, table, text_or_empty
+from textquarry.llm.common import WORD_REGEX, ascii_lower, slices, staged, table, text_or_empty
 
 #: Words with a class of their own; classes of the rest; latent states; tokens of a training segment.
 FREQUENT, SHARED, STATES, SEGMENT = 16_384, 512, 8, 32
@@ -106,7 +106,7 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
         frequent = {w: k for w, (k, _) in v.frequent.items()}
         logs = np.log10(np.array([c for _, c in v.frequent.values()] or [0.0]) + SMOOTH) - np.log10(max(v.norm, SMOOTH))
         end = np.log10(v.ends + SMOOTH) - np.log10(v.norm)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x in batch.to_pylist():
                 words = x.encode().split()
@@ -191,7 +191,7 @@ def one_pass(training: DataFrame, model: Model, vocab: Vocabulary) -> tuple[Mode
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end, classes = shared.value
         emit, moves, starts, likelihood = np.zeros((classes, states)), np.zeros((states, states)), np.zeros((2, states)), 0.0
-        for batch in batches:
+        for batch in slices(batches):
             for table, length, begins in segments(batch.column(0).to_pylist(), end):
                 state, m, s, p = expected_counts(model, table, length, begins)
                 flat = table.reshape(-1)

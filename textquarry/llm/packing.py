@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept, Transducer
-from textquarry.llm.common import rounds, staged, table, text_or_empty
+from textquarry.llm.common import once, rounds, slices, staged, table, text_or_empty
 from textquarry.llm.token_counts import tokenizer_text
 
 #: Rows of a salted bucket of equal lengths, and buckets of one length at most.
@@ -45,7 +45,7 @@ class WordTokens:
     between spaces and line ends; each distinct part is encoded once.
     """
 
-    def __init__(self, spec: str, most_words: int = 800_000):
+    def __init__(self, spec: str, most_words: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -81,8 +81,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids:binary>>")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, width = WordTokens(spec.value), 4 * capacity
-        for batch in batches:
+        words, width = once(WordTokens, spec.value), 4 * capacity
+        for batch in slices(batches):
             texts, done = batch.to_pylist(), []
             for a, b in rounds(texts):
                 offsets, piece, start, ids = [0], [], [], []
@@ -107,6 +107,8 @@ def patterns(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
         k = bisect.bisect_right(lengths, room)
         return lengths[k - 1] if k else 0
 
+    if not lengths:
+        return []
     spread = sorted({lengths[round(q * (len(lengths) - 1) / 8)] for q in range(9)})
     found = set()
     for a in lengths:
@@ -231,14 +233,14 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenize, cut and pack documents (doc_id, text): one row per piece, with the crc32 of its ids."""
     own = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    cut = token_pieces(own, tokenizer_path, capacity, end_id).select("doc_id", "_row", F.explode("pieces").alias("p"))
+    cut = token_pieces(own, tokenizer_path, capacity, end_id).select("doc_id", "_row", F.explode_outer("pieces").alias("p"))  # an inner explode would run the tokenizer twice, once to drop empty arrays
     slim = staged(cut.select("doc_id", "_row", "p.piece", "p.start", "p.length", F.crc32("p.ids").alias("ids_crc32")))
     return pack(slim, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """The packed sequences' ids (sequence_id, ids): tokenizes again, joins the places and puts each sequence's pieces, capacity tokens at most, side by side."""
-    cut = token_pieces(docs.select("doc_id", "text"), tokenizer_path, capacity, end_id).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.piece", "p.ids")
+    cut = token_pieces(docs.select("doc_id", "text"), tokenizer_path, capacity, end_id).select("doc_id", F.explode_outer("pieces").alias("p")).select("doc_id", "p.piece", "p.ids")
     parts = packed.select("doc_id", "piece", "sequence_id", "offset").join(cut.dropDuplicates(["doc_id", "piece"]), ["doc_id", "piece"])
     joined = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return joined.select("sequence_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept
-from textquarry.llm.common import table, text_or_empty
+from textquarry.llm.common import slices, table, text_or_empty
 
 BITS = 18
 GRADES = 3
@@ -138,7 +138,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least
         weights, _ = shared.value
         values = weights.astype(float).tolist()
         words = Kept(lambda w: values[word_bucket(w)], 600_000)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x in batch.to_pylist():
                 own, shares = split_features(x)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept, Transducer
-from textquarry.llm.common import ROUND_CHARS, table, text_or_empty
+from textquarry.llm.common import ROUND_CHARS, once, slices, table, text_or_empty
 
 # Character classes.
 LETTER, ENDS, R_OR_V, L, E, DIGIT, SPACE, OTHER_SPACE, APOSTROPHE, OTHER, BREAK = range(11)
@@ -148,7 +148,7 @@ def pieces_of(text: str, special: re.Pattern | None) -> tuple[list[str], int]:
 class Counter:
     """Counts tokens of many texts; made once in a Python worker."""
 
-    def __init__(self, spec: str, most_words: int = 800_000):
+    def __init__(self, spec: str, most_words: int = 500_000):
         declared = json.loads(spec)
         step = declared["pre_tokenizer"]
         if declared.get("normalizer") or step["type"] != "ByteLevel" or step["add_prefix_space"]:
@@ -203,8 +203,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
 
     @F.arrow_udf("long")
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(spec.value)
-        for batch in batches:
+        counter = once(Counter, spec.value)
+        for batch in slices(batches):
             yield pa.array(counter.count(batch.to_pylist()), pa.int64())
 
     whole = text_or_empty(text)
