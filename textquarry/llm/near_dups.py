@@ -9,10 +9,10 @@ can't reach it are dropped, all others are confirmed on the full sets.
 
 Bands are many enough that a pair at the threshold is missed less than once in a
 million. Equal sets are one class from the start. Within a band's bucket members
-are compared with one leader first, then with a second one, and at last all
-pairs that are still in different components are compared; so a large group of
-near copies costs a few comparisons a member, and no link between components is
-left out.
+are compared with one leader in a few turns, in later ones with the member that
+has most links, and at last all likely pairs that are still in different
+components are compared; so a large group of near copies costs a few comparisons
+a member, and no link between components is left out.
 
 Defined cases: null text and text without words have an empty set and are linked
 with nothing; fewer words than a shingle make one shingle; a document's rows with
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import staged, table, text_or_empty
+from textquarry.llm.common import slices, staged, table, text_or_empty
 from textquarry.llm.components import components
 from textquarry.llm.shingles import Shingles, mixed
 
@@ -39,6 +39,8 @@ ROWS, BANDS, BITS = 6, 46, 1024
 SAMPLES = ROWS * BANDS
 #: Ids or heavy leaders are broadcast up to so many (8 bytes each).
 FEW = 500_000
+#: Turns in which members of a bucket are compared with one leader, before all pairs still apart are.
+STARS = 3
 #: Members of one leader that are confirmed in one task.
 TOGETHER = 256
 
@@ -82,7 +84,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         signer = Signer(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([dict(zip(("n_shingles", "digest", "bands", "sketch"), signer(x), strict=True)) for x in batch.to_pylist()], kind)
 
     return docs.select("doc_id", F.arrow_udf(sign, SIGNED)(text_or_empty()).alias("_s")).select("doc_id", "_s.*")
@@ -106,7 +108,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, group, sets = Shingles(shingle, lower=True), None, []
-        for batch in batches:
+        for batch in slices(batches):
             found: tuple[list, list] = [], []
             for a, salt, role, doc_id, text in zip(*(batch.column(x).to_pylist() for x in ("a", "salt", "role", "doc_id", "text")), strict=True):
                 if group != (a, salt):
@@ -143,24 +145,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     most, links, seen, labels = farthest(percent / 100), None, None, None
     close = F.col("n_shingles") * 100 >= F.col("_n") * percent
     near = F.col("_n") * 100 >= F.col("n_shingles") * percent
-    for turn in range(3):
+    apart = F.aggregate(F.zip_with("_s", "_t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    for turn in range(STARS + 1):
         if labels is None:
             at = buckets.withColumn("label", F.col("rep"))
         else:
             at = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             at = at.withColumns({"_least": F.min("label").over(shared), "_most": F.max("label").over(shared)}).filter("_least < _most").drop("_least", "_most")
-        if turn < 2:
-            order = F.col("rep") if not turn else F.xxhash64(F.lit(turn), "rep")
+        if turn < STARS:
+            order = F.col("rep")
+            if links is not None:  # the node with most links so far leads: the text that a group's copies come from, if there is one
+                degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg((-F.count("*")).alias("_degree"))
+                at, order = at.join(degree, "rep", "left"), F.struct(F.coalesce("_degree", F.lit(0)), F.xxhash64(F.lit(turn), "rep"))
             at = at.withColumn("_lead", F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("n_shingles").alias("n"), F.col("label").alias("label"))).over(shared))
             at = at.select(F.col("_lead.rep").alias("_a"), F.col("_lead.n").alias("_n"), F.col("_lead.label").alias("_label"), "rep", "n_shingles", "label")
         else:
-            other = at.select("key", F.col("rep").alias("_a"), F.col("n_shingles").alias("_n"), F.col("label").alias("_label"))
-            at = at.join(other, "key").filter("_a < rep")
+            at = staged(at.join(sketches.withColumnRenamed("sketch", "_t"), "rep"))
+            other = at.select("key", F.col("rep").alias("_a"), F.col("n_shingles").alias("_n"), F.col("label").alias("_label"), F.col("_t").alias("_s"))
+            # sizes and sketches are compared within the join, so that it makes likely pairs alone
+            at = at.join(other, "key").filter((F.col("_a") < F.col("rep")) & (F.col("_label") != F.col("label")) & close & near & (apart <= most))
         pairs = at.filter(close & near & (F.col("_label") != F.col("label"))).select(F.col("_a").alias("a"), F.col("rep").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         one, two = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("_s")), sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("_t"))
-        apart = F.aggregate(F.zip_with("_s", "_t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         tried = staged(pairs)
         kept = tried.join(one, "a").join(two, "b").filter(apart <= most).select("a", "b")
         new = staged(confirm(staged(kept), texts, shingle, percent))
@@ -177,3 +184,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+#: The same classes in DuckDB, from all pairs of documents that share a shingle.
+NEAR_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+sized AS (SELECT sh.*, n FROM sh JOIN sizes USING (doc_id)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+least_of AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
