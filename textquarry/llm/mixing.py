@@ -67,7 +67,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240, repeats: int = 2) -> DataFrame:
     """Add source_size, target, taken and finish_time (of the first copy) to rows (doc_id, source, size, _row)."""
     marks = targets.withColumn("_buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long"))
-    shuffled = F.xxhash64(F.lit(seed), "doc_id")
+    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
+    shuffled = F.conv(F.substring(drawn, 1, 15), 16, 10).cast("bigint")
     if marks.count() <= FEW_SOURCES:
         marks = F.broadcast(marks)
     queue = sized.join(marks, sized["source"].eqNullSafe(marks["source"])).drop(marks["source"])
@@ -108,3 +109,18 @@ def stream(queue: DataFrame) -> DataFrame:
 
 def op3_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix in DuckDB.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY 1),
+r AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM s),
+o AS (SELECT *, source_size * 2::DOUBLE AS top, source_size * 2::DOUBLE / w AS ord FROM r),
+c AS (SELECT *, sum(top) OVER u AS capped, sum(w) OVER u AS lighter, sum(w) OVER () AS weights, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget,
+  row_number() OVER (ORDER BY ord, source NULLS LAST) AS turn, lead(ord) OVER (ORDER BY ord, source NULLS LAST) AS following FROM o WINDOW u AS (ORDER BY ord, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT *, CASE WHEN weights > lighter THEN (budget - capped) / (weights - lighter) END AS level FROM c),
+pick AS (SELECT CASE WHEN min(ord) >= min(budget / weights) THEN min(budget / weights) ELSE arg_min(level, turn) FILTER (following >= level) END AS chosen FROM lv),
+t AS (SELECT source, source_size, n, CASE WHEN chosen IS NULL THEN top ELSE least(top, chosen * w) END AS target FROM lv, pick),
+h AS (SELECT d.doc_id, d.size, t.*, ('0x' || substr(sha256('20240:' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, round(target)::BIGINT AS budget, sum(size) OVER (PARTITION BY source ORDER BY draw % least(1048576, ceil(n / 128.0)::BIGINT), draw, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM h)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, least(size, budget - (upto - size))) + greatest(0, least(size, budget - source_size - (upto - size))))::BIGINT AS taken FROM q"""

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm.contexts import op5_contextual_personal_data
 from textquarry.llm.fingerprints import op9_scaled_fingerprints
 from textquarry.llm.language_model import op4_hidden_markov_scores
-from textquarry.llm.mixing import op3_fair_queue_mixing
-from textquarry.llm.near_dups import op7_minhash_near_duplicates
+from textquarry.llm.mixing import MIX_SQL, op3_fair_queue_mixing
+from textquarry.llm.near_dups import NEAR_SQL, op7_minhash_near_duplicates
 from textquarry.llm.packing import op2_pattern_packing
 from textquarry.llm.quality_classifier import op6_ordinal_quality
 from textquarry.llm.quality_rules import op8_learned_quality_rules
@@ -30,4 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_linked_secrets": op10_linked_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_fair_queue_mixing": MIX_SQL,
+    "op7_minhash_near_duplicates": NEAR_SQL,
+}
