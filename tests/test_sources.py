@@ -38,7 +38,7 @@ def test_strings():
     assert A.utf16_strings(b"\0" + "wide".encode("utf-16-le")) == []
     assert A.extract_strings(b"") == A.extract_strings(b"a") == []
     assert A.dex_strings(dex(["x", "yz"])) == ["x", "yz"]
-    assert A.decode_asset("viele grüße aus dem Wald".encode()) == "viele grüße aus dem Wald"
+    assert A.decode_asset("viele grüße aus dem tiefen dunklen Wald".encode()) == "viele grüße aus dem tiefen dunklen Wald"
     assert A.decode_asset(b"\0\1\2\3textual\0\1\2\3\4\5\6\7") == "textual"
 
 
