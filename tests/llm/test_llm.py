@@ -347,6 +347,17 @@ def test_near_duplicates(spark, none, k):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_link_of_two_that_never_lead(spark):
+    """All texts of a group are under 0.8 to v but w, and w and v never lead a bucket: only comparing all pairs still apart finds their link."""
+    rng = random.Random(3)
+    w = [f"w{k}" for k in range(92)]
+    rows = [(i, " ".join(w + [f"j{rng.randrange(10**6)}" for _ in range(6)])) for i in range(60)] + [(100, " ".join(w)), (101, " ".join(w[:78]))]
+    want = brute_components(shingle_sets(rows, 1))
+    assert want[101] == 0
+    got = near_dups.near_duplicates(table(spark, [(i, t, "a") for i, t in rows]), shingle=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_odd_sketches_estimate_high_similarity():
     sign = near_dups.Signer(1)
     words = [f"w{k}" for k in range(1000)]

@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     close = F.col("n_shingles") * 100 >= F.col("_n") * percent
     near = F.col("_n") * 100 >= F.col("n_shingles") * percent
     apart = F.aggregate(F.zip_with("_s", "_t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    for turn in range(STARS + 1):
+    turn = 0
+    while turn <= STARS:
         if labels is None:
             at = buckets.withColumn("label", F.col("rep"))
         else:
@@ -173,9 +174,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         new = staged(confirm(staged(kept), texts, shingle, percent))
         links = new if links is None else links.unionByName(new)
         seen = tried if seen is None else seen.unionByName(tried)
-        if tried.isEmpty():
-            break
-        labels = components(links)
+        # without a new pair more leaders say nothing, but members that never led may still be linked
+        again = not tried.isEmpty()
+        labels = components(links) if again else labels
+        turn = turn + 1 if again or turn == STARS else STARS
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("_component")) if labels is not None else classes.withColumnRenamed("rep", "_component")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("_component", "doc_id")
