@@ -290,6 +290,22 @@ def test_weak_parts_need_a_partner(spark, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_scopes_at_every_alignment(spark):
+    """Both orders, several gaps, all places in a bin: the bins lose no pair that the interval condition admits."""
+    scope, rows = 20, []
+    for length in (4, 15, 50):
+        for gap in (1, 10, 18, 19, 20, 21):
+            for place in range(2 * scope):
+                other = place + length + gap
+                rows.append((len(rows), [(place, "assign", place + length), (other, "", other + 5)]))
+                rows.append((len(rows), [(place, "", place + 5), (place + 5 + gap, "assign", place + 5 + gap + length)]))
+    parts = [(i, a, kind, b, "secret" if kind else "identifier") for i, spans in rows for a, kind, b in spans]
+    want = [i for i, ((a, _, b), (c, _, d)) in rows if c < b + scope and d > a - scope]
+    got = secrets.linked(spark.createDataFrame(parts, "_row bigint, start int, kind string, end int, role string"), scope).collect()
+    assert sorted(r["_row"] for r in got) == want
+    assert {r["kind"] for r in got} == {"assign"}
+
+
 # --- near duplicates ----------------------------------------------------------------------------------------------------------------
 
 

@@ -4,9 +4,10 @@ Base patterns find assigned secrets, access key ids and hexadecimal strings.
 Multipart linking looks at further parts: access identifiers and assigned values
 too short for the base rules, opaque tokens, and endpoints. Parts are interval
 joined within scopes (a number of characters): the text is cut into bins as wide
-as the scope, each part is dealt to the bins that its scope touches, and a weak
-part is kept by a semi join if a complementary part begins or ends near it. No
-pairs are emitted, and a bin holds no more parts than fit into it.
+as the scope, each part is dealt to the bins that its scope touches and a weak part
+also to all that it touches itself, and it is kept by a semi join if a
+complementary part begins or ends near it. No pairs are emitted, and a bin holds
+no more parts than fit into it.
 
 Defined cases: null or empty text gives no spans and the digest of the empty
 string; repeated rows give a row each; a weak part that overlaps a base span of
@@ -99,14 +100,15 @@ def linked(parts: DataFrame, scope: int) -> DataFrame:
 
     An identifier needs a secret; a secret needs an identifier or an endpoint.
     """
-    weak = parts.filter("kind != ''").withColumn("_bin", F.floor(F.col("start") / scope))
+    own = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))
+    weak = parts.filter("kind != ''").withColumn("_bin", F.explode(own))
     bins = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     near = parts.select("_row", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("role").alias("_role"), F.explode(bins).alias("_bin"))
     meets = F.when(F.col("role") == "identifier", F.col("_role") == "secret").otherwise(F.col("_role").isin("identifier", "endpoint"))
     apart = (F.col("_start") < F.col("end") + scope) & (F.col("_end") > F.col("start") - scope)
     w, n = weak.alias("w"), near.alias("n")
     same = (F.col("w._row") == F.col("n._row")) & (F.col("w._bin") == F.col("n._bin"))
-    return w.join(n, same & meets & apart, "left_semi").drop("_bin")
+    return w.join(n, same & meets & apart, "left_semi").drop("_bin").distinct()
 
 
 def secrets(docs: DataFrame, scope: int = 200, text: str = "text") -> DataFrame:
