@@ -306,6 +306,19 @@ def test_scopes_at_every_alignment(spark):
     assert {r["kind"] for r in got} == {"assign"}
 
 
+def test_long_tokens_and_urls_are_whole_parts():
+    ident, weak = "AKIA" + "ABCDEFGH12345678", "Zx9" + "qWe7rTy2uIo4pAs6"
+    for n in (150, 197, 198, 5000):
+        key = "Q" * n + "7z"
+        assert (21, "assign", 21 + len(key), "secret") in secrets.scan(f"{ident} {key}")[1]
+        late = "z" * (n - 30) + "/" * 30 + "7"
+        assert (21, "assign", 21 + len(late), "secret") in secrets.scan(f"{ident} {late}")[1]
+        url = "https://h.example/" + "p" * n
+        assert (0, "", len(url), "endpoint") in secrets.scan(f"{url} {weak}")[1]
+    assert not secrets.scan(f"{ident} " + "Q" * 5000)[1][1:]
+    assert len(secrets.scan("ab-" * 200_000 + " " + "x" * 16 + "." * 200_000)[1]) == 0
+
+
 # --- near duplicates ----------------------------------------------------------------------------------------------------------------
 
 

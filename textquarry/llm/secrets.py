@@ -33,12 +33,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # Weak parts: shorter values and ids, tokens of mixed letters and digits, short hexadecimal strings.
 SHORT_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}(?![A-Za-z0-9])")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^\s]{0,199}[0-9])(?=[^\s]{0,199}[A-Za-z])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 SHORT_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,15}(?![A-Za-z0-9])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]{3,200}|(?<![A-Za-z0-9.@-])[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){1,5}\.(?:com|net|org|io|cloud|dev)(?![A-Za-z0-9-])")
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]{3,}+|(?<![A-Za-z0-9.@-])[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){1,5}\.(?:com|net|org|io|cloud|dev)(?![A-Za-z0-9-])")
+#: A token is opaque if it, or what follows it without space up to so many characters from its start, has a letter and a digit.
+AROUND = 200
+SPACE, DIGIT, LETTER = re.compile(r"\s"), re.compile("[0-9]"), re.compile("[A-Za-z]")
 SHORT_ASSIGN = 6  # characters of an assigned value that is at least a weak part
 
 
+def mixed(text: str, start: int, end: int) -> bool:
+    end = max(end, start + AROUND)
+    space = SPACE.search(text, start, end)
+    end = space.start() if space else end
+    return bool(DIGIT.search(text, start, end) and LETTER.search(text, start, end))
+
+
 def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, str]]]:
     """Base spans (start, kind, end), and parts (start, kind or '', end, role); parts with a kind are weak."""
     base: list[tuple[int, str, int]] = []
@@ -54,7 +64,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
     base.sort()
     if "AKIA" in text or "ASIA" in text:
         weak += [(m.start(), "access", m.end(), "identifier") for m in SHORT_ACCESS.finditer(text)]
-    weak += [(m.start(), "assign", m.end(), "secret") for m in OPAQUE.finditer(text)]
+    weak += [(m.start(), "assign", m.end(), "secret") for m in OPAQUE.finditer(text) if mixed(text, m.start(), m.end())]
     weak += [(m.start(), "hex", m.end(), "secret") for m in SHORT_HEX.finditer(text)]
     weak.sort()
     starts = [a for a, _, _ in base]
