@@ -257,6 +257,21 @@ def test_bootstrap_finds_what_the_rules_miss(spark, none):
     assert contexts.personal_data(none).count() == 0
 
 
+def test_bootstrap_finds_other_forms(spark):
+    """Forms that no base rule has, by left or right context; instances of one context lead to another one; long ones too."""
+    texts = [f"please call +1 (487) 555-{n} soon" for n in range(1000, 1080)] + [f"please mail p{n}@mail.example.com soon" for n in range(40)]
+    texts += [f"w{n}: +1 (487) 556-{n} mobile" for n in range(1000, 1040)]
+    both = [f"(487) 557-{n}" for n in range(1000, 1040)]
+    texts += [f"please call {x} soon" for x in both] + [f"they dial {x} then" for x in both]
+    finds = [("call", "487-555-7209", "later", "phone"), ("call", "(487) 555-7209", "later", "phone"), ("other", "487-558-7209", "mobile", "phone"), ("dial", "487.559.7209", "x", "phone")]
+    finds += [("mail", "joe@localhost", "later", "email"), ("mail", "j" * 120 + "@localhost", "later", "email")]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(9000 + i, f"{a} {x} {b}", "a") for i, (a, x, b, _) in enumerate(finds)] + [(9900, "year 2024 and room 487-555 of 1234567", "a")]
+    got = {r["doc_id"]: r["spans"] for r in digest_columns(contexts.personal_data(table(spark, rows)), contexts.KINDS).collect()}
+    for i, (a, x, _, kind) in enumerate(finds):
+        assert got[9000 + i] == f"{kind}:{len(a) + 1}:{len(a) + 1 + len(x)}", finds[i]
+    assert got[9900] == ""
+
+
 def test_redaction(spark):
     rows = table(spark, [(k, t, "a") for k, t in enumerate(PII)] * 2)
     out = contexts.redact(rows, contexts.personal_data(rows))

@@ -1,12 +1,13 @@
 """Personal data by patterns and bootstrapped contexts (operator 5).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They
-seed a bootstrap in the manner of Snowball: each seed's left context (the last
-word before it, or none) and right context, with the shape of what stands
-between, form a lexical pattern. Patterns and the strings they cover (instances)
-make a bipartite graph; its scores are iterated in Spark: a pattern is as good as
-its instances, an instance as good as its best pattern, with the seeds fixed.
-Patterns over a threshold then mark candidates that the base rules missed:
+seed a bootstrap in the manner of Snowball: a mention's left context (the last
+word before it, or none) with its exact shape, and its left context, its right
+context and both with its looser form are lexical patterns. Patterns and the
+strings they cover (instances) make a bipartite graph; its scores are iterated in
+Spark: a pattern is as good as its instances, an instance as good as its best
+pattern, with the seeds fixed; instances over the threshold propose patterns in
+the next round as seeds do. Patterns over a threshold then mark candidates that the base rules missed:
 identifier-like tokens (a digit or @ among letters, digits and joining signs).
 
 Defined cases: null or empty text gives no spans and the digest of the empty
@@ -16,6 +17,7 @@ listed first; long runs of digits or letters take linear time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import slices, staged, table, text_or_empty
+from textquarry.llm.near_dups import few
 from textquarry.llm.spans import digest_columns
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,10 +39,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates: identifier-like tokens with a digit or an at sign.
-CANDIDATE = re.compile(r"[+(]?[A-Za-z0-9](?:[A-Za-z0-9@._%+()/:\[\]-]|(?<=[0-9])\x20(?=[0-9(]))*")
-LONGEST = 80  # characters of a candidate; identifiers are short
+CANDIDATE = re.compile(r"[+(]?[A-Za-z0-9](?:[A-Za-z0-9@._%+()/:\[\]-]|(?<=[0-9)])\x20(?=[0-9(]))*")
+LONGEST = 80  # characters of a string or shape that is kept itself, not as its digest
 MARK = re.compile(r"[0-9@]")
 WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,24})[\x20\x09-\x0D]*\Z")
+WORD_AFTER = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]{1,24})")
 DIGITS, UPPERS, LOWERS = re.compile("[0-9]+"), re.compile("[A-Z]+"), re.compile("[a-z]+")
 
 
@@ -89,41 +93,63 @@ def shape(token: str) -> str:
     return DIGITS.sub(lambda m: "9" * (1 + bisect_left((4, 8, 14), len(m[0]) + 1)), UPPERS.sub("A", LOWERS.sub("a", token)))
 
 
+def form(token: str) -> str:
+    """Looser than the shape: @ if there is one, else 9 and a band of the number of digits if they outnumber the letters, else a."""
+    if "@" in token:
+        return "@"
+    digits = sum("0" <= c <= "9" for c in token)
+    return f"9{bisect_left((4, 7, 14), digits + 1)}" if digits > sum(map(str.isalpha, token)) else "a"
+
+
+def short(token: str) -> str:
+    return token if len(token) <= LONGEST else "#" + hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def right_context(text: str, end: int) -> str:
+    m = WORD_AFTER.match(text[end : end + 32])
+    return m[1].lower() if m else "$"
+
+
 def left_context(text: str, start: int) -> str:
     m = WORD_BEFORE.search(text[max(0, start - 32) : start])
     return m[1].lower() if m else "^"
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, str]]:
-    """(start, end, kind or '', left context, shape, string) of seeds and of candidates that overlap none."""
-    out = [(a, b, KINDS[k], left_context(text, a), shape(text[a:b]), text[a:b]) for a, k, b in base]
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, str, str, str]]:
+    """(start, end, kind or '', left context, right context, shape, form, string) of seeds and of candidates that overlap none."""
+
+    def mention(a: int, b: int, kind: str) -> tuple[int, int, str, str, str, str, str, str]:
+        token = text[a:b]
+        return a, b, kind, left_context(text, a), right_context(text, b), short(shape(token)), form(token), short(token)
+
+    out = [mention(a, b, KINDS[k]) for a, k, b in base]
     starts, reach, at = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max)), 0
     if MARK.search(text):
         for m in MARK.finditer(text):
             if m.start() < at:
                 continue
             start = m.start()
-            while start > at and m.start() - start < LONGEST and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "@._%+(-")):
+            while start > at and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "@._%+(-")):
                 start -= 1
             found = CANDIDATE.match(text, start)
             end = max(found.end() if found else 0, m.end())
             at = end
             end -= len(text[start:end]) - len(text[start:end].rstrip(".:/-(["))
             over = bisect_left(starts, end)  # base spans that begin before the end
-            if 4 <= end - start <= LONGEST and not (over and reach[over - 1] > start):
-                out.append((start, end, "", left_context(text, start), shape(text[start:end]), text[start:end]))
+            if 4 <= end - start and not (over and reach[over - 1] > start):
+                out.append(mention(start, end, ""))
     return out
 
 
-FOUND = "struct<base:array<struct<start:int,kind:string,end:int>>,mentions:array<struct<start:int,end:int,kind:string,before:string,shape:string,string:string>>>"
+FOUND = "struct<base:array<struct<start:int,kind:string,end:int>>,mentions:array<struct<start:int,end:int,kind:string,before:string,after:string,shape:string,form:string,string:string>>>"
 FOUND_TYPE = pa.struct([
     ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))),
-    ("mentions", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("before", pa.string()), ("shape", pa.string()), ("string", pa.string())]))),
+    ("mentions", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("before", pa.string()), ("after", pa.string()), ("shape", pa.string()), ("form", pa.string()), ("string", pa.string())]))),
 ])
 
 
 def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    names = ("start", "end", "kind", "before", "shape", "string")
+    names = ("start", "end", "kind", "before", "after", "shape", "form", "string")
     for batch in slices(batches):
         done = []
         for x in batch.to_pylist():
@@ -132,30 +158,51 @@ def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(done, FOUND_TYPE)
 
 
-def score_patterns(seen: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
-    """Scores of patterns (before, shape, kind) from mentions (kind, before, shape, string).
+PATTERN = ["before", "form", "after"]
+
+
+def patterned(seen: DataFrame) -> DataFrame:
+    """Mentions once for each pattern (before, form, after) that covers them; '' stands for any context, a context that is missing makes no pattern alone."""
+    left, right, loose, any_ = F.col("before"), F.col("after"), F.concat(F.lit("~"), "form"), F.lit("")
+
+    def pattern(before, form, after):
+        return F.struct(before.alias("before"), form.alias("form"), after.alias("after"))
+
+    has_left, has_right = left != "^", right != "$"
+    all_ = F.array(
+        pattern(left, F.concat(F.lit("="), "shape"), any_), F.when(has_left, pattern(left, loose, any_)),
+        F.when(has_right, pattern(any_, loose, right)), F.when(has_left & has_right, pattern(left, loose, right)),
+    )
+    rest = [c for c in seen.columns if c not in ("before", "after", "shape", "form")]
+    return seen.select(*rest, F.explode(F.array_compact(all_)).alias("_p")).select(*rest, "_p.*")
+
+
+def score_patterns(seen: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.5) -> DataFrame:
+    """Scores of patterns (before, form, after, kind) from patterned mentions (kind, before, form, after, string).
 
-    A pattern proposes a kind that one of its own seeds has. Its score is the
+    A pattern proposes a kind that one of its own seeds has, or one of its instances
+    over the threshold in the round before. Its score is the
     mean score of its instances, weighed by the logarithm of how often they
     occur and shrunk towards 0 by `support`; an instance's score for a kind is
     1 if it is a seed of it anywhere, 0 if it is one of another kind, and else the best score of
     a pattern that covers it. Only counts and scores are joined, never pairs of mentions.
     """
-    edges = staged(seen.groupBy("before", "shape", "string").agg(F.count("*").alias("n")))
-    seeds = seen.filter("kind != ''")
+    edges = staged(seen.groupBy(*PATTERN, "string").agg(F.count("*").alias("n")))
+    seeds = staged(seen.filter("kind != ''").select("string", "kind").distinct())
     known = seeds.groupBy("string").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    proposed = seeds.select("before", "shape", "kind").distinct()
-    links = edges.join(proposed, ["before", "shape"]).join(known, "string", "left")
-    links = staged(links.withColumn("fixed", F.when(F.col("kinds").isNotNull(), F.array_contains("kinds", F.col("kind")).cast("double"))).drop("kinds"))
-    weight = F.log1p("n")
-    current = links.withColumn("score", F.coalesce("fixed", F.lit(0.0)))
+    weight, sure, best = F.log1p("n"), seeds, None
     for k in range(rounds):
+        proposed = edges.join(sure, "string").select(*PATTERN, "kind").distinct()
+        links = edges.join(proposed, PATTERN).join(known, "string", "left")
+        links = links.withColumn("fixed", F.when(F.col("kinds").isNotNull(), F.array_contains("kinds", F.col("kind")).cast("double"))).drop("kinds")
+        links = links.withColumn("best", F.lit(0.0)) if best is None else links.join(best, ["string", "kind"], "left")
+        links = staged(links.withColumn("score", F.coalesce("fixed", "best", F.lit(0.0))).drop("best"))
         mean = (F.sum(F.col("score") * weight) / (F.sum(weight) + support)).alias("score")
-        scores = current.groupBy("before", "shape", "kind").agg(mean)
+        scores = staged(links.groupBy(*PATTERN, "kind").agg(mean))
         if k == rounds - 1:
             return scores
-        best = links.filter("fixed is null").join(scores, ["before", "shape", "kind"]).groupBy("string", "kind").agg(F.max("score").alias("best"))
-        current = links.join(best, ["string", "kind"], "left").withColumn("score", F.coalesce("fixed", "best", F.lit(0.0)))
+        best = staged(links.filter("fixed is null").drop("score").join(scores, [*PATTERN, "kind"]).groupBy("string", "kind").agg(F.max("score").alias("best")))
+        sure = seeds.unionByName(best.filter(F.col("best") >= threshold).select("string", "kind"))
     return None
 
 
@@ -165,10 +212,11 @@ def personal_data(docs: DataFrame, threshold: float = 0.5, rounds: int = 3, text
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", whole).alias("_key"), F.arrow_udf(find, FOUND)(whole).alias("_found"))
     kept = staged(own.select("doc_id", "_row", "_key", "_found.*"))
     seen = kept.filter(F.size("mentions") > 0).select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
-    scores = score_patterns(seen.drop("_row"), rounds).filter(F.col("score") >= threshold)
+    scores = score_patterns(patterned(seen.drop("_row", "start", "end")), rounds, threshold=threshold).filter(F.col("score") >= threshold)
     order = F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.col("kind"))
-    chosen = scores.groupBy("before", "shape").agg(F.min_by("kind", order).alias("_kind"))
-    new = seen.filter("kind = ''").join(chosen, ["before", "shape"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.col("_kind").alias("kind"), "end"))).alias("added"))
+    chosen = few(staged(scores.groupBy(*PATTERN).agg(F.min_by(F.struct(F.col("kind").alias("_kind"), order.alias("_order")), order).alias("_c")).select(*PATTERN, "_c.*")))
+    marked = patterned(seen.filter("kind = ''").drop("kind", "string")).join(chosen, PATTERN).groupBy("_row", "start", "end").agg(F.min_by("_kind", "_order").alias("kind"))
+    new = marked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     return kept.drop("mentions").join(new, "_row", "left").withColumn("added", F.coalesce("added", none))
 
