@@ -24,13 +24,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, 0.8), the one with the least id; one row of each id. Rows without an id or without words stay."""
-    found = staged(near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80))
-    gone = few(staged(found.filter("not kept").select("doc_id").distinct()))
-    left = docs.join(gone, "doc_id", "left_anti")
-    often = few(staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
-    once = left.join(often, "doc_id", "left_anti")
-    return once.unionByName(left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """One document of each near-duplicate group (five words, 0.8), the first by id and text's digest; one row of each id and text, the least one. Rows without an id stay, those without words have no near ones."""
+    keyed = docs.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_or_empty())))
+    found = staged(near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"), shingle=5, percent=80).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_group")).filter("_node is not null"))
+    several = few(staged(found.filter("_node != _group").select("_group").distinct()))
+    near = staged(found.join(several, "_group", "left_semi").distinct())
+    order = F.struct("doc_id", F.sha2(text_or_empty().cast("binary"), 256).alias("_digest")).alias("_order")
+    heads = keyed.select("_node", order).join(few(near), "_node").groupBy("_group").agg(F.min_by("_node", "_order").alias("_head"))
+    gone = few(staged(near.join(few(staged(heads)), "_group").filter("_node != _head").select("_node")))
+    left = keyed.join(gone, "_node", "left_anti")
+    often = few(staged(found.groupBy("_node").count().filter("count > 1").select("_node")))
+    once = left.join(often, "_node", "left_anti").select(docs.columns)
+    return once.unionByName(left.join(often, "_node", "left_semi").groupBy("_node").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

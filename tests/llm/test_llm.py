@@ -536,3 +536,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert at.filter("text like '%joe@%'").isEmpty()
     check_places(at.collect(), 4096)
     assert [n for n, _ in counts] == ["quality classifier", "MinHash near-dedup", "PII", "mixing sources to target weights", "best-fit packing"]
+
+
+def test_near_dedup_decides_by_row(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (1, c, "x"), (2, b + " more", "x"), (2, d, "x"), (0, c + " more", "x"), (3, "", "x"), (3, " ", "x"), (None, a, "x")]
+    want = {(1, a, "x"), (1, b, "w"), (2, d, "x"), (0, c + " more", "x"), (3, "", "x"), (3, " ", "x"), (None, a, "x")}
+    for turned in (rows, rows[::-1]):
+        got = [(r["doc_id"], r["text"], r["source"]) for r in P.near_dedup(spark, table(spark, turned), "").collect()]
+        assert len(got) == len(want)
+        assert set(got) == want
