@@ -286,3 +286,15 @@ def register(spark) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION redact(x STRING) RETURNS STRING RETURN CASE WHEN length(x) <= 60 THEN x ELSE concat(left(x, 30), '…', right(x, 15)) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION wilson_lower(k BIGINT, n BIGINT) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN greatest(0D, (k / n + 1.9208D / n - 1.96D * sqrt(k / n * (1 - k / n) / n + 0.9604D / n / n)) / (1 + 3.8416D / n)) ELSE 0D END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION wilson_upper(k BIGINT, n BIGINT) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN least(1D, (k / n + 1.9208D / n + 1.96D * sqrt(k / n * (1 - k / n) / n + 0.9604D / n / n)) / (1 + 3.8416D / n)) ELSE 0D END")
+
+
+def match_places(text: Column, pattern: Column, matches: Column) -> Column:
+    """(matched, offset) of all matches of a pattern, given what it matched: what lies between two matches holds no text of a match by itself, so places add up over the parts that a split leaves."""
+    parts = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<matched:string,offset:int>>").alias("out"))
+
+    def step(a: Column, k: Column) -> Column:
+        own, at = F.get(matches, k), a["at"] + F.length(F.get(parts, k))
+        return F.struct((at + F.length(own)).alias("at"), F.concat(a["out"], F.array(F.struct(own.alias("matched"), at.alias("offset")))).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda a: a["out"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,18 +45,23 @@ def hash_order(seed: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"), 256)
 
 
+def first_of_each(rows: DataFrame, keys: list[str], limit: Column, order: list[Column], salts: int = 64) -> DataFrame:
+    """The first rows of each group, as many as its limit says (a column of rows): first within salted parts of a group, then among what those leave, so that a group with most rows is no single task."""
+    part = W.partitionBy(*keys, F.pmod(F.xxhash64(*order), F.lit(salts))).orderBy(*order)
+    some = rows.withColumns({"_limit": limit, "_rank": F.row_number().over(part)}).filter("_rank <= _limit")
+    return some.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rank <= _limit").drop("_rank", "_limit")
+
+
 def stratified_sample(rows: DataFrame, target: int, keys: list[str], key: str, seed: str = "1") -> DataFrame:
     """Exactly the allocated number of each stratum's rows, the first by a seeded hash of their key; independent of partitioning."""
     alloc = largest_remainder(rows.groupBy(*keys).agg(F.count("*").alias("size")), target, keys)
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(hash_order(seed, key), key))
-    return rows.withColumn("_rank", rank).join(F.broadcast(alloc.select(*keys, "alloc")), keys).filter("_rank <= alloc").drop("_rank", "alloc")
+    return first_of_each(rows.join(alloc.select(*keys, "alloc"), keys), keys, F.col("alloc"), [hash_order(seed, key), F.col(key)]).drop("alloc")
 
 
 def validation_sample(rows: DataFrame, flag: str, key: str, per_stratum: int, seed: str = "1") -> DataFrame:
     """At most per_stratum flagged and unflagged rows; is_short says that a pool had fewer."""
-    w = W.partitionBy(flag)
-    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(hash_order(seed, key), key))).withColumn("is_short", F.count("*").over(w) < per_stratum)
-    return ranked.filter(F.col("_rank") <= per_stratum).drop("_rank")
+    sizes = rows.groupBy(flag).agg((F.count("*") < per_stratum).alias("is_short"))  # three rows at most
+    return first_of_each(rows, [flag], F.lit(per_stratum), [hash_order(seed, key), F.col(key)]).join(F.broadcast(sizes.withColumnRenamed(flag, "_flag")), F.col(flag).eqNullSafe(F.col("_flag"))).drop("_flag")
 
 
 def blind_order(rows: DataFrame, key: str, seed: str = "1") -> DataFrame:
@@ -83,12 +90,15 @@ def enroll(ledger: DataFrame, new: DataFrame, key: str = "sha256") -> DataFrame:
 
 
 def fold(events: DataFrame, key: str = "sha256") -> DataFrame:
-    """Current state from an append-only log (key, at, seq, event): the last event's state; attempts count failures since the last reset."""
-    reset = F.max(F.when(F.col("event") == "reset", F.struct("at", "seq"))).over(W.partitionBy(key))
-    live = events.withColumn("_reset", reset)
-    failed = F.col("event").isin(DOWNLOAD_FAILED, SCAN_FAILED) & (F.col("_reset").isNull() | (F.struct("at", "seq") > F.col("_reset")))
-    last = F.max_by("event", F.struct("at", "seq"))
-    return live.groupBy(key).agg(last.alias("_last"), F.count_if(failed).alias("attempts")).select(key, F.when(F.col("_last").isin("reset", "enroll"), PENDING).otherwise(F.col("_last")).alias("state"), "attempts")
+    """Current state from an append-only log (key, at, seq, event): the last event's state; attempts count failures since the last reset.
+
+    Both are aggregates with partial sums; only the few last resets are joined to the log.
+    """
+    at = F.struct("at", "seq")
+    reset = events.filter("event = 'reset'").groupBy(key).agg(F.max(at).alias("_reset"))
+    failed = F.col("event").isin(DOWNLOAD_FAILED, SCAN_FAILED)
+    counted = failed & (F.col("_reset").isNull() | (at > F.col("_reset")))
+    return events.join(reset, key, "left").groupBy(key).agg(F.max_by("event", at).alias("_last"), F.count_if(counted).alias("attempts")).select(key, F.when(F.col("_last").isin("reset", "enroll"), PENDING).otherwise(F.col("_last")).alias("state"), "attempts")
 
 
 def pending(ledger: DataFrame, limit: int | None = None, key: str = "sha256", most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
@@ -151,6 +161,14 @@ def credential_summary(outcomes: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("live_rate", S.share(F.col("live"), F.col("live") + F.col("revoked")))
 
 
+def reconcile(stores: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """How many keys each store lacks, and of those that all have on how many values they agree: one row."""
+    rows = reduce(DataFrame.unionByName, [df.select(key, F.col(value).alias("_v"), F.lit(name).alias("_store")) for name, df in stores.items()])
+    has = rows.groupBy(key).agg(*[F.bool_or(F.col("_store") == n).alias(f"_{n}") for n in stores], (F.min("_v").eqNullSafe(F.max("_v")) & (F.count("_v").isin(0, len(stores)))).alias("_same"))
+    every = reduce(Column.__and__, [F.col(f"_{n}") for n in stores])
+    return has.agg(*[F.count_if(~F.col(f"_{n}")).alias(f"missing_{n}") for n in stores], F.count_if(every & ~F.col("_same")).alias("different"), F.count_if(every & F.col("_same")).alias("same"))
+
+
 # --- statistics -------------------------------------------------------------------------------------------------------------------
 
 
@@ -179,3 +197,10 @@ def by_provider_and_kind(apps: DataFrame, flags: dict[str, Column]) -> DataFrame
     wide = pairs.groupBy("provider").agg(F.count("*").alias("n"), *[F.count_if(F.col(k)).alias(f"_{k}") for k in flags])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("successes")) for k in flags]))
     return with_interval(wide.select("provider", "n", rows.alias("r")).select("provider", "r.kind", "r.successes", "n"))
+
+
+def widened(apps: DataFrame, confirmed: Column, providers: Column, ambiguous: str) -> DataFrame:
+    """How a denominator changes if applications that are not confirmed, but have something attributed to a provider, count too: those with any provider, those whose only one is ambiguous, and the denominator with the former but for the latter."""
+    hit = ~confirmed & (F.size(providers) > 0)
+    only = hit & (providers == F.array(F.lit(ambiguous)))
+    return apps.agg(F.count_if(hit).alias("attributed"), F.count_if(only).alias("one_only"), (F.count_if(confirmed) + F.count_if(hit) - F.count_if(only)).alias("denominator"))

@@ -8,6 +8,9 @@ small rows of matches are shuffled by application, never the texts.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,21 +26,26 @@ LEXICAL, SECRETS, PROMPTS, SCHEMAS, RAG = range(5)
 
 
 def _candidates(sources: DataFrame, family: list[tuple[str, str, dict[str, object]]]) -> DataFrame:
-    """Sources with each rule of a family of which they hold a literal: a join with the catalogue, whose size is fixed; patterns then run over those alone."""
+    """Sources with each rule of a family of which they hold a literal (all, for a rule without one): a join with the catalogue, whose size is fixed; patterns then run over those alone."""
     names = list(family[0][2])
     kinds = {str: "string", bool: "boolean", int: "int", float: "double"}
     types = [kinds[type(next((v[n] for _, _, v in family if v[n] is not None), ""))] for n in names]
     rows = [(i, p, S.anchors(plain), *[values[n] for n in names]) for i, (plain, p, values) in enumerate(family)]
     catalogue = sources.sparkSession.createDataFrame(rows, "rule_idx int, _re string, _literals array<string>, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
     some = sources.select(*KEYS, "content", F.lower("content").alias("_low"))
-    return some.join(F.broadcast(catalogue), F.expr("exists(_literals, x -> contains(_low, x))")).drop("_low", "_literals")
+    return some.join(F.broadcast(catalogue), F.expr("size(_literals) = 0 or exists(_literals, x -> contains(_low, x))")).drop("_low", "_literals")
 
 
-def _hits(sources: DataFrame, family: list[tuple[str, str, dict[str, object]]]) -> DataFrame:
-    """A row for each match of each (pattern, its Java form, values) of a family in content: keys, rule_idx, the values, hit_idx and matched."""
+def _hits(sources: DataFrame, family: list[tuple[str, str, dict[str, object]]], places: bool = False) -> DataFrame:
+    """A row for each match of each (pattern, its Java form, values) of a family in content: keys, rule_idx, the values, hit_idx and matched, and with places their offset."""
     # an outer explode: an inner one would make Spark evaluate the patterns again to drop empty arrays
-    found = F.posexplode_outer(F.regexp_extract_all("content", F.col("_re"), F.lit(0))).alias("hit_idx", "matched")
-    return _candidates(sources, family).select(*KEYS, "rule_idx", *family[0][2], found).filter("matched is not null")
+    rows = _candidates(sources, family)
+    every = F.regexp_extract_all("content", F.col("_re"), F.lit(0))
+    if not places:
+        return rows.select(*KEYS, "rule_idx", *family[0][2], F.posexplode_outer(every).alias("hit_idx", "matched")).filter("matched is not null")
+    rows = rows.select(*KEYS, "rule_idx", *family[0][2], "_re", "content", every.alias("_all")).filter(F.size("_all") > 0)
+    found = rows.select(*KEYS, "rule_idx", *family[0][2], F.posexplode_outer(S.match_places(F.col("content"), F.col("_re"), F.col("_all"))).alias("hit_idx", "_m"))
+    return found.select(*KEYS, "rule_idx", *family[0][2], "hit_idx", F.col("_m.matched").alias("matched"), F.col("_m.offset").alias("offset"))
 
 
 def lexical_family(endpoints=None, sdks=None) -> list[tuple[str, str, dict[str, object]]]:
@@ -60,9 +68,11 @@ def detected_providers(lexical: DataFrame) -> DataFrame:
     return listed.select("app_id", F.transform("p", lambda x: x["provider"]).alias("detected_providers"))
 
 
-def structural_evidence(sources: DataFrame, providers: DataFrame) -> DataFrame:
+def structural_evidence(sources: DataFrame, providers: DataFrame, invocations=None, bodies=None) -> DataFrame:
     """One row per source and pattern that occurs: invocations of providers detected in the application, and request bodies of any provider."""
-    tests = [("invocation", who, p) for who, p in rules.INVOCATIONS] + [("json_body", None, p) for p in rules.JSON_BODIES]
+    tests = [("invocation", who, p) for who, p in (rules.INVOCATIONS if invocations is None else invocations)] + [("json_body", None, p) for p in (rules.JSON_BODIES if bodies is None else bodies)]
+    if not tests:
+        return sources.limit(0).select(*KEYS, F.lit(0).alias("pattern_idx"), *[F.lit("").alias(x) for x in ("kind", "provider", "detail")])
     rows = _candidates(sources, [(p, p, {"kind": kind, "provider": who, "detail": p}) for kind, who, p in tests]).filter("rlike(content, _re)")
     rows = rows.select(*KEYS, F.col("rule_idx").alias("pattern_idx"), "kind", "provider", "detail")
     known = providers.select("app_id", F.explode("detected_providers").alias("provider"))
@@ -77,7 +87,7 @@ def integration(lexical: DataFrame, structural: DataFrame, min_unique: int = 2)
     return both.withColumns({"confirmed": F.col("has_endpoint") | (F.col("n_structural") > 0), "quorum": F.col("has_endpoint") | (F.col("n_sdk") >= min_unique)})
 
 
-FINDING = ["app_id", "kind", "severity", "title", "provider", "file_path", "offset", "container", "evidence", "confidence", "detector_idx", "source_idx", "rule_idx", "hit_idx"]
+FINDING = ["app_id", "kind", "severity", "title", "description", "provider", "file_path", "offset", "container", "evidence", "confidence", "detector_idx", "source_idx", "rule_idx", "hit_idx"]
 
 
 def _finding(rows: DataFrame, detector: int, **columns) -> DataFrame:
@@ -91,21 +101,26 @@ def lexical_findings(lexical: DataFrame) -> DataFrame:
     return _finding(lexical, LEXICAL, kind=F.when(e, "llm_endpoint").otherwise("llm_sdk_reference"), severity=F.lit("info"), title=F.when(e, "LLM endpoint").otherwise("LLM SDK reference"), evidence=F.col("matched"), confidence=F.when(e, 0.9).otherwise(0.7))
 
 
-def rag_path_matches(sources: DataFrame) -> DataFrame:
+def rag_path_matches(sources: DataFrame, paths=None) -> DataFrame:
     """Retrieval artefacts by path alone; content is never read."""
-    found = F.array(*[F.when(F.col("source_file").rlike(p), F.struct(F.lit(i).alias("rule_idx"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))) for i, (n, p, s, c) in enumerate(rules.RAG_PATHS)])
+    paths = rules.RAG_PATHS if paths is None else paths
+    found = F.array(*[F.when(F.col("source_file").rlike(p), F.struct(F.lit(i).alias("rule_idx"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))) for i, (n, p, s, c) in enumerate(paths)])
     return sources.select(*KEYS, F.explode_outer(found).alias("r")).filter("r is not null").select(*KEYS, "r.*", S.basename(F.col("source_file")).alias("evidence"), S.dirname(F.col("source_file")).alias("container"))
 
 
-def rag_content_matches(sources: DataFrame) -> DataFrame:
-    return _hits(sources, [(p, p, {"name": n, "severity": s, "confidence": c}) for n, p, s, c in rules.RAG_CONTENT])
+def rag_content_matches(sources: DataFrame, contents=None) -> DataFrame:
+    """Client names in texts, with the places of their matches (offset, in code points from 0)."""
+    contents = rules.RAG_CONTENT if contents is None else contents
+    return _hits(sources, [(p, p, {"name": n, "severity": s, "confidence": c}) for n, p, s, c in contents], places=True)
 
 
-def rag_findings(sources: DataFrame) -> DataFrame:
-    kind = F.lit("rag_artefact")
-    paths = _finding(rag_path_matches(sources), RAG, kind=kind, title=F.col("name"), container=F.col("container"))
-    n = len(rules.RAG_PATHS)
-    return paths.unionByName(_finding(rag_content_matches(sources), RAG, kind=kind, title=F.col("name"), evidence=F.col("matched"), rule_idx=F.col("rule_idx") + n))
+def rag_findings(sources: DataFrame, paths=None, contents=None) -> DataFrame:
+    """Findings by path and by content (rules of one's own replace the defaults, and an empty list means none)."""
+    kind, n = F.lit("rag_artefact"), len(rules.RAG_PATHS if paths is None else paths)
+    out = [_finding(rag_path_matches(sources, paths), RAG, kind=kind, title=F.col("name"), container=F.col("container"))] if n else []
+    if contents is None or contents:
+        out.append(_finding(rag_content_matches(sources, contents), RAG, kind=kind, title=F.col("name"), evidence=F.col("matched"), offset=F.col("offset"), rule_idx=F.col("rule_idx") + n))
+    return reduce(DataFrame.unionByName, out) if out else _finding(sources.limit(0), RAG)
 
 
 def prompt_scores(sources: DataFrame, strong_only: bool = False) -> DataFrame:
@@ -205,6 +220,8 @@ def credential_findings(sources: DataFrame, least_entropy: float = 3.0) -> DataF
 
 
 UNKNOWN_GOOGLE = "Google API key (service unknown)"
+#: What is added to the description of a key that is attributed.
+ATTRIBUTED = " Attributed to Gemini, which this application addresses too."
 
 
 def promote_google(findings: DataFrame, providers: DataFrame) -> DataFrame:
@@ -212,7 +229,7 @@ def promote_google(findings: DataFrame, providers: DataFrame) -> DataFrame:
     flag = providers.select("app_id", F.array_contains("detected_providers", "google_gemini").alias("_g"))
     joined = findings.join(flag, "app_id", "left")
     hit = F.coalesce(F.col("_g"), F.lit(False)) & (F.col("title") == UNKNOWN_GOOGLE) & (F.col("kind") == "secret")
-    return joined.withColumns({"provider": F.when(hit, "google_gemini").otherwise(F.col("provider")), "severity": F.when(hit, "high").otherwise(F.col("severity"))}).drop("_g")
+    return joined.withColumns({"provider": F.when(hit, "google_gemini").otherwise(F.col("provider")), "severity": F.when(hit, "high").otherwise(F.col("severity")), "description": F.when(hit, F.concat(F.coalesce("description", F.lit("")), F.lit(ATTRIBUTED))).otherwise(F.col("description"))}).drop("_g")
 
 
 ORDER = ["detector_idx", "source_idx", "rule_idx", "hit_idx"]
@@ -226,17 +243,43 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     return grouped.select("app_id", "kind", "provider", "evidence", "b.*", F.when(many, F.col("n")).alias("occurrences"), F.when(many, F.col("l")).alias("locations"))
 
 
-def scan(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole scan: deduplicated findings, detected providers and integration per application."""
-    lexical = lexical_matches(sources)
-    providers = detected_providers(lexical)
+class Scanner(Protocol):
+    """A detector of one's own: stateless, from sources to findings (columns FINDING)."""
+
+    def __call__(self, sources: DataFrame) -> DataFrame: ...
+
+
+#: Detectors besides the lexical one, in the order that breaks ties between findings.
+SCANNERS: tuple[Scanner, ...] = (credential_findings, prompt_findings, tool_findings, rag_findings)
+
+
+def scan(sources: DataFrame, scanners: Sequence[Scanner] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole scan: deduplicated findings, detected providers and integration per application.
+
+    Scanners of one's own replace the defaults. keep() stages the small rows of lexical
+    matches, from which providers, findings and integration are made.
+    """
+    lexical = keep(lexical_matches(sources))
+    providers = keep(detected_providers(lexical))
     found = lexical_findings(lexical)
-    for more in (credential_findings(sources), prompt_findings(sources), tool_findings(sources), rag_findings(sources)):
-        found = found.unionByName(more)
+    for scanner in SCANNERS if scanners is None else scanners:
+        found = found.unionByName(scanner(sources).select(*FINDING))
     found = dedup_findings(promote_google(found, providers))
     return found, providers, integration(lexical, structural_evidence(sources, providers))
 
 
+def audit_matches(sources: DataFrame, patterns=None) -> DataFrame:
+    """One row for each source and pattern of the audit's wider net that occurs in it, whatever the detectors say."""
+    patterns = rules.AUDIT if patterns is None else patterns
+    return _candidates(sources, [(p, p, {"name": n}) for n, p in patterns]).filter("rlike(content, _re)").select(*KEYS, "name")
+
+
+def audit_signals(sources: DataFrame) -> DataFrame:
+    """Applications with whether the audit saw a strong signal in them."""
+    seen = audit_matches(sources, [(n, p) for n, p in rules.AUDIT if n.startswith(tuple(rules.AUDIT_STRONG))]).select("app_id").distinct().withColumn("signal", F.lit(True))
+    return sources.select("app_id").distinct().join(seen, "app_id", "left").withColumn("signal", F.coalesce("signal", F.lit(False)))
+
+
 def severity_histogram(findings: DataFrame) -> DataFrame:
     """Findings by severity of each application, zeros included, in one pass."""
     return findings.groupBy("app_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in rules.SEVERITIES])

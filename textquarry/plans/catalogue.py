@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.plans import corpus, detection, flagship, more
+from textquarry.plans import corpus, detection, files, flagship, more
 
-QUERIES = {"flagship_app_summary": flagship.app_summary} | detection.QUERIES | corpus.QUERIES | more.QUERIES
-ORACLE_SQL = {"flagship_app_summary": flagship.SQL} | detection.ORACLE_SQL | corpus.ORACLE_SQL | more.ORACLE_SQL
+QUERIES = {"flagship_app_summary": flagship.app_summary} | detection.QUERIES | corpus.QUERIES | more.QUERIES | files.QUERIES
+ORACLE_SQL = {"flagship_app_summary": flagship.SQL} | detection.ORACLE_SQL | corpus.ORACLE_SQL | more.ORACLE_SQL | files.ORACLE_SQL

@@ -8,8 +8,10 @@ from textquarry import rules
 from textquarry.functions import scalars as S
 from textquarry.operators import corpus as C
 from textquarry.operators import detectors as D
-from textquarry.plans.detection import LEX
+from textquarry.plans.detection import CONTAINER, LEX, LEXICAL_FINDINGS, STRUCT
 from textquarry.plans.overlay import SOURCES, read, sources
+from textquarry.sources.renderers import by_content
+from textquarry.sources.staging import staged
 
 # A package index made of parts: names with and without signals, versions and dates of all kinds.
 _WORDS = ["chatGPT", "aiHelper", "photo", "wallpaperAI", "OpenAIClient", "maps", "llm2go", "notes"]
@@ -141,7 +143,7 @@ def e3_latest_label(spark, d):
 
 
 def e4_last_wins(spark, d):
-    rows = read(spark, d, "events").withColumn("sha", F.lower(F.concat(F.lit("U"), F.col("user_id") % 100)))
+    rows = read(spark, d, "events").withColumn("sha", F.lower(F.concat(F.lit("U"), "user_id")))
     return C.latest(rows.select("sha", "event_id", "value"), "sha", ["event_id"]).select("sha", "event_id")
 
 
@@ -156,8 +158,9 @@ def d8_provider_counts(spark, d):
 
 
 def c3_confusion(spark, d):
-    docs, labels = read(spark, d, "documents"), read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("truth"))
-    return C.confusion(docs.select("doc_id", (F.length("text") > 1500).alias("flag")).join(labels, "doc_id", "left"), "flag", "truth")
+    """Predictions (hashes in capitals) restricted to labelled applications, whose hashes may be in small letters."""
+    labels = read(spark, d, "labels").select(F.upper(F.concat(F.lit("s"), "doc_id")).alias("sha"), (F.col("quality") == 1).alias("truth"))
+    return C.confusion(read(spark, d, "documents").select(F.concat(F.lit("S"), "doc_id").alias("sha"), (F.length("text") > 1500).alias("flag")).join(labels, "sha"), "flag", "truth")
 
 
 _OUTCOMES = ["concat('fp', c_custkey % 40) AS fingerprint", "CASE WHEN c_custkey % 2 = 0 THEN 'openai' ELSE 'google_gemini' END AS provider", "c_mktsegment AS package"]
@@ -196,7 +199,7 @@ def h19_html_escape(spark, d):
 
 
 def h14_cjk_density(spark, d):
-    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("你是一個教授請總結"), F.left("text", F.lit(20)))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.repeat(F.lit("你是一個教授請總結"), F.ceil(F.length("text") / 20).cast("int")), "text")).otherwise(F.col("text"))
     return read(spark, d, "documents").select("doc_id", S.cjk_dense(text).alias("dense"))
 
 
@@ -205,7 +208,10 @@ APPS = f"""{LEX}, flags AS (SELECT app_id, bool_or(provider = 'openai') AS opena
 
 
 def _apps(spark, d):
-    lex = D.lexical_matches(sources(spark, d))
+    return _flags(D.lexical_matches(sources(spark, d)))
+
+
+def _flags(lex):
     return lex.groupBy("app_id").agg(F.bool_or(F.col("provider") == "openai").alias("openai"), F.bool_or(F.col("provider") == "anthropic").alias("anthropic"), F.bool_or(~F.col("is_endpoint")).alias("sdk"), F.bool_or(F.col("source_idx") % 2 == 0).alias("even"), F.array_sort(F.collect_set("provider")).alias("providers"))
 
 
@@ -222,8 +228,10 @@ def c7_zero_filled(spark, d):
 
 
 def d4_by_provider(spark, d):
-    lex = D.lexical_matches(sources(spark, d))
-    return C.by_provider(_apps(spark, d), lex.filter("hit_idx = 0 and source_idx % 3 = 0").select("app_id", "provider"))
+    """Of the applications with a provider, those that also invoke it."""
+    src = sources(spark, d)
+    lex = staged(D.lexical_matches(src))
+    return C.by_provider(_flags(lex), D.structural_evidence(src, D.detected_providers(lex)).filter("kind = 'invocation'").select("app_id", "provider"))
 
 
 def d5_by_provider_and_kind(spark, d):
@@ -252,16 +260,17 @@ def g1_set_operations(spark, d):
 
 
 def d16_finding_counters(spark, d):
-    """Several tallies in one pass by grouping sets."""
-    f = D.lexical_findings(D.lexical_matches(sources(spark, d))).select("kind", "severity", S.confidence_tier(F.col("confidence")).alias("tier"), S.container_class(F.col("file_path")).alias("container"))
-    f.createOrReplaceTempView("_findings")
-    return spark.sql("SELECT kind, tier, container, count(*) AS n FROM _findings GROUP BY GROUPING SETS ((kind), (tier), (container))")
+    """Tallies by kind, severity, tier and container, of findings and of applications, in one pass by grouping sets."""
+    f = D.lexical_findings(D.lexical_matches(sources(spark, d))).select("app_id", "kind", "severity", S.confidence_tier(F.col("confidence")).alias("tier"), S.container_class(F.col("file_path")).alias("container"))
+    names = [F.col(c) for c in ("kind", "severity", "tier", "container")]
+    return f.groupingSets([[c] for c in names], *names).agg(F.count("*").alias("n"), F.count_distinct("app_id").alias("n_apps"))
 
 
 def d18_sensitivity(spark, d):
     """Applications whose only provider is a given one, by their set of providers."""
     a = _apps(spark, d)
-    return a.agg(F.count("*").alias("n"), F.count_if(F.col("providers") == F.array(F.lit("openai"))).alias("openai_only"), F.count_if(F.size("providers") > 1).alias("several"))
+    only = C.widened(a, F.col("openai"), F.col("providers"), "openai")
+    return a.agg(F.count("*").alias("n"), F.count_if(F.col("providers") == F.array(F.lit("openai"))).alias("openai_only"), F.count_if(F.size("providers") > 1).alias("several")).crossJoin(only)  # one row each
 
 
 def d19_co_occurrence(spark, d):
@@ -271,14 +280,28 @@ def d19_co_occurrence(spark, d):
 
 def d20_provider_distribution(spark, d):
     a = _apps(spark, d)
-    return a.select("app_id", F.explode("providers").alias("provider")).groupBy("provider").agg(F.count_distinct("app_id").alias("n"))
+    n = a.select("app_id", F.explode("providers").alias("provider")).groupBy("provider").agg(F.count_distinct("app_id").alias("n"))
+    return n.crossJoin(F.broadcast(a.agg(F.count("*").alias("_all")))).select("provider", "n", S.share(F.col("n"), F.col("_all")).alias("share")).orderBy(F.desc("n"), "provider")  # one row of totals
 
 
-def e9_framework_class(spark, d):
-    marks = ["lib/arm/libflutter.so", "index.android.bundle", "lib/libunity.so", "assets/www/index.html", "assemblies/x.dll", "kotlin/kotlin.kotlin_builtins", "res/a.xml"]
-    name = F.element_at(F.array(*map(F.lit, marks)), (F.col("c_custkey") % 7 + 1).cast("int"))
+_MARKS = ["lib/arm/libflutter.so", "index.android.bundle", "lib/libunity.so", "assets/www/index.html", "assemblies/x.dll", "kotlin/kotlin.kotlin_builtins", "res/a.xml"]
+
+
+def _frameworks(spark, d):
+    name = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("c_custkey") % 7 + 1).cast("int"))
     apps = read(spark, d, "customer").groupBy((F.col("c_custkey") % 60).alias("app")).agg(F.collect_set(F.when(F.col("c_custkey") % 11 < 3, name).otherwise("res/z.png")).alias("names"))
-    return apps.groupBy(S.framework_class(F.col("names")).alias("framework")).agg(F.count("*").alias("n"))
+    return apps.select("app", S.framework_class(F.col("names")).alias("framework"))
+
+
+def e9_framework_class(spark, d):
+    return _frameworks(spark, d)
+
+
+def d23_framework_counts(spark, d):
+    """Applications by toolchain, with shares, and the share of those that aren't native."""
+    n = _frameworks(spark, d).groupBy("framework").agg(F.count("*").alias("n"))
+    every = n.agg(F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col("framework") != rules.NATIVE, F.col("n"))), F.lit(0)).alias("_cross"))
+    return n.crossJoin(F.broadcast(every)).select("framework", "n", S.share(F.col("n"), F.col("_all")).alias("share"), S.share(F.col("_cross"), F.col("_all")).alias("cross_platform_share"))  # one row of totals
 
 
 def c10_worksheet_order(spark, d):
@@ -289,11 +312,11 @@ def c10_worksheet_order(spark, d):
 
 
 def c11_source_reconcile(spark, d):
-    """Rows of two stores that disagree or are missing in one."""
+    """Rows of three stores that disagree or are missing in one."""
     a = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    b = a.filter("o_orderkey % 97 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 89 == 0, "?").otherwise(F.col("o_orderstatus")).alias("other"))
-    j = a.join(b, "o_orderkey", "full_outer")
-    return j.agg(F.count_if(F.col("other").isNull()).alias("missing"), F.count_if(F.col("other") != F.col("o_orderstatus")).alias("different"), F.count_if(F.col("other") == F.col("o_orderstatus")).alias("same"))
+    b = a.filter("o_orderkey % 97 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 89 == 0, "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    c = a.filter("o_orderkey % 83 <> 0")
+    return C.reconcile({"log": a, "detail": b, "ledger": c}, "o_orderkey", "o_orderstatus")
 
 
 def c12_path_lookup(spark, d):
@@ -304,8 +327,8 @@ def c12_path_lookup(spark, d):
 
 def f7_content_order(spark, d):
     """Publication without identifiers, ordered by content."""
-    rows = read(spark, d, "supplier").select("s_nationkey", F.round("s_acctbal", -3).alias("bal")).groupBy("s_nationkey", "bal").agg(F.count("*").alias("n"))
-    return rows.orderBy(F.to_json(F.struct(*rows.columns)))
+    rows = read(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("region"), F.round("s_acctbal", -3).alias("bal")).groupBy("region", "bal").agg(F.count("*").alias("n"))
+    return by_content(rows)
 
 
 
@@ -322,9 +345,12 @@ def _y(c: str) -> str:
 
 
 _YEAR = f"coalesce({_y('dex_date')}, {_y('vt_scan_date')}, {_y('added')})"
+STORE = "CASE WHEN regexp_matches(lower(markets), 'play.google.com|google ?play') THEN 'google_play' WHEN regexp_matches(lower(markets), 'f-?droid') THEN 'f_droid' ELSE 'other' END"
 _SOURCE = f"CASE WHEN {_y('dex_date')} IS NOT NULL THEN 'dex_date' WHEN {_y('vt_scan_date')} IS NOT NULL THEN 'vt_scan_date' WHEN {_y('added')} IS NOT NULL THEN 'added' ELSE 'none' END"
 _TOK = "list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(pkg_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[._ -]+'), lambda x: x <> ''), lambda x: lower(x))"
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_TOOLS = " ".join(f"WHEN {' OR '.join(f'len(list_filter(names, lambda x: contains(x, {chr(39)}{m}{chr(39)}))) > 0' for m in marks)} THEN '{label}'" for label, marks in rules.FRAMEWORKS)
+_FRAMEWORKS = f"""named AS (SELECT c_custkey % 60 AS app, list(CASE WHEN c_custkey % 11 < 3 THEN {_L(_MARKS)}[c_custkey % 7 + 1] ELSE 'res/z.png' END) AS names FROM customer GROUP BY 1), classed AS (SELECT app, CASE {_TOOLS} ELSE '{rules.NATIVE}' END AS framework FROM named)"""
 SIGNALS = f"""{INDEX}, tok AS (SELECT *, {_TOK} AS t FROM idx), sig AS (SELECT *, CASE WHEN len(list_filter(t, lambda x: {" OR ".join(f"contains(x, '{v}')" for v in rules.VETO_SUBSTRINGS)})) > 0 OR starts_with(lower(pkg_name), 'appinventor.ai_') THEN []
  ELSE list_concat(list_concat(list_transform(list_filter({_L(rules.SIGNAL_PREFIXES)}, lambda p: starts_with(lower(pkg_name), p)), lambda p: 'pkg:' || p), list_sort(list_distinct(list_filter(t, lambda x: list_contains({_L(rules.SIGNAL_TOKENS)}, x))))),
  flatten(list_transform(t, lambda x: list_filter({_L(rules.SIGNAL_SUBSTRINGS)}, lambda s: contains(x, s))))) END AS s FROM tok)"""
@@ -336,7 +362,7 @@ QUERIES = {f.__name__: f for f in (
     e6_largest_remainder, l1_stratified_sample, l2_validation_sample, l3_blind_shuffle, l4_first_negatives, j2_ledger_state, d6_state_counts, b8_pending, j3_enroll, j5_reset, e3_latest_label,
     e4_last_wins, d7_ledger_stats, d8_provider_counts, c3_confusion, d11_credential_summary, d12_credential_by_provider, b9_disclosure, d13_distinct_keys, h7_fingerprint, h19_html_escape,
     h14_cjk_density, d2_category_stats, c7_zero_filled, d4_by_provider, d5_by_provider_and_kind, d14_integration_by_year, h30_wilson, g1_set_operations, d16_finding_counters, d18_sensitivity,
-    d19_co_occurrence, d20_provider_distribution, e9_framework_class, c10_worksheet_order, c11_source_reconcile, c12_path_lookup, f7_content_order,
+    d19_co_occurrence, d20_provider_distribution, e9_framework_class, d23_framework_counts, c10_worksheet_order, c11_source_reconcile, c12_path_lookup, f7_content_order,
 )}
 
 ORACLE_SQL = {
@@ -346,7 +372,7 @@ ORACLE_SQL = {
     "e2_dedup_by_package": f"""WITH {INDEX} SELECT pkg_name, sha256, vercode, dex_date FROM (SELECT *, row_number() OVER (PARTITION BY pkg_name ORDER BY CASE WHEN regexp_full_match(vercode, '[0-9]+') THEN vercode::BIGINT ELSE -1 END DESC, coalesce(dex_date, added, '') DESC, sha256 DESC) AS r FROM idx) WHERE r = 1""",
     "h3_year_of": f"WITH {INDEX} SELECT sha256, ({_YEAR})::BIGINT AS year, {_SOURCE} AS date_source FROM idx",
     "d21_frame_dating": f"WITH {SIGNALS} SELECT {_SOURCE} AS date_source, count(*) AS n, count(*) FILTER (len(s) > 0) AS n_candidates FROM sig GROUP BY 1",
-    "h5_store_stratum": f"WITH {INDEX} SELECT CASE WHEN regexp_matches(lower(markets), 'play.google.com|google ?play') THEN 'google_play' WHEN regexp_matches(lower(markets), 'f-?droid') THEN 'f_droid' ELSE 'other' END AS store, count(*) AS n FROM idx GROUP BY 1",
+    "h5_store_stratum": f"WITH {INDEX} SELECT {STORE} AS store, count(*) AS n FROM idx GROUP BY 1",
     "b6_year_window": f"WITH {INDEX} SELECT ({_YEAR})::BIGINT AS year, count(*) AS n FROM idx WHERE {_YEAR} IN (2020, 2021, 2022) GROUP BY 1",
     "h22_version_numeric": f"WITH {INDEX} SELECT CASE WHEN regexp_full_match(vercode, '[0-9]+') THEN vercode::BIGINT ELSE -1 END AS version, count(*) AS n FROM idx GROUP BY 1",
     "d15_by_stratum": "SELECT year(o_orderdate) AS year, o_orderpriority AS store, count(*) AS size FROM orders GROUP BY ALL",
@@ -361,7 +387,7 @@ ORACLE_SQL = {
     "j3_enroll": f"WITH {LOG} SELECT DISTINCT concat('u', c_custkey) AS sha256, 'pending' AS state, 0::BIGINT AS attempts FROM customer WHERE concat('u', c_custkey) NOT IN (SELECT sha256 FROM log)",
     "j5_reset": f"WITH {LOG}, {FOLD} SELECT CASE WHEN state IN ('download_failed', 'scan_failed') THEN 'pending' ELSE state END AS state, count(*) AS n, sum(CASE WHEN state IN ('download_failed', 'scan_failed') THEN 0 ELSE attempts END)::BIGINT AS attempts FROM fold GROUP BY 1",
     "e3_latest_label": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
-    "e4_last_wins": "SELECT lower('U' || (user_id % 100)) AS sha, max(event_id) AS event_id FROM events GROUP BY 1",
+    "e4_last_wins": "SELECT lower('U' || user_id) AS sha, max(event_id) AS event_id FROM events GROUP BY 1",
     "d7_ledger_stats": "SELECT count(*) AS scanned, count(*) FILTER (lang = 'en') AS integrated, sum(length(text) % 4)::BIGINT AS findings, (count(*) FILTER (lang = 'en'))::DOUBLE / count(*) AS llm_rate FROM documents",
     "d8_provider_counts": "SELECT 'openai' AS provider, count(*) FILTER (o_orderkey % 3 <> 2) AS n FROM orders UNION ALL SELECT 'cohere', count(*) FILTER (o_orderkey % 3 = 0) FROM orders",
     "c3_confusion": """WITH r AS (SELECT length(text) > 1500 AS p, quality = 1 AS a FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM r)
@@ -372,19 +398,23 @@ ORACLE_SQL = {
     "d13_distinct_keys": "SELECT count(DISTINCT c_custkey % 40) AS n FROM customer",
     "h7_fingerprint": "SELECT c_custkey, left(sha256(c_name), 16) AS fp, CASE WHEN length(x) <= 60 THEN x ELSE left(x, 30) || '…' || right(x, 15) END AS shown FROM (SELECT *, c_name || ' of segment ' || repeat(c_mktsegment, 8) AS x FROM customer)",
     "h19_html_escape": "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM pages",
-    "h14_cjk_density": "SELECT doc_id, length(regexp_replace(t, '[^\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]', '', 'g')) >= 0.25 * length(t) AND length(t) > 0 AS dense FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '你是一個教授請總結' || left(text, 20) ELSE text END AS t FROM documents)",
+    "h14_cjk_density": "SELECT doc_id, length(regexp_replace(t, '[^\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}]', '', 'g')) >= 0.25 * length(t) AND length(t) > 0 AS dense FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN repeat('你是一個教授請總結', ceil(length(text) / 20)::INT) || text ELSE text END AS t FROM documents)",
     "d2_category_stats": f"WITH {APPS}, c AS (SELECT unnest(['openai', 'anthropic', 'sdk']) AS category, unnest([count(*) FILTER (even AND openai), count(*) FILTER (even AND anthropic), count(*) FILTER (even AND sdk)]) AS successes, count(*) FILTER (even) AS n FROM flags) SELECT *, {_interval()} FROM c",
     "c7_zero_filled": f"WITH {LEX}, k AS (SELECT CASE WHEN is_endpoint THEN 'llm_endpoint' ELSE 'llm_sdk_reference' END AS kind, count(DISTINCT app_id) AS n FROM lex GROUP BY 1) SELECT d.kind, d.ord, coalesce(n, 0) AS n FROM (SELECT unnest({_L(rules.KINDS)}) AS kind, unnest(range(0, 6))::INT AS ord) d LEFT JOIN k USING (kind)",
-    "d4_by_provider": f"WITH {APPS}, h AS (SELECT DISTINCT app_id, provider FROM lex WHERE hit_idx = 0 AND source_idx % 3 = 0), c AS (SELECT provider, count(h.app_id) AS successes, count(*) AS n FROM (SELECT DISTINCT app_id, provider FROM lex) p LEFT JOIN h USING (app_id, provider) GROUP BY 1) SELECT *, {_interval()} FROM c",
+    "d4_by_provider": f"WITH {APPS}, {STRUCT}, h AS (SELECT DISTINCT app_id, provider FROM struct WHERE kind = 'invocation'), c AS (SELECT provider, count(h.app_id) AS successes, count(*) AS n FROM (SELECT DISTINCT app_id, provider FROM lex) p LEFT JOIN h USING (app_id, provider) GROUP BY 1) SELECT *, {_interval()} FROM c",
     "d5_by_provider_and_kind": f"WITH {APPS}, p AS (SELECT *, unnest(providers) AS provider FROM flags), c AS (SELECT provider, 'sdk' AS kind, count(*) FILTER (sdk) AS successes, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT provider, 'even', count(*) FILTER (even), count(*) FROM p GROUP BY 1) SELECT *, {_interval()} FROM c",
     "d14_integration_by_year": f"WITH c AS (SELECT year(o_orderdate) AS year, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS successes FROM orders GROUP BY 1) SELECT *, {_interval('1.0')} FROM c",
     "h30_wilson": f"WITH c AS (SELECT k, least(k, k * 3 % 17) AS successes, k * 3 % 17 AS n FROM range(0, 40) t(k)) SELECT *, {_interval('1.0')} FROM c",
     "g1_set_operations": f"WITH {APPS} SELECT app_id, 'union' AS op FROM flags WHERE openai OR anthropic UNION ALL SELECT app_id, 'intersect' FROM flags WHERE openai AND anthropic UNION ALL SELECT app_id, 'except' FROM flags WHERE openai AND NOT anthropic UNION ALL SELECT app_id, 'anti' FROM flags WHERE NOT openai",
-    "d18_sensitivity": f"WITH {APPS} SELECT count(*) AS n, count(*) FILTER (providers = ['openai']) AS openai_only, count(*) FILTER (len(providers) > 1) AS several FROM flags",
+    "d18_sensitivity": f"WITH {APPS} SELECT count(*) AS n, count(*) FILTER (providers = ['openai']) AS openai_only, count(*) FILTER (len(providers) > 1) AS several, count(*) FILTER (NOT openai AND len(providers) > 0) AS attributed, count(*) FILTER (NOT openai AND providers = ['openai']) AS one_only, (count(*) FILTER (openai) + count(*) FILTER (NOT openai AND len(providers) > 0))::BIGINT AS denominator FROM flags",
     "d19_co_occurrence": f"WITH {APPS} SELECT count(*) FILTER (openai) AS a, count(*) FILTER (openai AND anthropic) AS both, (count(*) FILTER (openai AND anthropic))::DOUBLE / nullif(count(*) FILTER (openai), 0) AS share FROM flags",
-    "d20_provider_distribution": f"WITH {LEX} SELECT provider, count(DISTINCT app_id) AS n FROM lex GROUP BY 1",
+    "d20_provider_distribution": f"WITH {LEX} SELECT provider, count(DISTINCT app_id) AS n, count(DISTINCT app_id)::DOUBLE / (SELECT count(DISTINCT app_id) FROM lex) AS share FROM lex GROUP BY 1 ORDER BY n DESC, provider",
     "c10_worksheet_order": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 1000000 - doc_id END AS place FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY place NULLS LAST, doc_id",
-    "c11_source_reconcile": "SELECT count(*) FILTER (o_orderkey % 97 = 0) AS missing, count(*) FILTER (o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0) AS different, count(*) FILTER (o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0) AS same FROM orders",
+    "d16_finding_counters": f"""WITH {LEX}, {LEXICAL_FINDINGS}, g AS (SELECT app_id, kind, severity, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS tier, {CONTAINER.replace("source_file", "file_path")} AS container FROM found)
+ SELECT kind, severity, tier, container, count(*) AS n, count(DISTINCT app_id) AS n_apps FROM g GROUP BY GROUPING SETS ((kind), (severity), (tier), (container))""",
+    "e9_framework_class": f"WITH {_FRAMEWORKS} SELECT app, framework FROM classed",
+    "d23_framework_counts": f"WITH {_FRAMEWORKS} SELECT framework, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM classed) AS share, (SELECT count(*) FILTER (framework <> '{rules.NATIVE}') / count(*)::DOUBLE FROM classed) AS cross_platform_share FROM classed GROUP BY 1",
+    "c11_source_reconcile": "WITH k AS (SELECT o_orderkey % 97 = 0 AS no_detail, o_orderkey % 83 = 0 AS no_ledger, o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 AS changed FROM orders) SELECT 0::BIGINT AS missing_log, count(*) FILTER (no_detail) AS missing_detail, count(*) FILTER (no_ledger) AS missing_ledger, count(*) FILTER (NOT no_detail AND NOT no_ledger AND changed) AS different, count(*) FILTER (NOT no_detail AND NOT no_ledger AND NOT changed) AS same FROM k",
     "c12_path_lookup": "SELECT count(*) AS n, count(*) FILTER (n_nationkey NOT IN (SELECT s_nationkey FROM supplier)) AS unavailable FROM nation",
-    "f7_content_order": "SELECT s_nationkey, round(s_acctbal, -3) AS bal, count(*) AS n FROM supplier GROUP BY ALL",
+    "f7_content_order": "SELECT s_nationkey % 5 AS region, round(s_acctbal, -3) AS bal, count(*) AS n FROM supplier GROUP BY ALL",
 }

@@ -8,6 +8,7 @@ from textquarry import rules
 from textquarry.functions import scalars as S
 from textquarry.operators import detectors as D
 from textquarry.plans.overlay import SOURCES, read, sources, values
+from textquarry.sources.staging import staged
 
 _LEXICAL = [(i, who, p, ("(?i)" if ic else "") + p, True) for i, (who, p, ic) in enumerate(rules.ENDPOINTS)]
 _LEXICAL += [(len(rules.ENDPOINTS) + i, who, x, x.replace(".", "\\.") + r"(?:[^\p{L}\p{N}_]|$)", False) for i, (who, x) in enumerate(rules.SDK_NAMESPACES)]
@@ -69,7 +70,7 @@ def i4_structural_json_body(spark, d):
 
 def b3_llm_confirmed(spark, d):
     src = sources(spark, d)
-    lex = D.lexical_matches(src)
+    lex = staged(D.lexical_matches(src))
     return D.integration(lex, D.structural_evidence(src, D.detected_providers(lex)))
 
 
@@ -127,7 +128,7 @@ def is_credentials(spark, d):
 
 
 def i10_scan_app(spark, d):
-    found, providers, integ = D.scan(sources(spark, d))
+    found, providers, integ = D.scan(sources(spark, d), keep=staged)
     kinds = found.groupBy("app_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in rules.KINDS])
     return kinds.join(integ.select("app_id", "confirmed"), "app_id", "left").join(providers.select("app_id", F.array_join("detected_providers", "|").alias("providers")), "app_id", "left")
 
@@ -141,7 +142,7 @@ def g4_findings_union(spark, d):
 def c6_gemini_corroboration(spark, d):
     src = sources(spark, d)
     lex = D.lexical_matches(src)
-    keys = src.filter("source_idx % 5 = 0").select("app_id", "source_idx", "source_file")
+    keys = src.select("app_id", "source_idx", "source_file")
     made = D._finding(keys, D.SECRETS, kind=F.lit("secret"), severity=F.lit("medium"), title=F.lit(D.UNKNOWN_GOOGLE), provider=F.lit("generic"), evidence=F.concat(F.lit("k"), "source_idx"), confidence=F.lit(0.85))
     return D.promote_google(made, D.detected_providers(lex)).groupBy("app_id", "provider", "severity").agg(F.count("*").alias("n"))
 
@@ -190,19 +191,15 @@ def h8_paths(spark, d):
     return read(spark, d, "pages").select("page_id", S.basename(p).alias("base"), S.dirname(p).alias("dir"), S.top_component(p).alias("top"), S.is_media(p).alias("media"))
 
 
-#: A wider net for the audit, independent of the detectors' rules.
-AUDIT = [("endpoint.openai", r"api\.openai\.com|openai\.azure\.com"), ("endpoint.anthropic", r"(?i)api\.anthropic\.com"), ("prompt.preset", r"I want you to act as"), ("prompt.system", r"[Yy]ou are (?:a|an|the) [a-zA-Z]"), ("schema.tool", r'"type"\s*:\s*"function"|"input_schema"'), ("rag.embed", r"text-embedding-[\w-]+"), ("sdk.ns", r"com/(?:openai|anthropic)|langchain"), ("model.id", r"(?i)gpt-[345]|claude-[\w.-]+")]
-STRONG = ["endpoint.", "key.openai", "key.anthropic", "key.other", "prompt.system", "prompt.preset", "prompt.confid", "schema.tool", "rag.", "sdk.ns"]
+def i12_audit_patterns(spark, d):
+    """Sources in which each pattern of the wider net occurs."""
+    return D.audit_matches(sources(spark, d)).groupBy("app_id", "name").agg(F.count("*").alias("n"))
 
 
 def i12_audit(spark, d):
     """Per application: does a wider net agree with the detectors' lexical findings?"""
     src = sources(spark, d)
-    strong = F.lit(False)
-    for name, p in AUDIT:
-        if any(name.startswith(x) for x in STRONG):
-            strong = strong | F.col("content").rlike(p)
-    seen = src.groupBy("app_id").agg(F.bool_or(strong).alias("signal"))
+    seen = D.audit_signals(src)
     found = _lex(spark, d).filter("is_endpoint").select("app_id").distinct().withColumn("found", F.lit(True))
     both = seen.join(found, "app_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     return both.withColumn("verdict", F.when(~F.col("found") & F.col("signal"), "EMPTY-BUT-SIGNAL").when(F.col("found") & ~F.col("signal"), "WEAK").otherwise("AGREE"))
@@ -214,10 +211,10 @@ def d25_audit_partition(spark, d):
     return v.agg(F.count("*").alias("audited"), *[F.count_if(F.col("verdict") == n).alias(n.lower().replace("-", "_")) for n in names])
 
 
-_AUDIT_TEST = " OR ".join("regexp_matches(content, '" + p.replace("'", "''") + "')" for n, p in AUDIT if any(n.startswith(x) for x in STRONG))
+_AUDIT_TEST = " OR ".join("regexp_matches(content, '" + p.replace("'", "''") + "')" for n, p in rules.AUDIT if n.startswith(tuple(rules.AUDIT_STRONG)))
 _AUDIT_SQL = f"""{LEX}, verdicts AS (SELECT app_id, signal, found, CASE WHEN NOT found AND signal THEN 'EMPTY-BUT-SIGNAL' WHEN found AND NOT signal THEN 'WEAK' ELSE 'AGREE' END AS verdict FROM
  (SELECT app_id, bool_or({_AUDIT_TEST}) AS signal, app_id IN (SELECT app_id FROM lex WHERE is_endpoint) AS found FROM sources GROUP BY 1))"""
-_CONTAINER = """CASE WHEN regexp_full_match(source_file, 'classes\\d*\\.dex') THEN 'dex' WHEN source_file LIKE 'lib/%.so' THEN 'native_library' WHEN source_file = 'resources.arsc' THEN 'resource_table'
+CONTAINER = """CASE WHEN regexp_full_match(source_file, 'classes\\d*\\.dex') THEN 'dex' WHEN source_file LIKE 'lib/%.so' THEN 'native_library' WHEN source_file = 'resources.arsc' THEN 'resource_table'
  WHEN source_file = 'AndroidManifest.xml' THEN 'manifest' WHEN source_file LIKE 'assets/%' THEN 'asset' WHEN source_file LIKE 'res/%' THEN 'resource' ELSE 'other' END"""
 
 
@@ -247,7 +244,7 @@ QUERIES = {f.__name__: f for f in (
     i1_lexical_endpoints, i2_lexical_sdk, e5_first_seen_providers, c2_structural_evidence, i3_structural_invocation, i4_structural_json_body, b3_llm_confirmed,
     b2_llm_lexical_rule, i5_lexical_findings, e1_dedup_findings, d1_severity_histogram, c1_rules_x_sources, i8_rag_paths, i9_rag_content, i6_prompt_components,
     i6_system_prompts, h10_printable_runs, i7_tool_schemas, is_credentials, i10_scan_app, g4_findings_union, c6_gemini_corroboration, h15_classify_prompt,
-    d24_prompt_rollup, d22_host_counts, b5_host_interesting, f4_snippets, h13_snippet, f3_sdk_paths, e8_container_class, b10_non_dex, h8_paths, i12_audit, d25_audit_partition,
+    d24_prompt_rollup, d22_host_counts, b5_host_interesting, f4_snippets, h13_snippet, f3_sdk_paths, e8_container_class, b10_non_dex, h8_paths, i12_audit_patterns, i12_audit, d25_audit_partition,
 )}
 
 ORACLE_SQL = {
@@ -271,7 +268,7 @@ ORACLE_SQL = {
     "g4_findings_union": f"""WITH {_RAG_SQL}, {LEX.removeprefix(SOURCES + ",")} SELECT kind, severity, count(*) AS n FROM (SELECT CASE WHEN is_endpoint THEN 'llm_endpoint' ELSE 'llm_sdk_reference' END AS kind, 'info' AS severity FROM lex
  UNION ALL SELECT 'rag_artefact', severity FROM ragp UNION ALL SELECT 'rag_artefact', severity FROM ragc) GROUP BY ALL""",
     "c6_gemini_corroboration": f"""WITH {LEX} SELECT app_id, CASE WHEN g THEN 'google_gemini' ELSE 'generic' END AS provider, CASE WHEN g THEN 'high' ELSE 'medium' END AS severity, count(*) AS n
- FROM (SELECT app_id, app_id IN (SELECT app_id FROM lex WHERE provider = 'google_gemini') AS g FROM sources WHERE source_idx % 5 = 0) GROUP BY ALL""",
+ FROM (SELECT app_id, app_id IN (SELECT app_id FROM lex WHERE provider = 'google_gemini') AS g FROM sources) GROUP BY ALL""",
     "h10_printable_runs": f"""WITH {SOURCES}, r AS (SELECT source_idx, list_filter(regexp_split_to_array(content, '[\\pC\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> '') AS runs FROM sources)
  SELECT source_idx, len(runs) AS n_runs, coalesce(list_max(list_transform(runs, lambda x: length(x))), 0) AS longest FROM r""",
     "h15_classify_prompt": f"WITH {_CLASSES} SELECT source_idx, class, first_person, second_person, confidential, role_binding, white_label FROM classed",
@@ -283,9 +280,10 @@ ORACLE_SQL = {
     "h13_snippet": f"""WITH {SOURCES}, p AS (SELECT source_idx, content, strpos(lower(content), 'openai') AS pos FROM sources) SELECT source_idx, trim(replace(substr(content, greatest(1, pos - 60), pos + 66 - greatest(1, pos - 60)), chr(10), ' ')) AS snippet FROM p WHERE pos > 0""",
     "f3_sdk_paths": f"""WITH {SOURCES}, l AS (SELECT app_id, unnest(string_split(content, chr(10))) AS line FROM sources), k AS (SELECT DISTINCT app_id, trim(line) AS line FROM l WHERE length(line) < 200 AND ({_HINTS}) AND (contains(line, '/') OR contains(line, '.')))
  SELECT * FROM (SELECT app_id, line, row_number() OVER (PARTITION BY app_id ORDER BY line) AS rank FROM k) WHERE rank <= 40""",
-    "e8_container_class": f"WITH {SOURCES} SELECT {_CONTAINER} AS container, count(*) AS n FROM sources GROUP BY 1",
+    "e8_container_class": f"WITH {SOURCES} SELECT {CONTAINER} AS container, count(*) AS n FROM sources GROUP BY 1",
     "b10_non_dex": f"WITH {SOURCES} SELECT split_part(source_file, '/', 1) AS top, count(*) AS n FROM sources WHERE NOT regexp_full_match(split_part(source_file, '/', -1), 'classes\\d*\\.dex') GROUP BY 1",
     "h8_paths": f"SELECT page_id, split_part(url, '/', -1) AS base, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') END AS dir, split_part(url, '/', 1) AS top, regexp_matches(lower(url), '\\.({'|'.join(S.MEDIA)})$') AS media FROM pages",
+    "i12_audit_patterns": f"WITH {SOURCES}, wide(name, re) AS {values(rules.AUDIT)} SELECT app_id, name, count(*) AS n FROM sources, wide WHERE regexp_matches(content, re) GROUP BY ALL",
     "i12_audit": f"WITH {_AUDIT_SQL} SELECT * FROM verdicts",
     "d25_audit_partition": f"WITH {_AUDIT_SQL} SELECT count(*) AS audited, count(*) FILTER (verdict = 'AGREE') AS agree, count(*) FILTER (verdict = 'EMPTY-BUT-SIGNAL') AS empty_but_signal, count(*) FILTER (verdict = 'WEAK') AS weak FROM verdicts",
 }

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from textquarry.operators import detectors as D
 from textquarry.plans import overlay
 from textquarry.plans.detection import INTEGRATION, LEX, PROVIDERS
+from textquarry.sources.staging import staged
 
 
 def app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = overlay.sources(spark, sf_dir)
-    lexical = D.lexical_matches(src)
-    providers = D.detected_providers(lexical)
+    lexical = staged(D.lexical_matches(src))  # small rows, from which all below is made
+    providers = staged(D.detected_providers(lexical))
     confirmed = D.integration(lexical, D.structural_evidence(src, providers))
     counts = D.dedup_findings(D.lexical_findings(lexical)).groupBy("app_id").agg(F.count_if(F.col("kind") == "llm_endpoint").alias("n_endpoints"), F.count_if(F.col("kind") == "llm_sdk_reference").alias("n_sdk_references"))
     apps = src.select("app_id").distinct()

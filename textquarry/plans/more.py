@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from textquarry import rules
@@ -12,8 +9,9 @@ from textquarry.functions import scalars as S
 from textquarry.operators import corpus as C
 from textquarry.operators import detectors as D
 from textquarry.plans.corpus import _L, _TOK, APPS, INDEX, _apps, _interval, index
-from textquarry.plans.detection import _HOSTS, LEX, LEXICAL_FINDINGS
-from textquarry.plans.overlay import read, sources
+from textquarry.plans.detection import _CLASSES, _HOSTS, _RAG_SQL, LEX, LEXICAL_FINDINGS
+from textquarry.plans.overlay import SOURCES, read, sources
+from textquarry.sources.staging import new_folder, staged
 
 
 def parse_years(text: str) -> list[int]:
@@ -24,14 +22,6 @@ def parse_years(text: str) -> list[int]:
     return [int(x) for x in text.split(",")]
 
 
-def _folder(spark) -> str:
-    """A new folder that all executors share; a temporary one only in a local session."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp()
-
-
 def b4_media_skip(spark, d):
     return sources(spark, d).withColumn("path", F.concat("source_file", F.when(F.col("source_idx") % 4 == 0, ".PNG").otherwise(""))).groupBy(S.is_media(F.col("path")).alias("media")).agg(F.count("*").alias("n"))
 
@@ -62,9 +52,23 @@ def d3_by_kind(spark, d):
 
 
 def d17_prevalence(spark, d):
-    """Several set-valued shares with intervals and their widths, in one pass."""
-    flags = {"openai": F.col("openai"), "any_of_two": F.col("openai") | F.col("anthropic"), "neither": ~(F.col("openai") | F.col("anthropic")), "sdk_only": F.col("sdk") & ~F.col("openai")}
-    return C.category_stats(_apps(spark, d), flags, F.lit(True), "unit").withColumn("ci_width", F.col("ci_upper") - F.col("ci_lower"))
+    """Ten set-valued shares of the integrated applications, with intervals and their widths, in one pass over flags by application."""
+    src = sources(spark, d)
+    lex = staged(D.lexical_matches(src))
+    found = lex.select("app_id", F.when(F.col("is_endpoint"), "llm_endpoint").otherwise("llm_sdk_reference").alias("kind"), "provider", "source_file").unionByName(D.rag_findings(src).select("app_id", "kind", "provider", F.col("file_path").alias("source_file")))
+    # stand-ins for what the supplied texts lack: SDK references as credentials, of one provider as other secrets
+    credential = (F.col("kind") == "llm_sdk_reference") & (F.col("provider") == "openai")
+    prompts = D.prompt_rollup(src.select("app_id", S.classify_prompt(F.col("content")).alias("c"))).select("app_id", F.col("system").alias("prompt"), F.col("preset_only").alias("preset"))
+    flags = found.groupBy("app_id").agg(
+        F.bool_or(credential).alias("credential"), F.bool_or((F.col("kind") == "llm_sdk_reference") & ~credential).alias("other"), F.bool_or(F.col("kind") == "rag_artefact").alias("rag"),
+        F.bool_or(F.col("kind") == "llm_endpoint").alias("endpoint"), F.bool_or(S.not_dex(F.col("source_file"))).alias("outside"),
+    ).join(prompts, "app_id", "left")
+    tools = D.audit_matches(src, [x for x in rules.AUDIT if x[0] == "schema.tool"]).select("app_id").distinct().withColumn("tool", F.lit(True))
+    apps = flags.join(tools, "app_id", "left").na.fill(False)
+    c = F.col
+    every = c("credential") | c("prompt") | c("tool") | c("rag")
+    names = {"inference_credential": c("credential"), "other_secret": c("other"), "system_prompt": c("prompt"), "preset_only": c("preset"), "tool_schema": c("tool"), "rag_artefact": c("rag"), "llm_endpoint": c("endpoint"), "any_artefact": every, "no_artefact": ~every, "finding_outside_dex": c("outside")}
+    return C.category_stats(apps, names, F.lit(True), "unit").withColumn("ci_width", F.col("ci_upper") - F.col("ci_lower"))
 
 
 def e7_unique_signals(spark, d):
@@ -86,13 +90,13 @@ def h31_confidence_tier(spark, d):
 
 
 def j1_event_stream(spark, d):
-    """Events read as a stream, counted by hour and kind under a watermark, and written once (rows only)."""
+    """Events read as a stream, counted by hour and kind under a watermark, and written once; hours that the watermark hasn't passed stay open."""
     from textquarry.streaming.ledger import event_counts
 
     schema = read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*")
-    folder = _folder(spark)
-    counts = event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts").select(F.col("window.start").alias("hour"), "event_type", "n")
+    folder = new_folder(spark, "stream")
+    counts = event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
     counts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{folder}/out")
 
@@ -106,9 +110,18 @@ ORACLE_SQL = {
     "c4_detail_semi": "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
     "c8_provider_outer": f"WITH {LEX} SELECT d.provider, d.ord, n FROM (SELECT unnest({_L(rules.PROVIDERS)}) AS provider, unnest(range(0, {len(rules.PROVIDERS)}))::INT AS ord) d JOIN (SELECT provider, count(DISTINCT app_id) AS n FROM lex GROUP BY 1) USING (provider)",
     "d3_by_kind": f"WITH {LEX}, {LEXICAL_FINDINGS}, c AS (SELECT unnest({_L(rules.KINDS)}) AS category, unnest([{_KIND_SQL}]) AS successes, count(DISTINCT app_id) AS n FROM found) SELECT *, {_interval()} FROM c",
-    "d17_prevalence": f"WITH {APPS}, c AS (SELECT unnest(['openai', 'any_of_two', 'neither', 'sdk_only']) AS category, unnest([count(*) FILTER (openai), count(*) FILTER (openai OR anthropic), count(*) FILTER (NOT (openai OR anthropic)), count(*) FILTER (sdk AND NOT openai)]) AS successes, count(*) AS n FROM flags), i AS (SELECT *, {_interval('1.0')} FROM c) SELECT *, ci_upper - ci_lower AS ci_width FROM i",
+    "d17_prevalence": f"""WITH {_RAG_SQL}, {LEX.removeprefix(SOURCES + ",")}, {_CLASSES.removeprefix(SOURCES + ",")},
+ f AS (SELECT app_id, CASE WHEN is_endpoint THEN 'llm_endpoint' ELSE 'llm_sdk_reference' END AS kind, provider, source_file FROM lex UNION ALL SELECT app_id, 'rag_artefact', NULL, source_file FROM ragp JOIN sources USING (app_id, source_idx) UNION ALL SELECT app_id, 'rag_artefact', NULL, source_file FROM ragc JOIN sources USING (app_id, source_idx)),
+ g AS (SELECT app_id, coalesce(bool_or(kind = 'llm_sdk_reference' AND provider = 'openai'), false) AS credential, coalesce(bool_or(kind = 'llm_sdk_reference' AND provider <> 'openai'), false) AS other, bool_or(kind = 'rag_artefact') AS rag, bool_or(kind = 'llm_endpoint') AS endpoint,
+  bool_or(NOT regexp_full_match(split_part(source_file, '/', -1), 'classes\\d*\\.dex')) AS outside FROM f GROUP BY 1),
+ p AS (SELECT app_id, bool_or(class = 'system_prompt') AS prompt, bool_or(class = 'preset') AND NOT bool_or(class = 'system_prompt') AS preset FROM classed GROUP BY 1),
+ t AS (SELECT DISTINCT app_id, true AS tool FROM sources WHERE regexp_matches(content, '{dict(rules.AUDIT)["schema.tool"]}')),
+ a AS (SELECT app_id, credential, other, rag, endpoint, outside, coalesce(prompt, false) AS prompt, coalesce(preset, false) AS preset, coalesce(tool, false) AS tool FROM g LEFT JOIN p USING (app_id) LEFT JOIN t USING (app_id)),
+ c AS (SELECT unnest(['inference_credential', 'other_secret', 'system_prompt', 'preset_only', 'tool_schema', 'rag_artefact', 'llm_endpoint', 'any_artefact', 'no_artefact', 'finding_outside_dex']) AS category, unnest([count(*) FILTER (credential), count(*) FILTER (other), count(*) FILTER (prompt), count(*) FILTER (preset), count(*) FILTER (tool), count(*) FILTER (rag), count(*) FILTER (endpoint),
+  count(*) FILTER (credential OR prompt OR tool OR rag), count(*) FILTER (NOT (credential OR prompt OR tool OR rag)), count(*) FILTER (outside)]) AS successes, count(*) AS n FROM a), i AS (SELECT *, {_interval('1.0')} FROM c) SELECT *, ci_upper - ci_lower AS ci_width FROM i""",
     "e7_unique_signals": f"WITH {INDEX}, t AS (SELECT sha256, {_TOK} AS t FROM (SELECT sha256, pkg_name || '.' || pkg_name AS pkg_name FROM idx)) SELECT sha256, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS tokens FROM t",
     "f2_top_hosts": f"WITH {_HOSTS} SELECT host, count(*) AS n FROM judged WHERE interesting GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "g5_token_intersect": f"WITH {INDEX} SELECT sha256, array_to_string(list_sort(list_distinct(list_filter({_TOK}, lambda x: list_contains({_L(rules.SIGNAL_TOKENS)}, x)))), ',') AS tokens FROM idx",
+    "j1_event_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)",
     "h31_confidence_tier": "SELECT CASE WHEN 1 - l_discount * 4 >= 0.9 THEN 'high' WHEN 1 - l_discount * 4 >= 0.7 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM lineitem GROUP BY 1",
 }

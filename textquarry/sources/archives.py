@@ -24,6 +24,7 @@ from textquarry.functions.scalars import MEDIA
 MOST_ENTRY = 64 * 1024 * 1024
 NATIVE_RUN, ASSET_RUN, SAMPLE, PRINTABLE_SHARE = 6, 4, 4096, 0.85
 MOST_NESTED, NESTED_DEPTH, NESTED_ENTRIES = 40_000_000, 2, 400
+MOST_PROBED, SAMPLE_ZEROS = 80_000_000, 2000
 
 _MEDIA = re.compile(rf"\.({'|'.join(MEDIA)})$", re.IGNORECASE)
 _NOT_PRINTABLE = re.compile(rb"[^\x20-\x7e\t\n\r]")
@@ -168,15 +169,55 @@ def read_packages(spark: SparkSession, path: str, dedupe_entries: bool = True) -
     return packages(spark, path).select(F.sha2("content", 256).alias("app_id"), "content").mapInArrow(run, "app_id string, source_idx int, source_file string, content string, error string")
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(app_id, file, bytes) of the packages below a path."""
+    return packages(spark, path).select(F.sha2("content", 256).alias("app_id"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
 def entry_names(spark: SparkSession, path: str) -> DataFrame:
-    """(app_id, names) from the archives' directories."""
+    """(app_id, names) from the archives' directories; names are null if there is none that can be read."""
 
-    @F.udf("array<string>")
-    def names(data: bytes) -> list[str] | None:
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return z.namelist()
-        except zipfile.BadZipFile:
-            return None
+    @F.arrow_udf("array<string>")
+    def names(archives: pa.Array) -> pa.Array:
+        out = []
+        for data in archives:
+            try:
+                with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as z:
+                    out.append(z.namelist())
+            except zipfile.BadZipFile:
+                out.append(None)
+        return pa.array(out, pa.list_(pa.string()))
 
     return packages(spark, path).select(F.sha2("content", 256).alias("app_id"), names("content").alias("names"))
+
+
+def probe_entries(spark: SparkSession, path: str, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(app_id, entry, name, match) of an audit's patterns in all entries and in what is nested in them, raw and with zero bytes left out (a fold of UTF-16)."""
+    compiled = [(n, p) for n, p in patterns]
+
+    def run(batches):
+        tests = [(n, re.compile(p.encode())) for n, p in compiled]
+        for batch in batches:
+            for app, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = set()
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        for info in z.infolist():
+                            if info.file_size > MOST_PROBED:
+                                continue
+                            for entry, raw in _nested(z, info):
+                                probes = [raw, raw.replace(b"\0", b"")] if b"\0" in raw[:SAMPLE_ZEROS] else [raw]
+                                seen |= {(entry, n, m[0][:70].decode("utf-8", "replace")) for n, t in tests for x in probes for m in t.finditer(x)}
+                except zipfile.BadZipFile:
+                    continue
+                rows = sorted(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([app] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["app_id", "entry", "name", "match"])
+
+    return packages(spark, path).select(F.sha2("content", 256).alias("app_id"), "content").mapInArrow(run, "app_id string, entry string, name string, match string")
+
+
+def _nested(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> list[tuple[str, bytes]]:
+    try:
+        return list(unwrap(info.filename, z.read(info)))
+    except Exception:  # noqa: BLE001  a damaged entry doesn't stop the others
+        return []

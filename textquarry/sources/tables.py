@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry import rules
 from textquarry.functions import scalars as S
+from textquarry.operators import corpus
 
 INDEX = "sha256 string, sha1 string, md5 string, dex_date string, apk_size string, pkg_name string, vercode string, vt_detection string, vt_scan_date string, dex_size string, markets string, added string"
 FRAME = ["sha256", "pkg_name", "year", "date_source", "store", "vercode", "markets", "apk_size", "signals"]
@@ -14,7 +16,7 @@ FINDINGS = "sha256 string, pkg_name string, version string, year int, store stri
 LABELS = "apk_sha256 string, apk_path string, is_llm_integrated boolean, notes string, labelled_at string, labeller string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
@@ -34,6 +36,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.col("sha256").isNotNull() & (F.col("sha256") != ""))
 
 
+def index_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an index with signals in their names. A gzipped file is one split, so the few rows that stay are dealt out again."""
+    rows = corpus.ai_candidates(read_index(spark, path))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha256")
+
+
 def write_frame(frame: DataFrame, path: str) -> None:
     """Frame rows with signals joined by |; nulls are empty."""
     out = frame.withColumn("signals", F.array_join("signals", "|"))
@@ -68,7 +76,7 @@ def append_findings(rows: DataFrame, path: str, detail: DataFrame | None = None,
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels, none if the file is missing."""
-    return spark.read.json(path, schema=LABELS) if _exists(spark, path) else spark.createDataFrame([], LABELS)
+    return spark.read.json(path, schema=LABELS) if exists(spark, path) else spark.createDataFrame([], LABELS)
 
 
 def append_labels(rows: DataFrame, path: str) -> None:
@@ -82,11 +90,24 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_details(spark: SparkSession, path: str, ids: DataFrame, schema: str) -> DataFrame:
-    """Details of the applications in ids (app_id), by the files' names."""
-    name = F.lower(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json\.gz$", 1))
+    """Details of the applications in ids (app_id), by the names of their files, or of their folders if they were written by application."""
+    at = F.col("_metadata.file_path")
+    name = F.lower(F.coalesce(F.nullif(F.regexp_extract(at, r"/app_id=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(at, r"([^/]+)\.json\.gz$", 1)))
     return spark.read.schema(schema).json(path).withColumn("app_id", name).join(ids.select(F.lower("app_id").alias("app_id")), "app_id", "left_semi")
 
 
+def write_details(rows: DataFrame, path: str) -> None:
+    """Gzipped details by application (app_id and more)."""
+    rows.write.mode("overwrite").partitionBy("app_id").option("compression", "gzip").json(path)
+
+
+def read_credentials(spark: SparkSession, path: str) -> DataFrame:
+    """Credentials staged as CSV (provider, key, sha256, package); those of unknown providers go, and a key is a fingerprint from here on."""
+    known = spark.createDataFrame([(p,) for p in rules.PROVIDERS], "provider string")
+    rows = spark.read.csv(path, header=True).join(F.broadcast(known), "provider")
+    return rows.select("provider", S.fingerprint(F.col("key")).alias("fingerprint"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("sha256", "package")])
+
+
 def truthy(c: Column) -> Column:
     return F.lower(c).isin("true", "1", "yes")
 
@@ -138,6 +159,53 @@ def aggregate_lines(stats: DataFrame, kind: str) -> DataFrame:
     return stats.select(F.lit(kind).alias("category_kind"), "category", "successes", "n", four("proportion").alias("proportion"), four("ci_lower").alias("ci_lower"), four("ci_upper").alias("ci_upper"))
 
 
-def write_outputs(reports: DataFrame, path: str) -> None:
-    """Reports by application."""
-    reports.write.mode("overwrite").partitionBy("app_id").text(path)
+def write_aggregate(stats: DataFrame, kind: str, path: str) -> None:
+    """Statistics in long form as CSV and as JSON lines, below path."""
+    rows = aggregate_lines(stats, kind)
+    rows.write.mode("overwrite").csv(f"{path}/csv", header=True)
+    rows.write.mode("overwrite").json(f"{path}/json")
+
+
+def slug(package: Column, file: Column) -> Column:
+    """A report's name: the package, or else the file's name without its suffix."""
+    return F.coalesce(F.nullif(package, F.lit("")), F.regexp_replace(S.basename(file), r"\.[^.]*$", ""))
+
+
+# The layout of a scan report.
+BADGES = {"critical": "[CRITICAL]", "high": "[HIGH]", "medium": "[MEDIUM]", "low": "[LOW]", "info": "[INFO]"}
+NO_FINDINGS = "_No findings._"
+
+
+def scan_report(apps: DataFrame, findings: DataFrame) -> DataFrame:
+    """The full report of each application in Markdown (slug, report).
+
+    apps(app_id, package, version, version_code, min_sdk, target_sdk, file, is_llm_integrated, providers); findings as the detectors give them. Sections
+    are in a fixed order, severities from critical to info, evidence redacted.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    line = F.concat(
+        F.lit(". "), F.element_at(F.create_map(*[F.lit(x) for kv in BADGES.items() for x in kv]), F.col("severity")), F.lit(" "), F.col("title"), F.lit("\n\n- Kind: `"), F.col("kind"), F.lit("`\n"),
+        F.when(F.col("provider").isNotNull(), F.concat(F.lit("- Provider: `"), F.col("provider"), F.lit("`\n"))).otherwise(""), F.format_string("- Confidence: %.2f\n", "confidence"),
+        F.lit("- Location: `"), F.coalesce("file_path", F.lit("")), F.lit("`"), F.when(F.col("offset").isNotNull(), F.format_string(" @ offset %d", "offset")).otherwise(""),
+        F.lit("\n\n"), F.coalesce("description", F.lit("")), F.lit("\n\n```\n"), S.redact(F.col("evidence"), 80), F.lit("\n```\n"),
+    )
+    order = F.struct("detector_idx", "source_idx", "rule_idx", "hit_idx", "evidence")
+    own = findings.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("l"), *[F.count_if(F.col("severity") == x).alias(f"_{x}") for x in BADGES])
+    head = F.concat(
+        F.lit("# Scan report: "), text("package"), F.lit("\n\n## Application\n\n- Package: `"), text("package"), F.lit("`\n- Version: "), text("version"), F.lit(" (code "), text("version_code"), F.lit(")\n- min/target SDK: "), text("min_sdk"),
+        F.lit(" / "), text("target_sdk"), F.lit("\n- SHA256: `"), F.col("app_id"), F.lit("`\n- File: `"), text("file"), F.lit("`\n\n## LLM integration\n\n- Confirmed LLM-integrated: **"), F.when(F.col("is_llm_integrated"), "yes").otherwise("no"), F.lit("**\n"),
+        F.when(F.size("providers") > 0, F.concat(F.lit("- Detected providers: "), F.array_join("providers", ", "), F.lit("\n"))).otherwise(""), F.lit("\n## Findings summary\n\n| Severity | Count |\n|----------|-------|\n"),
+        *[F.format_string(f"| {x} | %d |\n", F.coalesce(f"_{x}", F.lit(0))) for x in BADGES], F.lit("\n"),
+    )
+    numbered = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("### "), (i + 1).cast("string"), x["line"])), "\n")
+    body = F.when(F.col("l").isNull(), F.lit(NO_FINDINGS)).otherwise(F.concat(F.lit("## Findings\n\n"), numbered))
+    return apps.join(own, "app_id", "left").select(slug(F.col("package"), F.col("file")).alias("slug"), F.concat(head, body).alias("report"))
+
+
+def write_outputs(reports: DataFrame, path: str, aggregate: DataFrame | None = None) -> None:
+    """Reports (slug, report, and json if there is one) in a folder for each slug, and the aggregate beside them as JSON lines."""
+    reports.select("slug", "report").write.mode("overwrite").partitionBy("slug").text(f"{path}/md")
+    if "json" in reports.columns:
+        reports.select("slug", "json").write.mode("overwrite").partitionBy("slug").text(f"{path}/json")
+    if aggregate is not None:
+        aggregate.write.mode("overwrite").json(f"{path}/_aggregate")
