@@ -3,17 +3,23 @@
 Weighted fair queueing: each source's documents are shuffled by a hash of their
 id; a document's virtual finish time is the source's cumulated size up to and
 with it, divided by the source's target. Merging all documents by finish time
-and stopping at the total budget takes, by virtual time v, v times each target.
-The targets add up to the budget, so the budget is reached at v = 1: the
-documents finished by then are taken whole, the one in service is cut there.
-A source that is to give more than it has starts over (at most `repeats` times).
+takes, by virtual time v, v times each target. A source that is to give more than
+it has starts over (at most `repeats` times). A document in service at virtual
+time 1 is two packets, cut there, so that no source is served a document too far;
+the queue of all packets is sorted by finish time over all sources, summed up in
+that order and truncated at the total budget.
 
-Running sums come in two steps, by salted bucket of the shuffled order and then
-by the buckets' prefix sums, so that a source with most rows is dealt out.
+Running sums come in two steps, of salted buckets of the shuffled order and within
+them, so that a source with most rows is dealt out. Finish times are spread evenly
+over virtual time by their making, so ranges of them need no sample: their sums
+are cumulated in blocks of ranges, then in ranges, then in rows.
 
 Defined cases: null text has size 0; null sources are a source, ordered last;
-repeated rows are documents of their own, in a fixed order by id and content;
-empty tables give no rows; other columns pass through.
+repeated rows are documents of their own, in a fixed order by id and content (ties
+between rows alike in id and size may change places, which changes no sum);
+packets with one finish time are ordered by source, then in their source's order;
+very long texts are cut like any other; empty tables give no rows; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -64,8 +70,8 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORD_REGEX)).cast("long"))
 
 
-def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240, repeats: int = 2) -> DataFrame:
-    """Add source_size, target, taken and finish_time (of the first copy) to rows (doc_id, source, size, _row)."""
+def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
+    """Add source_size, target, budget (the target in whole words) and _from (words of the source before the document, in shuffled order) to rows (doc_id, source, size, _row)."""
     marks = targets.withColumn("_buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long"))
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
     shuffled = F.conv(F.substring(drawn, 1, 15), 16, 10).cast("bigint")
@@ -80,31 +86,61 @@ def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240, repeats:
     within = W.partitionBy("_s", "_null", "_b").orderBy("_at", "doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, 0)
     queue = queue.withColumns({"_s": key[0], "_null": key[1], "_b": key[2]}).withColumn("_upto", F.sum("size").over(within))
     queue = queue.join(sums, ["_s", "_null", "_b"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
-    budget = F.round("target").cast("long")
+    queue = queue.withColumns({"budget": F.round("target").cast("long"), "_from": F.col("_upto") - F.col("size")})
+    return queue.drop("_s", "_null", "_b", "_bucket", "_buckets", "_at", "_upto", "_before", "source_rows")
 
-    def served(copy: int) -> Column:
-        """Words of a copy that are out by virtual time 1."""
-        return F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("source_size") * copy - (F.col("_upto") - F.col("size"))))
 
-    taken = sum((served(k) for k in range(1, repeats)), served(0)).cast("long")
-    finish = F.when(F.col("target") > 0, F.col("_upto") / F.col("target"))
-    return queue.withColumns({"taken": taken, "finish_time": finish}).drop("_s", "_null", "_b", "_bucket", "_buckets", "_at", "_upto", "_before", "source_rows")
+def packets(queue: DataFrame, repeats: int = 2) -> DataFrame:
+    """One row for each packet that begins before virtual time 1 or makes a document's first copy: copy, words, finish_time.
+
+    _from is where the document begins in its source's first turn.
+    """
+
+    def both(copy: int) -> Column:
+        start = F.col("_from") + F.col("source_size") * copy
+        end = start + F.col("size")
+        cut = F.when((start < F.col("budget")) & (F.col("budget") < end), F.col("budget")).otherwise(end)
+        packet = lambda a, b: F.struct(F.lit(copy).alias("copy"), (b - a).alias("words"), F.when(F.col("budget") > 0, b / F.col("budget")).otherwise(F.lit(2.0)).alias("finish_time"))
+        live = packet(start, cut)
+        return F.array_compact(F.array(live if not copy else F.when(start < F.col("budget"), live), F.when(cut < end, packet(cut, end))))
+
+    return queue.withColumn("_p", F.explode(F.flatten(F.array(*map(both, range(repeats)))))).select("*", "_p.*").drop("_p")
+
+
+def truncated(rows: DataFrame, total: int, count: int) -> DataFrame:
+    """Add taken, the words of each packet that are out when the queue, sorted by finish time, reaches the total budget."""
+    blocks = min(1024, 1 + count // 65_536)
+    ranges = blocks * max(1, min(1024, count // blocks // 256))
+    # what finishes by virtual time 1 adds up to the budget; behind time 2 the order is of no account, so those rows are just spread
+    late = F.lit(2 * ranges + 1) + F.pmod(F.xxhash64("_row", "copy"), F.lit(ranges))
+    rows = staged(rows.withColumn("_range", F.when(F.col("finish_time") < 2, F.greatest(F.ceil(F.col("finish_time") * ranges), F.lit(1))).otherwise(late).cast("long")))
+    sums = rows.groupBy("_range").agg(F.sum("words").alias("_in")).withColumn("_block", F.floor(F.col("_range") / (ranges // blocks)))
+    whole = sums.groupBy("_block").agg(F.sum("_in").alias("_all")).withColumn("_past", F.coalesce(F.sum("_all").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_all")  # 3,073 blocks at most
+    sums = sums.join(whole, "_block").withColumn("_before", F.col("_past") + F.coalesce(F.sum("_in").over(W.partitionBy("_block").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    order = W.partitionBy("_range").orderBy("finish_time", F.col("source").asc_nulls_last(), "_from", "copy", "doc_id", "_row").rowsBetween(W.unboundedPreceding, 0)
+    start = F.col("_before") + F.sum("words").over(order) - F.col("words")
+    return rows.join(sums, "_range").withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(total) - start)).cast("long")).drop("_range", "_before")
+
+
+def served(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The queue's packets (doc_id, _row, source, size, source_size, target, copy, words, finish_time, taken and the columns to keep) of documents (doc_id, text, source; and _row if they are numbered)."""
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    sized = staged(sizes(docs.select("doc_id", "source", "text", row.alias("_row"), *keep)).drop("text"))
+    targets = staged(source_targets(sized, weights, share))
+    sums = targets.agg(F.coalesce(F.sum(F.round("target").cast("long")), F.lit(0)).alias("total"), F.coalesce(F.sum("source_rows"), F.lit(0)).alias("n")).first()
+    return truncated(packets(fair_queue(sized, targets, seed)), int(sums["total"]), int(sums["n"]))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Mix documents (doc_id, text, source): one row per document with size, source_size, target, taken, finish_time and the columns to keep."""
-    own = sizes(docs.select("doc_id", "source", "text", *keep)).drop("text").withColumn("_row", F.monotonically_increasing_id())
-    sized = staged(own)
-    return fair_queue(sized, staged(source_targets(sized, weights, share)), seed)
-
-
-def stream(queue: DataFrame) -> DataFrame:
-    """The mixed order: copies by virtual finish time, globally range-sorted, up to the budget."""
-    copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int") - 1))
-    rows = queue.filter("taken > 0").withColumn("copy", F.explode(copies))
-    finish = F.col("finish_time") + F.col("copy") * F.col("source_size") / F.col("target")
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    return rows.withColumns({"finish_time": F.least(finish, F.lit(1.0)), "words": words}).orderBy("finish_time", "doc_id", "copy")
+    """Mix documents (doc_id, text, source): one row per document with size, source_size, target, taken, finish_time (of the first copy) and the columns to keep."""
+    same = ["_row", "doc_id", "source", "size", "source_size", "target", *keep]
+    out = served(docs, weights, share, seed, keep).groupBy("_row").agg(*[F.first(c).alias(c) for c in same[1:]], F.sum("taken").alias("taken"), F.min("finish_time").alias("finish_time"))
+    return out.drop("_row")
+
+
+def stream(rows: DataFrame) -> DataFrame:
+    """The mixed order of the queue's packets: those taken, globally range-sorted by virtual finish time."""
+    return rows.filter("taken > 0").orderBy("finish_time", F.col("source").asc_nulls_last(), "_from", "copy", "doc_id", "_row")
 
 
 def op3_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
