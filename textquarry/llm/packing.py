@@ -10,7 +10,7 @@ bucket and then by the buckets' prefix sums, so that one very frequent length
 doesn't meet in one task.
 
 Defined cases: null or empty text is a document of the end token alone; repeated
-rows are packed each on its own; no documents give no rows; a document longer
+rows (and null or equal ids) are packed each on its own; no documents give no rows; a document longer
 than a sequence is cut into full pieces and a rest; other columns are not used.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import json
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.bpe import Kept, Transducer
 from textquarry.llm.common import once, rounds, slices, staged, table, text_or_empty
 from textquarry.llm.token_counts import tokenizer_text
 
@@ -42,35 +42,77 @@ class WordTokens:
     """Token ids of texts whose tokenizer drops white space, word by word.
 
     White space ends a pretoken there, so a text's ids are those of its parts
-    between spaces and line ends; each distinct part is encoded once.
+    between spaces and line ends. New parts are cut into lower-cased pretokens,
+    and new pretokens of letters go to the library side by side: of a
+    pretoken's tokens just the last one closes a word, so their ids fall apart again.
     """
 
-    def __init__(self, spec: str, most_words: int = 500_000):
+    def __init__(self, spec: str, most_words: int = 500_000, most_pretokens: int = 300_000, together: int = 20_000):
         import regex
         from tokenizers import Tokenizer
 
         declared = json.loads(spec)
-        split = declared["pre_tokenizer"]["pretokenizers"][0]
-        if split["behavior"] != "Removed" or not split["invert"]:
-            raise ValueError("this operator needs a tokenizer that drops white space")
+        split, model = declared["pre_tokenizer"]["pretokenizers"][0], declared["model"]
+        if split["behavior"] != "Removed" or not split["invert"] or not model["end_of_word_suffix"]:
+            raise ValueError("this operator needs a tokenizer that drops white space and marks words' ends")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.marks = [x["content"] for x in declared["added_tokens"]]
+        marks = [x["content"] for x in declared["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, marks)) if marks else "(?!)")
         self.library = Tokenizer.from_str(spec)
-        self.transducer = Transducer(spec)
-        self.words = Kept(self._word, most_words)
-        self.words[""] = b""
-
-    def _word(self, word: str) -> bytes:
-        if not word.isascii() and max(map(ord, word)) >= PLAIN or any(x in word for x in self.marks):
-            ids = self.library.encode(word, add_special_tokens=False).ids
-        else:
-            word = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-            parts = [word] if word.isalpha() else self.pattern.findall(word)
-            ids = [i for x in parts for i in self.transducer.encode(x.encode())]
-        return np.array(ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        self.closes = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.closes[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
+        self.most_words, self.most_pretokens, self.together = most_words, most_pretokens, together
+        self.words: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
+
+    def _alone(self, part: str) -> bytes:
+        return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _side_by_side(self, parts: list[str]) -> None:
+        """Learn pretokens of letters."""
+        for k in range(0, len(parts), self.together):
+            own = parts[k : k + self.together]
+            ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                self.pretokens.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:
+                self.pretokens.update((x, self._alone(x)) for x in own)
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {}
+        for x in words:
+            if not x.isascii():
+                if max(map(ord, x)) >= PLAIN:
+                    self.words[x] = self._alone(x)
+                    continue
+                low = unicodedata.normalize("NFC", x).lower()
+            else:
+                low = x.lower()
+            if low.isalpha():
+                cut[x] = (low,)
+            elif self.special.search(x):
+                self.words[x] = self._alone(x)
+            else:
+                cut[x] = self.pattern.findall(low)
+        new = {x for own in cut.values() for x in own}.difference(self.pretokens)
+        if len(self.pretokens) + len(new) > self.most_pretokens:
+            self.pretokens.clear()
+            new = {x for own in cut.values() for x in own}
+        self._side_by_side([x for x in new if x.isalpha()])
+        self.pretokens.update((x, self._alone(x)) for x in new if not x.isalpha())
+        self.words.update((x, b"".join(map(self.pretokens.__getitem__, own))) for x, own in cut.items())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        new = set().union(*cut).difference(self.words)
+        if len(self.words) + len(new) > self.most_words:
+            self.words.clear()
+            new = set().union(*cut)
+        self._learn(new)
+        return [b"".join(map(self.words.__getitem__, x)) for x in cut]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -86,8 +128,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
             texts, done = batch.to_pylist(), []
             for a, b in rounds(texts):
                 offsets, piece, start, ids = [0], [], [], []
-                for x in texts[a:b]:
-                    own = words.ids(x) + end
+                for x in words.ids(texts[a:b]):
+                    own = x + end
                     for k in range(-(-len(own) // width)):
                         piece.append(k)
                         start.append(k * capacity)
