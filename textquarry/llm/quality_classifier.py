@@ -10,9 +10,12 @@ Features: each distinct word (case and outer signs dropped), and the text's
 shares of symbols, capitals, exclamation marks, repeated words, neighbours that
 are equal, and repeated lines, in steps.
 
-Defined cases: null text is empty; without labels of at least two grades every
-document gets the top grade and is kept; repeated rows get equal scores; other
-columns pass through.
+Defined cases: null or empty text has the features of its length and shares alone;
+very long texts are read whole; without labels of at least two grades every
+document gets the top grade and is kept; an id with several labels has its lowest
+grade; repeated rows and ties get equal scores; a tail probability equal to the
+bound is accepted; an empty table gives no rows; other columns pass through, and
+columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -65,14 +68,12 @@ def buckets(text: str) -> list[int]:
     return [*map(word_bucket, words), *map(bucket, shares)]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, passes: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, least_rows: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds."""
+def fit(values: np.ndarray, offsets: np.ndarray, grades: np.ndarray, passes: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, least_rows: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds, from all rows' distinct features side by side (32-bit) and where each row begins."""
     size = 1 << BITS
-    often = np.zeros(size, np.int32)
-    rows = [np.unique(r) for r in rows]
-    for r in rows:
-        often[r] += 1
-    rows = [r[often[r] >= least_rows] for r in rows]
+    keep = (np.bincount(values, minlength=size) >= least_rows)[values]
+    at_row = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[offsets]
+    values = values[keep]
     z, n = np.zeros(size), np.zeros(size)
     share = [(np.mean(grades > k) * len(grades) + 1) / (len(grades) + 2) for k in range(GRADES - 1)]
     theta = -np.log(np.array(share) / (1 - np.array(share)))
@@ -84,8 +85,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, passes: int = 6, alpha: floa
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for _ in range(passes):
-        for k in order.permutation(len(rows)):
-            at = rows[k]
+        for k in order.permutation(len(grades)):
+            at = values[at_row[k] : at_row[k + 1]]
             w = weights(at)
             tail = 1 / (1 + np.exp(-np.clip(w.sum() - theta, -30, 30)))  # P(grade > k)
             bounds = np.concatenate([[1.0], tail, [0.0]])
@@ -105,26 +106,32 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, passes: int = 6, alpha: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fit on at most `most` labelled documents, taken in an order by hash of the id."""
+    """Fit on at most `most` labelled documents, taken in an order by hash of the id; of rows with one id the one whose text has the least digest."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     @F.arrow_udf("array<int>")
-    def hashed(texts: pa.Array) -> pa.Array:
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Kept(word_bucket, 400_000)
-        out = []
-        for x in texts.to_pylist():
-            own, shares = split_features(x)
-            out.append(np.unique(np.array([*map(words.__getitem__, own), *map(bucket, shares)], np.int32)))
-        return pa.array(out, pa.list_(pa.int32()))
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", hashed(text_or_empty()).alias("x"))
-    got = rows.limit(2 * most).toArrow().sort_by([("doc_id", "ascending")])
-    grades = np.array(got["grade"].to_pylist(), np.int64)
-    if len(set(grades.tolist())) < 2:
+        for batch in slices(batches):
+            out = []
+            for x in batch.to_pylist():
+                own, shares = split_features(x)
+                out.append(np.unique(np.array([*map(words.__getitem__, own), *map(bucket, shares)], np.int32)))
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", F.sha2(text_or_empty().cast("binary"), 256).alias("digest"), hashed(text_or_empty()).alias("x"))
+    got = rows.groupBy("doc_id", "grade").agg(F.min_by("x", "digest").alias("x")).select("doc_id", "grade", "x").toArrow().sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
         return None
-    return fit([np.array(x, np.int64) for x in got["x"].to_pylist()], grades)
+    lists = got["x"].chunk(0)
+    grades, values, offsets = got["grade"].to_numpy().astype(np.int64), lists.values.to_numpy(), lists.offsets.to_numpy()
+    del got
+    model = fit(values, offsets, grades) if len(np.unique(grades)) > 1 else None
+    del lists, values, offsets
+    pa.default_memory_pool().release_unused()  # the driver keeps nothing of the rows
+    return model
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least_tail: float = 0.5, text: str = "text") -> DataFrame:
@@ -145,8 +152,9 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least
                 out.append(sum(map(words.__getitem__, own)) + sum(values[bucket(s)] for s in shares))
             yield pa.array(out, pa.float64())
 
-    tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_score"))) for t in model[1]]
-    return docs.withColumn("_score", score(text_or_empty(text))).withColumns({"expected_grade": sum(tails[1:], tails[0]), "tail_probability": tails[-1], "accepted": tails[-1] >= least_tail}).drop("_score")
+    own = "_score" + "_" * max(map(len, docs.columns))  # a name that no column has
+    tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col(own))) for t in model[1]]
+    return docs.withColumn(own, score(text_or_empty(text))).withColumns({"expected_grade": sum(tails[1:], tails[0]), "tail_probability": tails[-1], "accepted": tails[-1] >= least_tail}).drop(own)
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
