@@ -8,9 +8,11 @@ information gain, pruned on the rest, and accepted if they are precise there;
 what a rule covers is set aside before the next one. The list becomes one
 ordered Spark conditional.
 
-Defined cases: null text has no words; texts without words fail the base rule;
-no labels, or labels of one kind, teach no rules, and then the base rule decides
-alone; repeated rows are judged each on its own; other columns pass through.
+Defined cases: null or empty text has no words; texts without words fail the base
+rule; very long texts are read whole; no labels, or labels of one kind, teach no
+rules, and then the base rule decides alone; an id with several labels is bad if
+one of them is; repeated rows are judged each on its own; a value equal to a
+threshold meets it; an empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -91,43 +93,63 @@ def holds(rule: list[Condition], x: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, support: int = 5) -> list[list[Condition]]:
-    """Rules for bad rows, in order. Rows take turns by position: two in three grow rules, the third prunes them."""
+def grown(x: dict[str, np.ndarray], bad: np.ndarray, at: np.ndarray, cuts: dict[str, np.ndarray], most_conditions: int, support: int) -> list[Condition]:
+    """One rule, grown on the rows `at` condition by condition, by information gain."""
+    rule: list[Condition] = []
+    while len(rule) < most_conditions and (bad & at).sum() >= support and (at & ~bad).any():
+        p, q = (bad & at).sum(), (~bad & at).sum()
+        base, gain, best = np.log2(p / (p + q)), 0.0, None
+        for name, values in x.items():
+            own, ill = values[at], bad[at]
+            for cut in cuts[name]:
+                for sign, hit in ((">=", own >= cut), ("<=", own <= cut)):
+                    good, wrong = (hit & ill).sum(), (hit & ~ill).sum()
+                    more = good * (np.log2(good / (good + wrong)) - base) if good >= support else 0.0
+                    if more > gain + 1e-9:
+                        gain, best = more, (name, sign, float(cut))
+        if best is None:
+            break
+        rule.append(best)
+        at = at & holds([best], x)
+    return rule
+
+
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.85, support: int = 5) -> list[list[Condition]]:
+    """Rules for bad rows, in order.
+
+    For each rule every third of the rows (by position) prunes in turn what the
+    others grew: the conditions at the end go if the third is covered more
+    precisely without them. Precision is smoothed, (p + 1) / (p + q + 2), so that a
+    few rows say little. Of the three the rule that covers most bad rows is taken,
+    each good row weighing as many as `precision` allows, if it is precise on its
+    own third and on all rows left.
+    """
     n = len(bad)
-    grow, left, rules = np.arange(n) % 3 != 2, np.ones(n, bool), []
+    third, left, rules = np.arange(n) % 3, np.ones(n, bool), []
     cuts = {k: np.unique(np.quantile(v, np.linspace(0, 1, 65))) for k, v in x.items()} if n else {}
-    while len(rules) < most_rules:
-        rule: list[Condition] = []
-        at = left & grow
-        while len(rule) < most_conditions and (bad & at).sum() >= support and (at & ~bad).any():
-            p, q = (bad & at).sum(), (~bad & at).sum()
-            base, best = np.log2(p / (p + q)), (0.0, None, None)
-            for name, values in x.items():
-                own, ill = values[at], bad[at]
-                for cut in cuts[name]:
-                    for sign, hit in ((">=", own >= cut), ("<=", own <= cut)):
-                        good, wrong = (hit & ill).sum(), (hit & ~ill).sum()
-                        gain = good * (np.log2(good / (good + wrong)) - base) if good >= support else 0.0
-                        if gain > best[0] + 1e-9:
-                            best = (gain, (name, sign, float(cut)), None)
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            at = at & holds([best[1]], x)
-        if not rule:
-            break
 
-        def worth(r: list[Condition], held: np.ndarray = left & ~grow) -> float:
-            hit = held & holds(r, x)
-            p, q = (hit & bad).sum(), (hit & ~bad).sum()
-            return (p - q) / (p + q) if p + q else -1.0
+    def counts(r: list[Condition], at: np.ndarray) -> tuple[int, int]:
+        hit = at & holds(r, x)
+        return int((hit & bad).sum()), int((hit & ~bad).sum())
 
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
-        hit = left & holds(rule, x)
-        if (hit & bad).sum() < support or worth(rule) < 2 * precision - 1:
+    def smoothed(r: list[Condition], at: np.ndarray) -> float:
+        p, q = counts(r, at)
+        return (p + 1) / (p + q + 2)
+
+    while len(rules) < most_rules:
+        found = []
+        for k in range(3):
+            held = left & (third == k)
+            rule = grown(x, bad, left & (third != k), cuts, most_conditions, max(2, support * 2 // 3))
+            if rule:
+                rule = max((rule[:i] for i in range(len(rule), 0, -1)), key=lambda r: smoothed(r, held))
+                (p, q), (own, wrong) = counts(rule, left), counts(rule, held)
+                if p >= support and smoothed(rule, left) >= precision and own and own >= precision * (own + wrong):
+                    found.append((p - q / (1 - precision), rule))
+        if not found:
             break
-        rules.append(rule)
-        left &= ~hit
+        rules.append(max(found, key=lambda f: f[0])[1])
+        left &= ~holds(rules[-1], x)
     return rules
 
 
