@@ -8,7 +8,8 @@ short documents have a sketch; merging keeps the union's least one.
 
 Defined cases: null text is empty; a text without words has an empty
 fingerprint, which is like another empty one (1.0) and unlike all others (0.0);
-repeated rows and equal ids follow each other in the order of their texts; a
+repeated rows and equal ids follow each other in the order of their texts; very
+long texts are taken whole; other columns are not used; a
 table of one row is its own next document; an empty table gives no rows; null
 ids come last.
 """
@@ -16,6 +17,7 @@ ids come last.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import slices, table, text_or_empty
 from textquarry.llm.shingles import Shingles
 
-#: Ranges of ids that are dealt out, at most; each bound is one number on the driver.
-MOST_RANGES = 1024
+#: Ranges of ids for each shuffle partition; each bound is one number on the driver.
+FINER = 4
 
 
 def sketch(hashes: np.ndarray, scale: int) -> np.ndarray:
@@ -81,9 +83,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) or []))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.lit(bounds or [0.0]), lambda b: b > F.col("doc_id"))))
+    listed = F.from_json(F.lit(json.dumps(bounds)), "array<double>")
+    steps = F.lit([1 << k for k in reversed(range(max(1, len(bounds).bit_length())))])  # a binary search for the bounds up to an id
+    upto = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(listed, p + s - 1) <= F.col("doc_id"), p + s).otherwise(p))
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - upto)
     rows = rows.withColumn("range", place.cast("int"))
     firsts = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
     ahead = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]  # the range before, or the last one
