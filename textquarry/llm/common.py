@@ -65,15 +65,28 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage, survives lost executors and lets later steps read
-    single columns; the files go when the driver's Python ends.
+    single columns; the files go when `release` is called, or at last when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_forget, spark, path)
+    if not STAGED:
+        atexit.register(release, spark)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of staged tables that are still there.
+STAGED: list[str] = []
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the staged tables STAGED[first:last]; nothing may need them any more."""
+    for path in STAGED[first:last]:
+        STAGED.remove(path)
+        _forget(spark, path)
+
+
 def slices(batches, rows: int = 400):
     """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small."""
     for batch in batches:

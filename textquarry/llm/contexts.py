@@ -1,18 +1,21 @@
 """Personal data by patterns and bootstrapped contexts (operator 5).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They
-seed a bootstrap in the manner of Snowball: a mention's left context (the last
-word before it, or none) with its exact shape, and its left context, its right
-context and both with its looser form are lexical patterns. Patterns and the
+seed a bootstrap in the manner of Snowball: a mention's left context (the end of the
+word before it, however far, or none) with its exact shape, and its left context, its
+right context (the begin of the word after it) and both with its looser form are
+lexical patterns. Patterns and the
 strings they cover (instances) make a bipartite graph; its scores are iterated in
 Spark: a pattern is as good as its instances, an instance as good as its best
 pattern, with the seeds fixed; instances over the threshold propose patterns in
-the next round as seeds do. Patterns over a threshold then mark candidates that the base rules missed:
-identifier-like tokens (a digit or @ among letters, digits and joining signs).
+the next round as seeds do. Patterns over a threshold then mark candidates that the
+base rules missed: identifier-like tokens (a digit or @ among letters, digits and
+joining signs), of any length (long ones are known by their digests).
 
 Defined cases: null or empty text gives no spans and the digest of the empty
 string; repeated rows give a row each; ties between patterns go to the kind
-listed first; long runs of digits or letters take linear time.
+listed first; very long texts and runs of digits or letters take linear time; an
+empty table gives no rows; other columns, however named, are not used.
 """
 
 from __future__ import annotations
@@ -42,8 +45,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"[+(]?[A-Za-z0-9](?:[A-Za-z0-9@._%+()/:\[\]-]|(?<=[0-9)])\x20(?=[0-9(]))*")
 LONGEST = 80  # characters of a string or shape that is kept itself, not as its digest
 MARK = re.compile(r"[0-9@]")
-WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,24})[\x20\x09-\x0D]*\Z")
-WORD_AFTER = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]{1,24})")
+SPACES, CONTEXT = frozenset(" \t\n\v\f\r"), 24
 DIGITS, UPPERS, LOWERS = re.compile("[0-9]+"), re.compile("[A-Z]+"), re.compile("[a-z]+")
 
 
@@ -106,13 +108,23 @@ def short(token: str) -> str:
 
 
 def right_context(text: str, end: int) -> str:
-    m = WORD_AFTER.match(text[end : end + 32])
-    return m[1].lower() if m else "$"
+    """The first CONTEXT characters of the word after a mention."""
+    while end < len(text) and text[end] in SPACES:
+        end += 1
+    to = end
+    while to < len(text) and to - end < CONTEXT and text[to] not in SPACES:
+        to += 1
+    return text[end:to].lower() or "$"
 
 
 def left_context(text: str, start: int) -> str:
-    m = WORD_BEFORE.search(text[max(0, start - 32) : start])
-    return m[1].lower() if m else "^"
+    """The last CONTEXT characters of the word before a mention."""
+    while start and text[start - 1] in SPACES:
+        start -= 1
+    at = start
+    while at and start - at < CONTEXT and text[at - 1] not in SPACES:
+        at -= 1
+    return text[at:start].lower() or "^"
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, str, str, str]]:
@@ -226,9 +238,9 @@ def op5_contextual_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, most: int = 500_000) -> DataFrame:
-    """docs with each span of found replaced by <kind>. Rows with spans are broadcast up to `most` of them, else joined by a shuffle."""
+    """docs with each span of found replaced by <kind>; found is broadcast if it has at most `most` rows and spans (30 bytes each), else joined by a shuffle."""
     spans = staged(found.filter(F.size("base") + F.size("added") > 0).select("_key", F.concat("base", "added").alias("_spans")).dropDuplicates(["_key"]))
-    if spans.limit(most + 1).count() <= most:
+    if spans.agg(F.coalesce(F.count("*") + F.sum(F.size("_spans")), F.lit(0))).first()[0] <= most:
         spans = F.broadcast(spans)
 
     @F.arrow_udf("string")

@@ -10,8 +10,10 @@ complementary part begins or ends near it. No pairs are emitted, and a bin holds
 no more parts than fit into it.
 
 Defined cases: null or empty text gives no spans and the digest of the empty
-string; repeated rows give a row each; a weak part that overlaps a base span of
-its kind is not one; other columns are not used.
+string; repeated rows give a row each; a weak part that overlaps a base span is not
+one, and of weak parts that overlap the first stays; very long texts and tokens are
+read whole in linear time; an empty table gives no rows; other columns, however
+named, are not used.
 """
 
 from __future__ import annotations
@@ -36,16 +38,12 @@ SHORT_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}(?![A-Za-z0
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 SHORT_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,15}(?![A-Za-z0-9])")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]{3,}+|(?<![A-Za-z0-9.@-])[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){1,5}\.(?:com|net|org|io|cloud|dev)(?![A-Za-z0-9-])")
-#: A token is opaque if it, or what follows it without space up to so many characters from its start, has a letter and a digit.
-AROUND = 200
-SPACE, DIGIT, LETTER = re.compile(r"\s"), re.compile("[0-9]"), re.compile("[A-Za-z]")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SHORT_ASSIGN = 6  # characters of an assigned value that is at least a weak part
 
 
 def mixed(text: str, start: int, end: int) -> bool:
-    end = max(end, start + AROUND)
-    space = SPACE.search(text, start, end)
-    end = space.start() if space else end
+    """A token is opaque if it has a letter and a digit."""
     return bool(DIGIT.search(text, start, end) and LETTER.search(text, start, end))
 
 

@@ -1,7 +1,7 @@
 """Token counts by a finite-state tokenizer (operator 1).
 
 A byte-level BPE tokenizer is compiled to a cascade of two deterministic
-transducers. The first splits text into pretokens: nine states over twelve
+transducers. The first splits text into pretokens: nine states over eleven
 character classes, whose transitions say where a pretoken begins. Text is cut
 into chunks; each chunk's map from entry state to exit state is found for all
 chunks at once, a parallel prefix scan composes the maps, and with each chunk's
@@ -11,8 +11,8 @@ its transitions.
 
 Defined cases: null or empty text has 0 tokens; repeated rows are counted each
 on its own; very long texts are cut where white space follows other text (a
-pretoken always begins there), so memory stays bounded; other columns pass
-through, and a column named like an output is replaced.
+pretoken always begins there), so memory stays bounded; an empty table gives no
+rows; other columns pass through, and a column named like an output is replaced.
 """
 
 from __future__ import annotations
