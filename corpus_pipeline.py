@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import shared_folder, staged, table, text_or_empty
+from textquarry.llm.common import STAGED, release, shared_folder, staged, table, text_or_empty
 from textquarry.llm.contexts import personal_data, redact
-from textquarry.llm.mixing import mix
+from textquarry.llm.mixing import served
 from textquarry.llm.near_dups import few, near_duplicates
 from textquarry.llm.packing import pack_documents
 from textquarry.llm.quality_classifier import classify, train
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier accepts; null and empty texts are judged like any other."""
+    """Documents that the ordinal classifier accepts; null and empty texts are judged like any other, and no rows give none."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return classify(docs, model).filter("accepted").select(docs.columns)
 
@@ -45,15 +45,18 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, to the nearest whole copy; equal rows share their copies evenly."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", text_or_empty()))
-    taken = mix(keyed, keep=("_key",)).withColumn("_copies", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"))
-    copies = few(staged(taken.filter("_copies > 0 or size = 0").groupBy("_key").agg(F.round(F.avg(F.greatest("_copies", (F.col("size") == 0).cast("int")))).cast("int").alias("_copies"))))
-    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).select(docs.columns)
+    """Rows in the order of the queue, as often as it serves them; of a copy that the budget cuts, all or nothing, whichever is nearer.
+
+    Texts without words have no size and stay once; null sources are a source; no rows give none.
+    """
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    copies = served(numbered).groupBy("_row", "copy", "size").agg(F.sum("taken").alias("_taken"), F.min("finish_time").alias("_finish"))
+    kept = staged(copies.filter("case when size = 0 then copy = 0 else 2 * _taken >= size end").select("_row", "copy", "_finish"))
+    return numbered.join(few(kept, 100_000), "_row").orderBy("_finish", "_row", "copy").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences of 4096."""
+    """Pieces of the documents' tokens with their places in sequences of 4096; null and empty texts are the end token alone, no rows give none."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -76,6 +79,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES, 1):
+        first = len(STAGED)
         docs = stage(spark, docs, sf_dir)
-        docs = staged(docs) if k < len(STAGES) else docs
+        if k < len(STAGES):
+            docs = staged(docs)
+            release(spark, first, -1)  # what the stage staged on its way, but not its result
     return docs
