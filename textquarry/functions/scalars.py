@@ -52,10 +52,26 @@ def holds_any(literals: list[str], low: str) -> str:
     return "(" + (" OR ".join(f"contains({low}, {sql(x)})" for x in literals) or "true") + ")"
 
 
-def found(column: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """column.rlike(pattern), after a cheap look for the pattern's literals."""
-    literals, test = anchors(pattern), column.rlike(java(pattern, ignore_case))
-    return any_of(F.lower(column), literals) & test if 0 < len(literals) <= 6 else test  # more cost more than the pattern itself
+def folded(text: Column) -> Column:
+    """Small letters as patterns that ignore case see them: letters with a capital or a small form in ASCII included."""
+    return F.lower(F.translate(text, "İıſ", "iis"))
+
+
+def holds(low: Column, pattern: str) -> Column | None:
+    """Whether a text in small letters holds one of a pattern's literals, None if it has none. Plain ASCII text isn't searched for others."""
+    literals = anchors(pattern)
+    if not literals:
+        return None
+    plain, rest = ([x for x in literals if x.isascii() is k] for k in (True, False))
+    out = any_of(low, plain)
+    return out | (F.octet_length(low) > F.length(low)) & any_of(low, rest) if rest else out
+
+
+def found(column: Column, pattern: str, ignore_case: bool = False, low: Column | None = None) -> Column:
+    """column.rlike(pattern), after a cheap look for the pattern's literals in the text in small letters, if there are few or these letters are at hand."""
+    test = column.rlike(java(pattern, ignore_case))
+    some = holds(folded(column) if low is None else low, pattern)
+    return some & test if some is not None and (low is not None or len(anchors(pattern)) <= 6) else test
 
 
 def any_of(column: Column, values: list[str], how: str = "contains") -> Column:
@@ -213,15 +229,21 @@ def classify_prompt(text: Column) -> Column:
     return F.struct(kind.alias("class"), (first > 0).alias("first_person"), (second > 0).alias("second_person"), secret.alias("confidential"), found(text, rules.ROLE_BINDING).alias("role_binding"), found(text, rules.WHITE_LABEL, True).alias("white_label"))
 
 
-def prompt_score(text: Column, path: Column) -> Column:
-    """Components and score of a candidate system prompt."""
-    has = lambda p, case=False, on=text: found(on, p, not case)
-    hits = lambda p, case=False: F.regexp_count(text, F.lit(java(p, not case)))
+def prompt_score(text: Column, path: Column, low: Column | None = None) -> Column:
+    """Components and score of a candidate system prompt; low is its text folded, if at hand."""
+    low = folded(text) if low is None else low
+    has = lambda p, case=False: found(text, p, not case, low)
+    on_path = lambda p: found(path, p, True)
+
+    def hits(p: str, case: bool = False) -> Column:
+        number, some = F.regexp_count(text, F.lit(java(p, not case))), holds(low, p)
+        return number if some is None else F.when(some, number).otherwise(0)
+
     dense = cjk_dense(text)
     length = (F.length(text) - F.when(dense, rules.MIN_LENGTH_SHORT).otherwise(rules.MIN_LENGTH)) / F.when(dense, 180.0).otherwise(520.0)
     opener = has(rules.PROMPT_OPENERS) | has(rules.PROMPT_OPENERS_INTL)
     slots = hits(rules.TEMPLATE_SLOT, True) >= 2
-    ends = hits(f"[{rules.TERMINATORS}]", True)
+    ends = F.regexp_count(text, F.lit(java(f"[{rules.TERMINATORS}]")))
     code = has(rules.CODE_LIKE)
     minus = lambda test, x: F.when(test, -x).otherwise(0.0)
     parts = {
@@ -229,11 +251,11 @@ def prompt_score(text: Column, path: Column) -> Column:
         "opener": F.when(opener, 0.35).otherwise(0.0),
         "role_language": F.round(F.least(F.lit(0.30), 0.06 * (hits(rules.ROLE_WORDS) + hits(rules.ROLE_WORDS_INTL))), 3),
         "template_slots": F.when(slots, 0.15).otherwise(0.0),
-        "multi_sentence": F.when(F.when(dense, ends + hits(f"[{rules.CLAUSE_SEPARATORS}]", True) >= 1).otherwise(ends >= 2), 0.10).otherwise(0.0),
+        "multi_sentence": F.when(F.when(dense, ends + F.regexp_count(text, F.lit(java(f"[{rules.CLAUSE_SEPARATORS}]"))) >= 1).otherwise(ends >= 2), 0.10).otherwise(0.0),
         "policy_penalty": minus(has(rules.POLICY_LIKE), 0.25),
-        "path_penalty": minus(has(rules.POLICY_PATH, on=path), 0.25),
+        "path_penalty": minus(on_path(rules.POLICY_PATH), 0.25),
         "markup_penalty": minus(has(rules.MARKUP_LIKE), 0.20),
-        "machine_pool_penalty": minus(has(rules.MACHINE_POOL_PATH, on=path), 0.30),
+        "machine_pool_penalty": minus(on_path(rules.MACHINE_POOL_PATH), 0.30),
         "framework_penalty": minus(has(rules.FRAMEWORK_NOISE), 0.35),
         "code_penalty": minus(code, 0.40),
         "licence_penalty": minus(has(rules.LICENCE_LIKE), 0.35),
@@ -247,22 +269,19 @@ def prompt_score(text: Column, path: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in parts.items()], strong.alias("strong"), score.alias("score"))
 
 
-def prompt_strong(text: Column) -> Column:
+def prompt_strong(text: Column, low: Column) -> Column:
     """Whether a run can score over the ceiling of weak ones at all (program text apart)."""
     slots = (text.contains("[") | text.contains("{{")) & (F.regexp_count(text, F.lit(java(rules.TEMPLATE_SLOT))) >= 2)
-    return text.rlike(java(rules.PROMPT_OPENERS, True)) | found(text, rules.PROMPT_OPENERS_INTL, True) | slots | found(text, rules.PROMPT_MARKERS, True)
+    return found(text, rules.PROMPT_OPENERS, True, low) | found(text, rules.PROMPT_OPENERS_INTL, True, low) | slots | found(text, rules.PROMPT_MARKERS, True, low)
 
 
-def prompt_candidate(text: Column) -> Column:
+def prompt_candidate(text: Column, low: Column) -> Column:
     """The length gate before scoring."""
     n = F.length(text)
-    signal = cjk_dense(text) | text.rlike(java(rules.PROMPT_OPENERS, True)) | found(text, rules.PROMPT_OPENERS_INTL, True)
+    signal = cjk_dense(text) | found(text, rules.PROMPT_OPENERS, True, low) | found(text, rules.PROMPT_OPENERS_INTL, True, low)
     return F.when(n >= rules.MIN_LENGTH, True).when(n < rules.MIN_LENGTH_SHORT, False).otherwise(signal)
 
 
-# --- statistics -------------------------------------------------------------------------------------------------------------------
-
-
 def wilson(successes: Column, n: Column, z: float = 1.96, on_empty: str = "zero") -> Column:
     """Wilson interval (lower, upper) of a proportion; without trials (0, 0), or (0, 1) with on_empty='unit'."""
     p = F.try_divide(successes.cast("double"), n.cast("double"))

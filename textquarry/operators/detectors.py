@@ -125,11 +125,13 @@ def rag_findings(sources: DataFrame, paths=None, contents=None) -> DataFrame:
 
 def prompt_scores(sources: DataFrame, strong_only: bool = False) -> DataFrame:
     """Candidate runs of every source with their scores and components; strong_only drops runs that stay under the weak ceiling before they are scored."""
-    runs = sources.select(*KEYS, F.posexplode_outer(S.printable_runs(F.col("content"))).alias("hit_idx", "run"))
-    gated = runs.filter(F.col("run").isNotNull() & S.prompt_candidate(F.col("run")))
+    # small letters are made before the explode, so that all tests share them
+    made = F.transform(S.printable_runs(F.col("content")), lambda x: F.struct(x.alias("run"), S.folded(x).alias("low")))
+    runs = sources.select(*KEYS, F.posexplode_outer(made).alias("hit_idx", "_r")).select(*KEYS, "hit_idx", F.col("_r.run").alias("run"), F.col("_r.low").alias("_low"))
+    gated = runs.filter(F.col("run").isNotNull() & S.prompt_candidate(F.col("run"), F.col("_low")))
     if strong_only:
-        gated = gated.filter(S.prompt_strong(F.col("run")))
-    return gated.withColumn("s", S.prompt_score(F.col("run"), F.col("source_file"))).select(*KEYS, "hit_idx", "run", "s.*")
+        gated = gated.filter(S.prompt_strong(F.col("run"), F.col("_low")))
+    return gated.withColumn("s", S.prompt_score(F.col("run"), F.col("source_file"), F.col("_low"))).select(*KEYS, "hit_idx", "run", "s.*")
 
 
 def prompt_findings(sources: DataFrame, threshold: float = rules.PROMPT_THRESHOLD) -> DataFrame:

@@ -106,8 +106,8 @@ def i9_rag_content(spark, d):
 
 
 def i6_prompt_components(spark, d):
-    s = D.prompt_scores(sources(spark, d), strong_only=True).filter("strong")
-    return s.select("app_id", "source_idx", F.left("run", F.lit(40)).alias("run"), F.col("opener").alias("opener"), "role_language", "template_slots", "policy_penalty", "path_penalty", "url_penalty")
+    s = D.prompt_scores(sources(spark, d))
+    return s.select("app_id", "source_idx", "hit_idx", F.md5("run").alias("run"), "length", "opener", "role_language", "template_slots", "multi_sentence", "policy_penalty", "path_penalty", "url_penalty", "strong", "score")
 
 
 def i6_system_prompts(spark, d):
