@@ -182,9 +182,24 @@ def test_targets_of_random_sources(spark):
 
 
 def test_stream_is_sorted_and_within_budget(docs):
-    rows = mixing.stream(staged(mixing.mix(docs))).collect()
+    rows = mixing.stream(staged(mixing.served(docs))).collect()
     assert [r["finish_time"] for r in rows] == sorted(r["finish_time"] for r in rows)
-    assert sum(r["words"] for r in rows) == sum(r["taken"] for r in mixing.mix(docs).collect())
+    assert sum(r["taken"] for r in rows) == sum(r["taken"] for r in mixing.mix(docs).collect())
+
+
+def test_truncated_queue_is_the_closed_form(spark):
+    """Each document's words in the queue up to the budget equal its share of its source's target, cut in running order."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("x" * rng.choice([1, 1, 2, 40])), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(600)] + [(700, " ".join("y" * 3000), "d"), (701, "", "e"), (702, None, "e")]
+    got = staged(mixing.served(table(spark, rows))).collect()
+    docs = {}
+    for r in got:
+        d = docs.setdefault(r["doc_id"], dict(source=r["source"], size=r["size"], start=r["_from"], whole=r["source_size"], budget=r["budget"], taken=0))
+        d["taken"] += r["taken"]
+    assert len(docs) == len(rows)
+    for d in docs.values():
+        want = sum(max(0, min(d["size"], d["budget"] - d["start"] - k * d["whole"])) for k in (0, 1))
+        assert d["taken"] == want
 
 
 # --- language model -----------------------------------------------------------------------------------------------------------------
@@ -266,7 +281,9 @@ def test_bootstrap_finds_other_forms(spark):
     finds = [("call", "487-555-7209", "later", "phone"), ("call", "(487) 555-7209", "later", "phone"), ("other", "487-558-7209", "mobile", "phone"), ("dial", "487.559.7209", "x", "phone")]
     finds += [("mail", "joe@localhost", "later", "email"), ("mail", "j" * 120 + "@localhost", "later", "email")]
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(9000 + i, f"{a} {x} {b}", "a") for i, (a, x, b, _) in enumerate(finds)] + [(9900, "year 2024 and room 487-555 of 1234567", "a")]
+    rows += [(9800, "call" + " " * 5000 + "487-555-7209 later", "a"), (9801, "z" * 300_000 + " call 487-555-7209", "a")]
     got = {r["doc_id"]: r["spans"] for r in digest_columns(contexts.personal_data(table(spark, rows)), contexts.KINDS).collect()}
+    assert (got[9800], got[9801]) == ("phone:5004:5016", "phone:300006:300018")
     for i, (a, x, _, kind) in enumerate(finds):
         assert got[9000 + i] == f"{kind}:{len(a) + 1}:{len(a) + 1 + len(x)}", finds[i]
     assert got[9900] == ""
@@ -321,6 +338,26 @@ def test_scopes_at_every_alignment(spark):
     assert {r["kind"] for r in got} == {"assign"}
 
 
+def test_opaque_tokens_have_their_own_digits():
+    assert [p for p in secrets.scan("abcdefghijklmnopqr,1 https://h.example.com/v1")[1] if p[1]] == []
+    assert [p[:3] for p in secrets.scan("abcdefghijklmnopq1 https://h.example.com/v1")[1] if p[1]] == [(0, "assign", 18)]
+
+
+def test_weak_parts_against_brute_force(spark):
+    """Added spans of random texts equal those by comparing all parts of each text."""
+    rng = random.Random(9)
+    pool = ["AKIA" + "ABCDEFGH12345678", "AKIA" + "ABCDEFGH1", "token=abcdef1", "Zx9" + "qWe7rTy2uIo4pAs6", "0a1b2c3d4e5f", "https://h.example.com/v1", "db.host.example.io", "x" * 90, "plain words", "\n"]
+    rows = [(k, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))), "a") for k in range(300)] + [(400, "y" * 300_000 + " AKIA" + "ABCDEFGH12345678 token=abcdef1", "a")]
+    got = {r["doc_id"]: sorted((x["start"], x["kind"], x["end"]) for x in r["added"]) for r in secrets.secrets(table(spark, rows)).collect()}
+    for i, t, _ in rows:
+        parts = secrets.scan(t)[1]
+        fits = lambda r, q: q == "secret" if r == "identifier" else q in ("identifier", "endpoint")
+        want = sorted({(a, k, b) for a, k, b, r in parts if k and any(fits(r, q) and c < b + 200 and d > a - 200 for c, _, d, q in parts)})
+        assert got[i] == want, t
+    assert sum(map(len, got.values())) > 100
+    assert got[400]
+
+
 def test_long_tokens_and_urls_are_whole_parts():
     ident, weak = "AKIA" + "ABCDEFGH12345678", "Zx9" + "qWe7rTy2uIo4pAs6"
     for n in (150, 197, 198, 5000):
@@ -402,13 +439,40 @@ def test_link_of_two_that_never_lead(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_odd_sketches_estimate_high_similarity():
+def test_odd_sketches_drop_what_is_below(spark):
+    """Pairs at 0.8 and above always pass; those well below, which MinHash bands still propose, do not."""
+    rng = random.Random(2)
+    rows, want = [], []
     sign = near_dups.Signer(1)
-    words = [f"w{k}" for k in range(1000)]
-    one = sign(" ".join(words))
-    apart = lambda x: sum((a ^ b).bit_count() if (a ^ b) >= 0 else ((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(one[3], x[3], strict=True))
-    like, unlike = sign(" ".join(words[100:] + [f"v{k}" for k in range(20)])), sign(" ".join(words[500:] + [f"v{k}" for k in range(500)]))
-    assert apart(like) < near_dups.farthest(0.8) < apart(unlike)
+    for size in (60, 150, 1500, 9000):
+        for like in (0.8, 0.82, 0.9, 0.7, 0.6, 0.3):
+            both = math.ceil(size * 2 * like / (1 + like))
+            base = [f"w{k}" for k in rng.sample(range(10**7), size)]
+            other = base[:both] + [f"v{k}" for k in rng.sample(range(10**7), size - both)]
+            (n, _, _, s), (m, _, _, t) = sign(" ".join(base)), sign(" ".join(other))
+            rows.append((len(rows), s, t, n + m))
+            want.append(like >= 0.8)
+    found = spark.createDataFrame(rows, "k int, s array<bigint>, t array<bigint>, n bigint").select("k", near_dups.likely(F.col("s"), F.col("t"), F.col("n"), 0.8).alias("x")).collect()
+    assert [r["x"] for r in sorted(found)] == want
+
+
+@pytest.mark.parametrize("edits", [(0, 4), (7, 9), (2, 13)])
+def test_large_groups_of_near_copies(spark, edits):
+    """500 copies just above, just below and around the threshold, by random edits from few words, equal brute force."""
+    rng = random.Random(edits[1])
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(500):
+        x = list(base)
+        for at in rng.sample(range(90), rng.randint(*edits)):
+            x[at] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(x)))
+    rows += [(900, " ".join(base[:70])), (901, " ".join(base[20:])), (902, "w1 w2"), (902, " ".join(base))]
+    plain_rows = [(i, t) for i, t in rows if i != 902]
+    sets = shingle_sets(plain_rows, 1)
+    sets[902] = shingle_sets([(902, " ".join(base))], 1)[902]
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(table(spark, [(i, t, "a") for i, t in rows]), shingle=1).collect()}
+    assert got == brute_components(sets)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -438,6 +502,34 @@ def test_fingerprints(docs, none, spark):
     assert fingerprints.compare_with_edits(table(spark, [(1, "alone here", "a")])).first()["near_next"] == 1.0
 
 
+def test_fingerprints_of_equal_and_null_ids_and_long_texts(spark):
+    """Rows with one id, or none, follow each other by text; likenesses equal those of the sketches by hand."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(60_000))
+    rows = [(5, "a b c d e f g", "x"), (5, "b c d e f g h", "x"), (5, None, "x"), (None, "t1 t2 t3 t4 t5 t6", "x"), (None, "", "x"), (9, long, "x"), (7, long[:200_000], "x")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    got = sorted((r["doc_id"] is None, -(r["doc_id"] or 0), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"], r["fingerprint"]) for r in fingerprints.compare_with_edits(table(spark, rows)).collect())
+    cut, want = fingerprints.Shingles(5), []
+    for k, (i, t, _) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, other, following = (fingerprints.sketch(cut(x), 8) for x in (t, edited, after))
+        want.append((i is None, -(i or 0), len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.likeness(own, other), fingerprints.likeness(own, following), fingerprints.as_text(own)))
+    assert got == sorted(want)
+
+
+def test_ranges_of_ids_join_up(spark):
+    """Many ranges, with hot and missing ids, give each document its next one."""
+    rows = [(k * 3 if k % 4 else 300, f"text {k} of many words here", "x") for k in range(400)]
+    order = sorted(((i, t) for i, t, _ in rows), key=lambda r: (-r[0], r[1]))
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.compare_with_edits(table(spark, rows)).collect()) == want
+
+
 def test_sketches_merge_and_contain():
     rng = np.random.default_rng(5)
     a, b = (np.unique(rng.integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)) for _ in range(2))
@@ -486,6 +578,36 @@ def test_decision_list_learns_a_conjunction():
     assert quality_rules.learn({"a": np.zeros(0)}, np.zeros(0, bool)) == []
 
 
+def test_decision_list_of_few_rows_holds_elsewhere():
+    """Some thirty bad rows are enough for rules that are precise on others, in any order."""
+    rng = np.random.default_rng(7)
+    x = {"a": rng.random(1400), "b": rng.random(1400)}
+    bad = (x["a"] > 0.92) | (rng.random(1400) < 0.01)
+    for turn in range(4):
+        order = np.random.default_rng(turn).permutation(400)
+        rules = quality_rules.learn({k: v[order] for k, v in x.items()}, bad[order])
+        assert rules
+        hit = np.zeros(1400, bool)
+        for r in rules:
+            hit |= quality_rules.holds(r, x)
+        assert bad[400:][hit[400:]].mean() > 0.8
+        assert hit[400:][bad[400:]].mean() > 0.6
+
+
+def test_kept_is_the_list_of_rules(spark):
+    """Verdicts of all rows, nulls and repeated ones too, equal the base rule and the learned list by hand."""
+    docs, labels = graded(spark)
+    more = docs.unionByName(table(spark, [(800, None, "a"), (801, "", "a"), (802, " ".join(["same"] * 40), "a"), (802, " ".join(["same"] * 40), "a"), (803, "long " * 200_000, "a")]))
+    stats = staged(quality_rules.statistics(more.select("doc_id", "text")).drop("text"))
+    rules = quality_rules.learn_rules(stats, labels)
+    assert rules
+    for r in quality_rules.judge(more, labels).collect():
+        x = {k: np.array([float(eval(e, {"greatest": max}, r.asDict()))]) for k, e in quality_rules.FEATURES.items()}
+        first = next((k for k, rule in enumerate(rules, 1) if quality_rules.holds(rule, x)[0]), 0)
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, first, not failed and not first)
+
+
 def graded(spark):
     rng = random.Random(12)
     words = [f"word{k}" for k in range(300)]
@@ -511,9 +633,30 @@ def test_ordinal_classifier_on_held_out_rows(spark, none):
     assert sum(right) / len(right) > 0.95
     assert all(0 <= r["tail_probability"] <= 1 and r["tail_probability"] <= r["expected_grade"] <= 2 for r in got)
     assert quality_classifier.train(docs, labels.limit(0)) is None
+    assert quality_classifier.train(none, labels) is None
+    odd = table(spark, [(900, None, "a"), (901, "", "a"), (902, "word1 word2", "a"), (902, "word1 word2", "a"), (903, "word3 " * 200_000, "a")]).withColumns({"_score": F.lit("own"), "accepted": F.lit("old")})
+    rows = quality_classifier.classify(odd, model).collect()
+    assert len(rows) == 5
+    assert all(r["_score"] == "own" and r["accepted"] in (True, False) for r in rows)
+    assert len({r["tail_probability"] for r in rows if r["doc_id"] == 902}) == len({r["tail_probability"] for r in rows if r["doc_id"] in (900, 901)}) == 1
+    twice = docs.unionByName(docs).unionByName(docs)
+    again = quality_classifier.train(twice.repartition(7), labels.filter("doc_id < 500"))
+    assert np.array_equal(again[0], model[0])
     assert quality_classifier.classify(none, model).count() == 0
 
 
+def test_classifier_scores_against_plain_sums(spark):
+    """Scores by worker equal sums of the weights of each text's features, with the logistic of the thresholds."""
+    docs, labels = graded(spark)
+    weights, theta = quality_classifier.train(docs, labels)
+    for r in quality_classifier.classify(docs.limit(60), (weights, theta)).collect():
+        total = sum(float(weights[b]) for b in quality_classifier.buckets(r["text"] or ""))
+        tails = [1 / (1 + math.exp(t - total)) for t in theta]
+        assert math.isclose(r["tail_probability"], tails[-1], rel_tol=1e-6)
+        assert math.isclose(r["expected_grade"], sum(tails), rel_tol=1e-6)
+        assert r["accepted"] == (r["tail_probability"] >= 0.5)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
