@@ -237,6 +237,37 @@ def test_scores(docs, none):
     assert language_model.score(none, states=2, passes=1).count() == 0
 
 
+def test_score_is_class_times_word(spark):
+    """Scores end to end by hand: the state sequence's probability of the classes, times each rare word's share of its class; rare words, unknown ones and a very long text."""
+    rng = random.Random(3)
+    words = [f"w{k:05}" for k in range(19_000)]  # more than have a class of their own
+    rows = [(k, " ".join(words[k * 200 : k * 200 + 200] + [rng.choice(words[:50]) for _ in range(rng.randint(1, 50))]), "a") for k in range(95)] + [(500, "never seen words", "a"), (501, None, "a"), (502, " ".join(rng.choice(words) for _ in range(5000)), "a")]
+    docs = table(spark, rows).coalesce(1).cache()
+    base = language_model.rows_of(docs)
+    counts = staged(language_model.word_counts(base))
+    vocab = language_model.vocabulary(counts, base.filter(~F.col("held_out")).count())
+    texts_ = staged(language_model.encoded(base, vocab))
+    model = language_model.train(texts_.filter(~F.col("held_out")), vocab, 3, 2)
+    c = {r["word"]: r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, states=3, passes=2).collect()}
+    for i, t, _ in rows:
+        now, total = model.start, 0.0
+        tokens = (t or "").split()
+        for k, w in enumerate([*tokens, None]):
+            if w is None:
+                at = vocab.end
+            elif w.encode() in vocab.frequent:
+                at = vocab.frequent[w.encode()][0]
+            else:
+                own = language_model.shared_class(w.encode())
+                at = language_model.FREQUENT + own
+                total += math.log10((c.get(w, 0) + 0.1) / (vocab.mass[own] + 0.1 * (vocab.kinds[own] + 1)))
+            now = (now @ model.move if k else now) * model.emit[at]
+            total += math.log10(now.sum())
+            now = now / now.sum()
+        assert math.isclose(got[i], total, rel_tol=1e-5), i
+
+
 # --- personal data and secrets ------------------------------------------------------------------------------------------------------
 
 PII = ["mail joe.x@mail.example.com now", "host 10.0.0.255 and 999.1.1.1", "pay 4111 1111 1111 1111 ok", "call +1 (487) 555-7209 x", "a@b", "@@", "+1", "1.2.3.4.5.6.7.8", None, ""]
