@@ -87,6 +87,15 @@ def release(spark: SparkSession, first: int = 0, last: int | None = None) -> Non
         _forget(spark, path)
 
 
+#: Rows of ids (8 bytes each, or a few times that) that are broadcast at most.
+FEW = 500_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows; df must be staged."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def slices(batches, rows: int = 400):
     """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small."""
     for batch in batches:

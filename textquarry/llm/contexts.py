@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import slices, staged, table, text_or_empty
-from textquarry.llm.near_dups import few
+from textquarry.llm.common import few, slices, staged, table, text_or_empty
 from textquarry.llm.spans import digest_columns
 
 KINDS = ("email", "ip", "card", "phone")

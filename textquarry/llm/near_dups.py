@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import slices, staged, table, text_or_empty
+from textquarry.llm.common import few, slices, staged, table, text_or_empty
 from textquarry.llm.components import components
 from textquarry.llm.shingles import Shingles, mixed
 
@@ -50,8 +50,6 @@ SAMPLES = ROWS * BANDS
 #: Bins of the odd sketch's MinHash samples, its bits, and both in words of 64 bits.
 BINS, BITS = 2048, 4096
 PARITY, FILLED = BITS // 64, BINS // 64
-#: Ids or heavy leaders are broadcast up to so many (8 bytes each).
-FEW = 500_000
 #: Buckets with so many members are compared in all pairs at last.
 SMALL = 6
 #: Members of one leader that are confirmed in one task.
@@ -126,11 +124,6 @@ def likely(one: Column, two: Column, sizes: Column, threshold: float, sigmas: fl
     return F.element_at(F.transform(F.array(F.struct(differ.alias("p"), either.alias("n"), held.alias("s"))), test), 1)
 
 
-def few(df: DataFrame, limit: int = FEW) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; df must be staged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def with_leaders(pairs: DataFrame, texts: DataFrame, shingle: int, schema: str, say: Callable) -> DataFrame:
     """Rows that say(a, set of a, b, set of b) yields for pairs (a, b), or none.
 
