@@ -38,6 +38,21 @@ BUCKET_ROWS, MOST_BUCKETS = 128, 65_536
 PLAIN = 0x250
 
 
+class Recent:
+    """A bounded cache in two generations: what was asked for since the last turn survives the next one."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys whose values must still be put into `now`; all of them stay there until the next call."""
+        if len(self.now) >= self.most:
+            self.now, self.before = {}, self.now
+        new = keys.difference(self.now)
+        self.now.update([(x, self.before[x]) for x in new if x in self.before])
+        return new.difference(self.now)
+
+
 class WordTokens:
     """Token ids of texts whose tokenizer drops white space, word by word.
 
@@ -47,7 +62,7 @@ class WordTokens:
     pretoken's tokens just the last one closes a word, so their ids fall apart again.
     """
 
-    def __init__(self, spec: str, most_words: int = 500_000, most_pretokens: int = 300_000, together: int = 20_000):
+    def __init__(self, spec: str, most_words: int = 250_000, most_pretokens: int = 150_000, together: int = 20_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -61,9 +76,7 @@ class WordTokens:
         self.library = Tokenizer.from_str(spec)
         self.closes = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.closes[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
-        self.most_words, self.most_pretokens, self.together = most_words, most_pretokens, together
-        self.words: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.together, self.words, self.pretokens = together, Recent(most_words), Recent(most_pretokens)
 
     def _alone(self, part: str) -> bytes:
         return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,16 +89,16 @@ class WordTokens:
             ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             if len(ends) == len(own):
                 raw = ids.tobytes()
-                self.pretokens.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+                self.pretokens.now.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
-                self.pretokens.update((x, self._alone(x)) for x in own)
+                self.pretokens.now.update((x, self._alone(x)) for x in own)
 
     def _learn(self, words: set[str]) -> None:
         cut = {}
         for x in words:
             if not x.isascii():
                 if max(map(ord, x)) >= PLAIN:
-                    self.words[x] = self._alone(x)
+                    self.words.now[x] = self._alone(x)
                     continue
                 low = unicodedata.normalize("NFC", x).lower()
             else:
@@ -93,26 +106,19 @@ class WordTokens:
             if low.isalpha():
                 cut[x] = (low,)
             elif self.special.search(x):
-                self.words[x] = self._alone(x)
+                self.words.now[x] = self._alone(x)
             else:
                 cut[x] = self.pattern.findall(low)
-        new = {x for own in cut.values() for x in own}.difference(self.pretokens)
-        if len(self.pretokens) + len(new) > self.most_pretokens:
-            self.pretokens.clear()
-            new = {x for own in cut.values() for x in own}
+        new = self.pretokens.missing({x for own in cut.values() for x in own})
         self._side_by_side([x for x in new if x.isalpha()])
-        self.pretokens.update((x, self._alone(x)) for x in new if not x.isalpha())
-        self.words.update((x, b"".join(map(self.pretokens.__getitem__, own))) for x, own in cut.items())
+        self.pretokens.now.update((x, self._alone(x)) for x in new if not x.isalpha())
+        self.words.now.update((x, b"".join(map(self.pretokens.now.__getitem__, own))) for x, own in cut.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*cut).difference(self.words)
-        if len(self.words) + len(new) > self.most_words:
-            self.words.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        return [b"".join(map(self.words.__getitem__, x)) for x in cut]
+        self._learn(self.words.missing(set().union(*cut)))
+        return [b"".join(map(self.words.now.__getitem__, x)) for x in cut]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
