@@ -43,7 +43,7 @@ def test_rag(spark):
 
 def test_dedup_keeps_first_of_the_most_confident(spark):
     cols = ", ".join(f"{c} {'double' if c == 'confidence' else 'int' if c.endswith('idx') or c == 'offset' else 'string'}" for c in D.FINDING)
-    row = lambda conf, path, idx: ("a", "k", "info", "t", None, path, None, None, "e", conf, 0, idx, 0, 0)
+    row = lambda conf, path, idx: ("a", "k", "info", "t", None, None, path, None, None, "e", conf, 0, idx, 0, 0)
     got = D.dedup_findings(spark.createDataFrame([row(0.7, "p", 0), row(0.9, "q", 2), row(0.9, "r", 1)], cols)).collect()
     assert len(got) == 1
     assert (got[0]["file_path"], got[0]["occurrences"], got[0]["locations"]) == ("r", 3, ["p", "q", "r"])
