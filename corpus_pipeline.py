@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import STAGED, release, shared_folder, staged, table, text_or_empty
 from textquarry.llm.contexts import personal_data, redact
-from textquarry.llm.mixing import served
+from textquarry.llm.mixing import measured, queued, sequenced, words
 from textquarry.llm.near_dups import few, near_duplicates
 from textquarry.llm.packing import pack_documents
 from textquarry.llm.quality_classifier import classify, train
@@ -49,10 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words have no size and stay once; null sources are a source; no rows give none.
     """
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    copies = served(numbered).groupBy("_row", "copy", "size").agg(F.sum("taken").alias("_taken"), F.min("finish_time").alias("_finish"))
-    kept = staged(copies.filter("case when size = 0 then copy = 0 else 2 * _taken >= size end").select("_row", "copy", "_finish"))
-    return numbered.join(few(kept, 100_000), "_row").orderBy("_finish", "_row", "copy").select(docs.columns)
+    numbered = staged(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": words()}))
+    sized, targets = measured(numbered)
+    copies = queued(sized, targets).groupBy("_row", "copy", "doc_id", "source", "size").agg(F.sum("taken").alias("_taken"), F.min("finish_time").alias("finish_time"))
+    kept = staged(copies.filter("case when size = 0 then copy = 0 else 2 * _taken >= size end").drop("_taken"))
+    return sequenced(numbered, docs.columns, kept, targets)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

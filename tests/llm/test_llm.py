@@ -723,3 +723,56 @@ def test_near_dedup_decides_by_row(spark):
         got = [(r["doc_id"], r["text"], r["source"]) for r in P.near_dedup(spark, table(spark, turned), "").collect()]
         assert len(got) == len(want)
         assert set(got) == want
+
+
+def mixed_rows():
+    """Repeated rows, one hot id and rows without one, null sources, and sources (a large and a small share) with texts without words."""
+    rng = random.Random(12)
+    rows = [(rng.choice([i, i, i, 7, None]), " ".join(rng.choice("uvw") + str(rng.randrange(99)) for _ in range(rng.choice([1, 3, 30]))), rng.choice(["a", "a", "b", "c", None])) for i in range(900)]
+    return rows + rows[:40] + [(2000 + k, rng.choice([None, "", " \n "]), rng.choice(["a", "c", "d"])) for k in range(120)]
+
+
+def test_mix_sources_is_the_queue(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    for name, value in (("BUCKET_ROWS", 4), ("CELL", 2), ("RANGE_ROWS", 100)):
+        monkeypatch.setattr(mixing, name, value, raising=False)
+    docs = staged(table(spark, mixed_rows()).withColumn("n_chars", F.monotonically_increasing_id()))  # tells rows apart
+    copies = collections.defaultdict(list)
+    for r in mixing.served(docs, keep=("n_chars",)).collect():
+        copies[r["n_chars"], r["copy"]].append(r)
+    want = {}
+    for (row, copy), own in copies.items():
+        size = own[0]["size"]
+        if (2 * sum(r["taken"] for r in own) >= size) if size else not copy:
+            want.setdefault(row, []).append(min(r["finish_time"] for r in own))
+    got = P.mix_sources(spark, docs, "").collect()
+    texts = {r["n_chars"]: tuple(r) for r in docs.collect()}
+    assert all(tuple(r) == texts[r["n_chars"]] for r in got)
+    assert collections.Counter(r["n_chars"] for r in got) == {row: len(times) for row, times in want.items()}
+    turn, times = collections.Counter(), []
+    for r in got:
+        times.append(sorted(want[r["n_chars"]])[turn[r["n_chars"]]])
+        turn[r["n_chars"]] += 1
+    assert times == sorted(times)
+    assert P.mix_sources(spark, docs.limit(0), "").count() == 0
+
+
+def test_mix_sources_shuffles_texts_once(spark, monkeypatch):
+    """Also if the rows of the queue are too many for a broadcast."""
+    import corpus_pipeline as P
+
+    def exchanges(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return exchanges(node.initialPlan())
+        below = [x for k in range(node.children().size()) for x in exchanges(node.children().apply(k))]
+        return below + [node.output().mkString(",")] * (node.nodeName() == "Exchange")
+
+    monkeypatch.setattr(P, "few", lambda df, limit=0: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.mix_sources(spark, staged(table(spark, mixed_rows())), "")._jdf.queryExecution().executedPlan()
+        assert sum("text#" in x or "_doc#" in x for x in exchanges(plan)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -14,6 +14,10 @@ them, so that a source with most rows is dealt out. Finish times are spread even
 over virtual time by their making, so ranges of them need no sample: their sums
 are cumulated in blocks of ranges, then in ranges, then in rows.
 
+Whole documents in the queue's order (`sequenced`) are shuffled once: the queue's
+rows, without texts, are sorted and dealt into ranges, and bounds of the sources'
+orders tell each document which ranges its copies are in.
+
 Defined cases: null text has size 0; null sources are a source, ordered last;
 repeated rows are documents of their own, in a fixed order by id and content (ties
 between rows alike in id and size may change places, which changes no sum);
@@ -28,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import WORD_REGEX, staged, table, text_or_empty
+from textquarry.llm.common import WORD_REGEX, few, staged, table, text_or_empty
 
 #: Rows of a salted bucket of one source, and buckets of one source at most.
 BUCKET_ROWS, MOST_BUCKETS = 128, 1 << 20
 #: The sources' totals are broadcast up to so many of them; beyond, they are joined by a shuffle, in which Spark splits skewed keys.
 FEW_SOURCES = 10_000
+#: Buckets of a cell, whose bounds documents are looked up in, cells that are broadcast at most, and rows of a range of the queue at least (if there is more than one).
+CELL, FEW_CELLS, RANGE_ROWS = 16, 100_000, 1000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -67,18 +73,25 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 def sizes(docs: DataFrame) -> DataFrame:
     """Add size, the number of words."""
-    return docs.withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORD_REGEX)).cast("long"))
+    return docs.withColumn("size", words())
 
 
-def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
-    """Add source_size, target, budget (the target in whole words) and _from (words of the source before the document, in shuffled order) to rows (doc_id, source, size, _row)."""
-    marks = targets.withColumn("_buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long"))
+def words() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(WORD_REGEX)).cast("long")
+
+
+def turns(rows: DataFrame, marks: DataFrame, seed: int = 20240) -> DataFrame:
+    """Add the columns of marks (source, source_rows), and _bucket and _at, the place in the source's shuffled order, to rows (doc_id, source)."""
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
     shuffled = F.conv(F.substring(drawn, 1, 15), 16, 10).cast("bigint")
-    if marks.count() <= FEW_SOURCES:
-        marks = F.broadcast(marks)
-    queue = sized.join(marks, sized["source"].eqNullSafe(marks["source"])).drop(marks["source"])
-    queue = queue.withColumn("_at", shuffled).withColumn("_bucket", F.pmod("_at", F.col("_buckets")))
+    buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long")
+    rows = rows.join(marks, rows["source"].eqNullSafe(marks["source"])).drop(marks["source"])
+    return rows.withColumn("_at", shuffled).withColumn("_bucket", F.pmod("_at", buckets))
+
+
+def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
+    """Add source_size, target, budget (the target in whole words) and _from (words of the source before the document, in shuffled order) to rows (doc_id, source, size, _row)."""
+    queue = turns(sized, F.broadcast(targets) if targets.count() <= FEW_SOURCES else targets, seed)
     key = [F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("_bucket")]
     sums = queue.groupBy(key[0].alias("_s"), key[1].alias("_null"), key[2].alias("_b")).agg(F.sum("size").alias("_in"))
     before = W.partitionBy("_s", "_null").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -87,7 +100,7 @@ def fair_queue(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataF
     queue = queue.withColumns({"_s": key[0], "_null": key[1], "_b": key[2]}).withColumn("_upto", F.sum("size").over(within))
     queue = queue.join(sums, ["_s", "_null", "_b"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
     queue = queue.withColumns({"budget": F.round("target").cast("long"), "_from": F.col("_upto") - F.col("size")})
-    return queue.drop("_s", "_null", "_b", "_bucket", "_buckets", "_at", "_upto", "_before", "source_rows")
+    return queue.drop("_s", "_null", "_b", "_bucket", "_at", "_upto", "_before", "source_rows")
 
 
 def packets(queue: DataFrame, repeats: int = 2) -> DataFrame:
@@ -122,15 +135,27 @@ def truncated(rows: DataFrame, total: int, count: int) -> DataFrame:
     return rows.join(sums, "_range").withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(total) - start)).cast("long")).drop("_range", "_before")
 
 
-def served(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The queue's packets (doc_id, _row, source, size, source_size, target, copy, words, finish_time, taken and the columns to keep) of documents (doc_id, text, source; and _row if they are numbered)."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    sized = staged(sizes(docs.select("doc_id", "source", "text", row.alias("_row"), *keep)).drop("text"))
-    targets = staged(source_targets(sized, weights, share))
+def measured(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _row, source, size and the columns to keep) and the sources' targets of documents (doc_id, text, source; and _row and _size if they are numbered)."""
+    if {"_row", "_size"} <= set(docs.columns):
+        sized = staged(docs.select("doc_id", "source", "_row", *keep, F.col("_size").alias("size")))
+    else:
+        row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+        sized = staged(sizes(docs.select("doc_id", "source", "text", row.alias("_row"), *keep)).drop("text"))
+    return sized, staged(source_targets(sized, weights, share))
+
+
+def queued(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
+    """The queue's packets of measured rows."""
     sums = targets.agg(F.coalesce(F.sum(F.round("target").cast("long")), F.lit(0)).alias("total"), F.coalesce(F.sum("source_rows"), F.lit(0)).alias("n")).first()
     return truncated(packets(fair_queue(sized, targets, seed)), int(sums["total"]), int(sums["n"]))
 
 
+def served(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The queue's packets (doc_id, _row, source, size, source_size, target, copy, words, finish_time, taken and the columns to keep) of documents (doc_id, text, source; and _row if they are numbered)."""
+    return queued(*measured(docs, weights, share, keep), seed)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mix documents (doc_id, text, source): one row per document with size, source_size, target, taken, finish_time (of the first copy) and the columns to keep."""
     same = ["_row", "doc_id", "source", "size", "source_size", "target", *keep]
@@ -143,6 +168,35 @@ def stream(rows: DataFrame) -> DataFrame:
     return rows.filter("taken > 0").orderBy("finish_time", F.col("source").asc_nulls_last(), "_from", "copy", "doc_id", "_row")
 
 
+def sequenced(docs: DataFrame, columns: list[str], kept: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
+    """The columns of docs (numbered by _row, with _size) as often as kept (_row, copy, doc_id, source, size, finish_time) has the row, in order of finish time.
+
+    kept is sorted and dealt into ranges. In a source's order one copy's finish times
+    rise, so a range holds a stretch of it; the stretches of a cell are a few bounds,
+    and a document goes to the ranges whose bounds it is in. There it meets its rows
+    of kept; where bounds held it but kept doesn't, it is dropped.
+    """
+    marks = few(targets.select("source", "source_rows"), FEW_CELLS)
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + kept.count() // RANGE_ROWS)
+    cell = {"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull(), "_cell": F.floor(F.col("_bucket") / CELL)}
+    turn = F.struct("_bucket", "_at", "doc_id", "size", "_row")
+    order = F.struct("finish_time", "_null", "_s", "_turn", "copy")  # ties by source, then in their source's order
+
+    places = turns(kept, marks, seed).withColumns(cell).withColumn("_turn", turn).withColumn("_order", order)
+    places = staged(places.select("_row", "copy", "size", *cell, "_turn", "_order").repartitionByRange(parts, "_order").withColumn("_range", F.spark_partition_id()))
+    bounds = places.groupBy(*cell, "copy", "_range").agg(F.min("_turn").alias("_first"), F.max("_turn").alias("_last"), (F.max("size") > 0).alias("_words"))
+    cells = staged(bounds.groupBy(*cell).agg(F.collect_list(F.struct("copy", "_range", "_first", "_last", "_words")).alias("_bounds")))
+
+    rows = docs.select("_row", "doc_id", "source", F.col("_size").alias("size"), F.struct(*columns).alias("_doc"))
+    rows = turns(rows, marks, seed).withColumns(cell).withColumn("_turn", turn).select("_row", "size", *cell, "_turn", "_doc")
+    inside = F.filter("_bounds", lambda x: (x["_first"] <= F.col("_turn")) & (F.col("_turn") <= x["_last"]) & (x["_words"] | (F.col("size") == 0)))
+    sent = rows.join(few(cells, FEW_CELLS), list(cell)).select("_row", "_doc", F.explode(inside).alias("_to")).select("_row", "_to.copy", "_to._range", "_doc")
+
+    both = sent.unionByName(places.select("_row", "copy", "_range", "_order"), allowMissingColumns=True).repartitionById(parts, "_range")
+    both = both.withColumn("_when", F.max("_order").over(W.partitionBy("_range", "_row", "copy")))
+    return both.filter("_doc is not null and _when is not null").sortWithinPartitions("_when").select("_doc.*")
+
+
 def op3_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
