@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -99,6 +100,46 @@ def test_packing(docs, none, capacity):
     assert packing.pack_documents(none, WORDS, capacity).count() == 0
 
 
+def test_new_words_go_to_the_library_together():
+    tokens, library, calls = packing.WordTokens(tokenizer_text(WORDS)), Tokenizer.from_file(WORDS), collections.Counter()
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            calls[name] += 1
+            return getattr(self.own, name)
+
+    for name, x in list(vars(tokens).items()):
+        if isinstance(x, Tokenizer):
+            setattr(tokens, name, Counted(x))
+    text = " ".join(f"né{''.join(x)}W{k}" for k, x in enumerate(itertools.product("!?.,;:-", repeat=4)))
+    assert tokens.ids([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert 0 < sum(calls.values()) <= 3
+
+
+@pytest.mark.parametrize("most", [2, 60, 10_000])
+def test_word_ids_around_any_character(most):
+    library, tokens = Tokenizer.from_file(WORDS), packing.WordTokens(tokenizer_text(WORDS), most, most, 5)
+    signs = [*map(chr, range(0x370)), *"Σς漢　\u2028ﬁⱥ\U0001f600"]
+    many = [f"a{c}!{c}B 'S{c}'s{c}1 {c}\n{c * 3}<|endoftext|>{c} the" for c in signs] + ["", " ", "\n\n", " x\n"]
+    got = [x for k in range(0, len(many), 7) for x in tokens.ids(many[k : k + 7])]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(many, add_special_tokens=False)]
+
+
+def test_known_keys_that_come_again_stay():
+    known = packing.Known(8)
+    for keys in ("abca", "defghia", "ab"):
+        known.trim()
+        where, new = known.find(list(keys))
+        known.learn(np.array([ord(x) for x in new for _ in range(ord(x) % 3)], "<u4"), np.array([ord(x) % 3 for x in new], np.int64))
+        ids, ends = known.gather(where)
+        assert ids.tolist() == [ord(x) for x in keys for _ in range(ord(x) % 3)]
+        assert ends.tolist() == np.cumsum([ord(x) % 3 for x in keys]).tolist()
+    assert new == ["b"] and list(known.at) == ["a", "b"]
+
+
 def check_places(rows, capacity):
     by = collections.defaultdict(list)
     for r in rows:

@@ -113,15 +113,3 @@ def once(kind, *args):
         _MADE.clear()
         _MADE[key] = kind(*args)
     return _MADE[key]
-
-
-def rounds(texts: list, limit: int = ROUND_CHARS):
-    """Ranges (start, end) of a list of strings with about `limit` characters each, one text at least."""
-    start = total = 0
-    for i, x in enumerate(texts):
-        total += len(x)
-        if total >= limit:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

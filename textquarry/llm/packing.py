@@ -17,52 +17,86 @@ than a sequence is cut into full pieces and a rest; other columns are not used.
 from __future__ import annotations
 
 import bisect
+import collections
+import itertools
 import json
 import math
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import once, rounds, slices, staged, table, text_or_empty
+from textquarry.llm.bpe import byte_symbols
+from textquarry.llm.common import once, slices, staged, table, text_or_empty
 from textquarry.llm.token_counts import tokenizer_text
 
 #: Rows of a salted bucket of equal lengths, and buckets of one length at most.
 BUCKET_ROWS, MOST_BUCKETS = 128, 65_536
+#: Bytes of text whose words are looked up at once, about (or one text).
+ROUND_BYTES = 1_000_000
 #: Words beyond this code point go to the tokenizer library one by one.
 PLAIN = 0x250
 
 
-class Recent:
-    """A bounded cache in two generations: what was asked for since the last turn survives the next one."""
+class Known:
+    """Token ids by key: keys have numbers, and their ids lie side by side in one array. When full, it keeps what came more than once since the last time."""
 
     def __init__(self, most: int):
-        self.most, self.now, self.before = most, {}, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Keys whose values must still be put into `now`; all of them stay there until the next call."""
-        if len(self.now) >= self.most:
-            self.now, self.before = {}, self.now
-        new = keys.difference(self.now)
-        self.now.update([(x, self.before[x]) for x in new if x in self.before])
-        return new.difference(self.now)
+        self.most = most
+        self._begin([], np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _begin(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.at = collections.defaultdict(itertools.count(len(keys)).__next__, zip(keys, itertools.count()))  # noqa: B905
+        self.ids, self.counts, self.starts, self.uses = ids, counts, np.cumsum(counts) - counts, np.zeros(len(keys), np.int64)
+
+    def trim(self) -> None:
+        """Make room if it is full; numbers change."""
+        if len(self.at) >= self.most:
+            kept, half = np.flatnonzero(self.uses > 1), self.most // 2
+            if len(kept) > half:
+                kept = np.sort(np.argpartition(-self.uses, half)[:half])
+            keys = list(self.at)
+            self._begin([keys[k] for k in kept.tolist()], self.gather(kept)[0], self.counts[kept])
+
+    def find(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The keys' numbers, and those that are new, in the order of their numbers; `learn` must follow."""
+        before = len(self.at)
+        where = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        uses = np.bincount(where, minlength=len(self.at))
+        uses[:before] += self.uses
+        self.uses = uses
+        return where, list(itertools.islice(reversed(self.at), len(self.at) - before))[::-1]
+
+    def learn(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The new keys' ids side by side, and how many each has."""
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+        self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
+
+    def gather(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys side by side, and where each key's end."""
+        counts = self.counts[where]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[where] + counts - ends, counts) + np.arange(counts.sum())], ends
 
 
 class WordTokens:
     """Token ids of texts whose tokenizer drops white space, word by word.
 
     White space ends a pretoken there, so a text's ids are those of its parts
-    between spaces and line ends. New parts are cut into lower-cased pretokens,
-    and new pretokens of letters go to the library side by side: of a
+    between spaces and line ends. New parts are cut into lower-cased pretokens
+    all at once, and new pretokens go side by side to the library's model, without the
+    normalizer and the patterns that have been applied by then: of a
     pretoken's tokens just the last one closes a word, so their ids fall apart again.
     """
 
-    def __init__(self, spec: str, most_words: int = 250_000, most_pretokens: int = 150_000, together: int = 20_000):
+    def __init__(self, spec: str, most_words: int = 400_000, most_pretokens: int = 250_000, together: int = 20_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -70,55 +104,68 @@ class WordTokens:
         split, model = declared["pre_tokenizer"]["pretokenizers"][0], declared["model"]
         if split["behavior"] != "Removed" or not split["invert"] or not model["end_of_word_suffix"]:
             raise ValueError("this operator needs a tokenizer that drops white space and marks words' ends")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        marks = [x["content"] for x in declared["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, marks)) if marks else "(?!)")
+        slow = regex.compile(split["pattern"]["Regex"] + "|[ \n]")
+        there = sorted({c for k in range(PLAIN) for c in unicodedata.normalize("NFC", chr(k)).lower()})
+        quick = re.compile(re.sub(r"\\p\{\w+\}|\\s", lambda m: "".join(re.escape(c) for c in there if regex.match(m[0], c)), slow.pattern))  # no classes but lists, several times as fast
+        probe = "".join(there) + "a".join(there) + " ".join(there)
+        self.pattern = quick if quick.findall(probe) == slow.findall(probe) else slow
+        marks = [re.escape(x["content"]) for x in declared["added_tokens"]]
+        self.odd = re.compile("|".join([*marks, f"[{chr(PLAIN)}-{chr(sys.maxunicode)}]"]))
         self.library = Tokenizer.from_str(spec)
+        self.model = Tokenizer.from_str(json.dumps(declared | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
+        self.symbols = np.zeros(256, "<u4")
+        for symbol, byte in byte_symbols().items():
+            self.symbols[byte] = ord(symbol)
+        self.symbols[ord(" ")] = ord(" ")  # between pretokens; none has one
         self.closes = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.closes[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
-        self.together, self.words, self.pretokens = together, Recent(most_words), Recent(most_pretokens)
-
-    def _alone(self, part: str) -> bytes:
-        return np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _side_by_side(self, parts: list[str]) -> None:
-        """Learn pretokens of letters."""
-        for k in range(0, len(parts), self.together):
-            own = parts[k : k + self.together]
-            ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
-            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
-            if len(ends) == len(own):
-                raw = ids.tobytes()
-                self.pretokens.now.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:
-                self.pretokens.now.update((x, self._alone(x)) for x in own)
-
-    def _learn(self, words: set[str]) -> None:
-        cut = {}
-        for x in words:
-            if not x.isascii():
-                if max(map(ord, x)) >= PLAIN:
-                    self.words.now[x] = self._alone(x)
-                    continue
-                low = unicodedata.normalize("NFC", x).lower()
-            else:
-                low = x.lower()
-            if low.isalpha():
-                cut[x] = (low,)
-            elif self.special.search(x):
-                self.words.now[x] = self._alone(x)
-            else:
-                cut[x] = self.pattern.findall(low)
-        new = self.pretokens.missing({x for own in cut.values() for x in own})
-        self._side_by_side([x for x in new if x.isalpha()])
-        self.pretokens.now.update((x, self._alone(x)) for x in new if not x.isalpha())
-        self.words.now.update((x, b"".join(map(self.pretokens.now.__getitem__, own))) for x, own in cut.items())
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        self.together, self.words, self.pretokens = together, Known(most_words), Known(most_pretokens)
+
+    def _encode(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pretokens' ids side by side, and how many each has."""
+        text = self.symbols[np.frombuffer(" ".join(own).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        if len(own) == 1:
+            return ids, np.array([len(ids)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(own) else tuple(map(np.concatenate, zip(*(self._encode([x]) for x in own), strict=True)))
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.library.encode(x, add_special_tokens=False).ids for x in parts]
+        return np.array(list(itertools.chain.from_iterable(found)), "<u4"), np.array([len(x) for x in found])
+
+    def _learn(self, words: list[str]) -> None:
+        """Words with special strings or rare letters stand for themselves among the pretokens, after a line end."""
+        self.pretokens.trim()
+        joined, odd = " ".join(words), []
+        if self.odd.search(joined):
+            shown = ["\n" if self.odd.search(x) else x for x in words]
+            odd = ["\n" + x for x, y in zip(words, shown, strict=True) if y == "\n"]
+            joined = " ".join(shown)
+        parts = self.pattern.findall(unicodedata.normalize("NFC", joined).lower())
+        if odd:
+            rest = iter(odd)
+            parts = [next(rest) if x == "\n" else x for x in parts]
+        if new := self.pretokens.find([" ", *odd])[1]:
+            self.pretokens.learn(*self._alone([x[1:] for x in new]))
+        where, new = self.pretokens.find(parts)
+        for k in range(0, len(new), self.together):
+            self.pretokens.learn(*self._encode(new[k : k + self.together]))
+        ids, ends = self.pretokens.gather(where)
+        self.words.learn(ids, np.diff([*ends[where == self.pretokens.at[" "]], len(ids)], prepend=0))
+
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        self._learn(self.words.missing(set().union(*cut)))
-        return [b"".join(map(self.words.now.__getitem__, x)) for x in cut]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        parts = cut.flatten().dictionary_encode()  # Python sees each part once, and splits one string sooner than it makes many
+        own = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts.dictionary)], pa.int32()), parts.dictionary), " ")[0].as_py().split(" ")
+        self.words.trim()
+        where, new = self.words.find(own)
+        if new:
+            self._learn(new)
+        ids, ends = self.words.gather(where[parts.indices.to_numpy()])
+        raw, last = ids.tobytes(), (4 * np.append(0, ends)[np.cumsum(cut.value_lengths().to_numpy(), dtype=np.int64)]).tolist()
+        return [raw[a:b] for a, b in zip([0, *last], last)]  # noqa: B905
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -131,10 +178,11 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, width = once(WordTokens, spec.value), 4 * capacity
         for batch in slices(batches):
-            texts, done = batch.to_pylist(), []
-            for a, b in rounds(texts):
+            done, turn = [], np.cumsum(pc.binary_length(batch).to_numpy(zero_copy_only=False), dtype=np.int64) // ROUND_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(batch)] if len(batch) else []
+            for a, b in itertools.pairwise(edges):
                 offsets, piece, start, ids = [0], [], [], []
-                for x in words.ids(texts[a:b]):
+                for x in words.ids(batch[a:b]):
                     own = x + end
                     for k in range(-(-len(own) // width)):
                         piece.append(k)
