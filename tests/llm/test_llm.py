@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textquarry.llm import contexts, fingerprints, language_model, mixing, near_dups, packing, quality_classifier, quality_rules, secrets
+from textquarry.llm import common, contexts, fingerprints, language_model, mixing, near_dups, packing, quality_classifier, quality_rules, secrets
 from textquarry.llm.bpe import Transducer
 from textquarry.llm.common import staged
 from textquarry.llm.components import components
@@ -732,6 +733,14 @@ def test_classifier_scores_against_plain_sums(spark):
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
+def test_workers_drop_what_other_operators_made():
+    made = common.once(dict)
+    assert list(common.slices([pa.array([1, 2, 3])], 2, made=True)) == [pa.array([1, 2]), pa.array([3])]
+    assert common.once(dict) is made
+    for _ in contexts.find(iter([pa.array(["a@b.c"])])):
+        assert not common._MADE
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,18 +98,35 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def slices(batches, rows: int = 400):
-    """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small."""
+def slices(batches, rows: int = 400, made: bool = False):
+    """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small.
+
+    A Python worker outlives its task and stays beside the tasks of later stages. So
+    what `once` made goes, unless the caller works with it (made), and free memory
+    goes back to the system, when a task begins and when it ends.
+    """
+    if not made:
+        _MADE.clear()
+    give_back()
     for batch in batches:
         for k in range(0, max(1, len(batch)), rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 _MADE: dict = {}
 
 
 def once(kind, *args):
-    """kind(*args), made once in a Python worker and used by its later tasks too; only the latest one is kept."""
+    """kind(*args), made once in a Python worker and used by its later tasks too; only the latest one is kept, until a task needs none."""
     key = kind, args
     if key not in _MADE:
         _MADE.clear()

@@ -177,7 +177,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids:binary>>")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, width = once(WordTokens, spec.value), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, made=True):
             done, turn = [], np.cumsum(pc.binary_length(batch).to_numpy(zero_copy_only=False), dtype=np.int64) // ROUND_BYTES
             edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(batch)] if len(batch) else []
             for a, b in itertools.pairwise(edges):

@@ -204,7 +204,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
     @F.arrow_udf("long")
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = once(Counter, spec.value)
-        for batch in slices(batches):
+        for batch in slices(batches, made=True):
             yield pa.array(counter.count(batch.to_pylist()), pa.int64())
 
     whole = text_or_empty(text)
