@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm.contexts import op5_contextual_personal_data
+from textquarry.llm.conversations import REPAIR_SQL, op11_conversation_repair
 from textquarry.llm.fingerprints import op9_scaled_fingerprints
 from textquarry.llm.language_model import op4_hidden_markov_scores
 from textquarry.llm.mixing import MIX_SQL, op3_fair_queue_mixing
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_learned_quality_rules": op8_learned_quality_rules,
     "op9_scaled_fingerprints": op9_scaled_fingerprints,
     "op10_linked_secrets": op10_linked_secrets,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_fair_queue_mixing": MIX_SQL,
     "op7_minhash_near_duplicates": NEAR_SQL,
+    "op11_conversation_repair": REPAIR_SQL,
 }
