@@ -15,6 +15,7 @@ from textquarry.llm.near_dups import NEAR_SQL, op7_minhash_near_duplicates
 from textquarry.llm.packing import op2_pattern_packing
 from textquarry.llm.quality_classifier import op6_ordinal_quality
 from textquarry.llm.quality_rules import op8_learned_quality_rules
+from textquarry.llm.repeats import REPEAT_SQL, op13_repeated_passages
 from textquarry.llm.secrets import op10_linked_secrets
 from textquarry.llm.token_counts import op1_token_counts
 
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_scaled_fingerprints": op9_scaled_fingerprints,
     "op10_linked_secrets": op10_linked_secrets,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_fair_queue_mixing": MIX_SQL,
     "op7_minhash_near_duplicates": NEAR_SQL,
     "op11_conversation_repair": REPAIR_SQL,
+    "op13_repeated_passages": REPEAT_SQL,
 }
