@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.llm.collocations import PHRASE_SQL, op12_phrase_collocations
 from textquarry.llm.contexts import op5_contextual_personal_data
 from textquarry.llm.conversations import REPAIR_SQL, op11_conversation_repair
 from textquarry.llm.fingerprints import op9_scaled_fingerprints
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_scaled_fingerprints": op9_scaled_fingerprints,
     "op10_linked_secrets": op10_linked_secrets,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_repeated_passages": op13_repeated_passages,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_fair_queue_mixing": MIX_SQL,
     "op7_minhash_near_duplicates": NEAR_SQL,
     "op11_conversation_repair": REPAIR_SQL,
+    "op12_phrase_collocations": PHRASE_SQL,
     "op13_repeated_passages": REPEAT_SQL,
 }
