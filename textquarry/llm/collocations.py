@@ -3,7 +3,7 @@
 A sketch of all phrases' counts, by language, gives upper bounds; the phrases of a
 shard of text whose bound reaches the least count compile into an automaton, each
 between spaces, which scans the shard and counts all matches, overlapping ones
-too. Counts are summed over the shards, and then only are thresholds applied, so
+too (single words, which are parts only, are counted as they come). Counts are summed over the shards, and then only are thresholds applied, so
 what the sketch lets through needlessly costs time, not correctness.
 
 The sketch is distributed (see `exchange`): its cells grow with the texts, and a
@@ -19,6 +19,7 @@ are not used; an empty table gives no rows.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import UPPER, slices, staged, table, text_or_empty
-from textquarry.llm.exchange import SHARD_BYTES, Cells, Keys, Words, block_bits, followed, frequent, taken, windows
+from textquarry.llm.exchange import Cells, Keys, frequent, grain, hashed, text_bytes, windows
 
 #: Pieces end at these; words within a piece are set apart by spaces and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -45,56 +46,55 @@ def sharded(docs: DataFrame, size: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         held: dict[str, list[bytes]] = {}
-        full = 0
+        full: dict[str, int] = {}
+        every = 0
 
-        def out() -> pa.RecordBatch:
-            nonlocal number
+        def out(langs: list[str]) -> pa.RecordBatch:
+            nonlocal number, every
             rows = []
-            for lang, pieces in held.items():
-                rows.append((number, lang, sum(piece.count(b" ") + 1 for piece in pieces), (b" " + b" \n ".join(pieces) + b" ").decode()))
-                number += 1
+            for lang in langs:
+                body = b" " + b" \n ".join(held.pop(lang)) + b" "
+                rows.append((number, lang, body.count(b" ") - 1 - body.count(BREAK), body.decode()))
+                number, every = number + 1, every - full.pop(lang)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["shard", "lang", "n_words", "body"])
 
         for batch in slices(batches, 16):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for raw in text.encode().translate(FOLDED).split(BREAK):
-                    words = raw.split(b" ")
-                    piece = b" ".join(filter(None, words))
+                    piece = b" ".join(raw.split())  # the other white space is gone
                     if piece:
                         held.setdefault(lang, []).append(piece)
-                        full += len(piece) + 3
-                        if full >= size:
-                            yield out()
-                            held, full = {}, 0
+                        full[lang] = full.get(lang, 0) + len(piece) + 3
+                        every += len(piece) + 3
+                        if full[lang] >= size:
+                            yield out([lang])
+                        elif every >= 4 * size:
+                            yield out(list(held))
         if held:
-            yield out()
+            yield out(list(held))
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     return staged(rows.mapInArrow(gather, "shard bigint, lang string, n_words bigint, body string"))
 
 
-class Phrases:
-    """A shard's phrases of 1 to `most` words within pieces: their places, by number of words, and keys, which differ by language and number."""
-
-    def __init__(self, most: int):
-        self.most, self.keys_of = most, Words()
-
-    def __call__(self, row: dict) -> tuple[list[bytes], list[np.ndarray], Keys]:
-        words = row["body"].encode()[1:-1].split(b" ")
-        keys = self.keys_of(words)
-        breaks = np.flatnonzero(np.fromiter((w == BREAK for w in words), bool, len(words)))
-        places, found = [], []
-        for n in range(1, self.most + 1):
-            here = windows(keys, n)
-            inside = np.ones(len(here[0]), bool)
-            for k in range(n):
-                off = breaks - k
-                inside[off[(off >= 0) & (off < len(inside))]] = False
-            at = np.flatnonzero(inside)
-            kind = self.keys_of([f"{n} {row['lang']}".encode()])
-            places.append(at)
-            found.append(followed((np.broadcast_to(kind[0], len(at)), np.broadcast_to(kind[1], len(at))), taken(here, at)))
-        return words, places, (np.concatenate([k[0] for k in found]), np.concatenate([k[1] for k in found]))
+def phrases(row: dict, most: int, low: bool = True) -> tuple[list[bytes], list[np.ndarray], Keys]:
+    """A shard's words, the places of its phrases of 1 to `most` words within pieces, by number of words, and their keys, which differ by language and number."""
+    words = row["body"].encode()[1:-1].split(b" ")
+    keys = hashed(words, low)
+    breaks = np.flatnonzero(keys[0] == hashed([BREAK])[0])
+    breaks = breaks[[words[k] == BREAK for k in breaks]]
+    places, found = [], []
+    for n in range(1, most + 1):
+        here = windows(keys, n)
+        inside = np.ones(len(here[0]), bool)
+        for k in range(n):
+            off = breaks - k
+            inside[off[(off >= 0) & (off < len(inside))]] = False
+        at = np.flatnonzero(inside)
+        kind = hashed([f"{n} {row['lang']}".encode()])
+        places.append(at)
+        found.append([None if x is None else x[at] ^ k for x, k in zip(here, kind, strict=True)])
+    return words, places, (np.concatenate([k[0] for k in found]), np.concatenate([k[1] for k in found]) if low else None)
 
 
 def matches(body: str, phrases: list[str]) -> np.ndarray:
@@ -110,28 +110,34 @@ def matches(body: str, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter((k for _, k in automaton.iter(body)), np.int64), minlength=len(phrases))
 
 
-def phrase_counts(shards: DataFrame, most: int, least: int) -> DataFrame:
+def phrase_counts(shards: DataFrame, most: int, least: int, blocks: int) -> DataFrame:
     """(lang, phrase, words, a) of all phrases of 1 to `most` words that occur `least` times or more in their language."""
     if least > 255:
         raise ValueError("sums in the exchange tell counts up to 255 apart")
-    bits = block_bits(most * (shards.agg(F.sum(F.length("body"))).first()[0] or 0))
-    phrases = Phrases(most)
-    marks = frequent(shards, lambda row: phrases(row)[2], least, bits, False)
+    marks = frequent(shards, lambda row: phrases(row, most, False)[2], least, blocks, False)
+
+    def counted(lang: str, named: dict[str, int], counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named, pa.string()), pa.array(named.values(), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                words, places, keys = phrases(row)
-                wanted = Cells(keys, bits, False).marked(row["marks"])
-                named: dict[str, int] = {}
-                first = 0
+                words, places, keys = phrases(row, most)
+                wanted, first = Cells(keys, blocks, False).distinct(row["marks"]), 0
+                del keys
                 for n, at in enumerate(places, 1):
-                    for k in at[wanted[first : first + len(at)]].tolist():
-                        named.setdefault(b" ".join(words[k : k + n]).decode(), n)
+                    of_size = at[wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + len(at))] - first].tolist()
                     first += len(at)
+                    if n == 1:  # single words are parts of candidates, not candidates
+                        every = collections.Counter(words)
+                        found = {words[k]: every[words[k]] for k in of_size}
+                        del every
+                        yield counted(row["lang"], {word.decode(): 1 for word in found}, list(found.values()))
+                        named: dict[str, int] = {}
+                    else:
+                        named |= {b" ".join(words[k : k + n]).decode(): n for k in of_size}
                 if named:
-                    counts = matches(row["body"], list(named))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(named), pa.string()), pa.array(list(named), pa.string()), pa.array(list(named.values()), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
+                    yield counted(row["lang"], named, matches(row["body"], list(named)))
 
     found = shards.join(marks, "shard").select("lang", "body", "marks").mapInArrow(scan, "lang string, phrase string, words int, a bigint")
     return staged(found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
@@ -160,15 +166,16 @@ def scored(counts: DataFrame, fewest: int, most: int, covered: int) -> DataFrame
     return whole.withColumn("best", best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
 
-def collocations(docs: DataFrame, fewest: int = 2, most: int = 3, least: int = 10, covered: int = 50, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, fewest: int = 2, most: int = 3, least: int = 10, covered: int = 50, top: int = 2000, shard_bytes: int | None = None) -> DataFrame:
     """Each language's first `top` phrases of fewest to most words by score.
 
     A phrase with `least` occurrences or more is a candidate. Its score is
     floor(1000000 a a / (l r)) of its lowest-scoring cut in two, and a candidate
     within a longer one that has `covered` percent of its occurrences is dropped.
     """
-    shards = sharded(docs, shard_bytes)
-    counts = phrase_counts(shards, most, least)
+    size, blocks = grain(text_bytes(docs))
+    shards = sharded(docs, shard_bytes or size)
+    counts = phrase_counts(shards, most, least, most * blocks)
     n = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = scored(counts, fewest, most, covered).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
