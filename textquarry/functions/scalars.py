@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -218,6 +220,15 @@ def ascii_strings(content: Column, least: int = 4) -> Column:
     return F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(rf"[\x20-\x7e\t]{{{least},}}"), F.lit(0))
 
 
+def utf16_strings(content: Column, least: int = 4, chunk: int = 1 << 20) -> Column:
+    """Runs of printable ASCII in a binary column read as little-endian 16-bit units at even places; a run ends at each chunk's edge."""
+    edges = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(content) - 1)).cast("bigint"), F.lit(chunk))
+    # each match goes on where the last one ended, in steps of two bytes
+    units = F.lit(rf"(?s)\G(?:..)*?((?:[\x20-\x7e\t]\x00){{{least},}})")
+    found = F.flatten(F.transform(edges, lambda at: F.regexp_extract_all(F.decode(F.substring(content, at.cast("int") + 1, F.lit(chunk)), "ISO-8859-1"), units, F.lit(1))))
+    return F.transform(found, lambda x: F.translate(x, "\0", ""))
+
+
 def classify_prompt(text: Column) -> Column:
     """Whether a prompt is a system prompt or a preset, with its marks."""
     first, second = (F.when(any_of(F.lower(text), anchors(p)), F.regexp_instr(text, F.lit(java(p, True)))).otherwise(0) for p in (rules.FIRST_PERSON, rules.SECOND_PERSON))
@@ -229,41 +240,67 @@ def classify_prompt(text: Column) -> Column:
     return F.struct(kind.alias("class"), (first > 0).alias("first_person"), (second > 0).alias("second_person"), secret.alias("confidential"), found(text, rules.ROLE_BINDING).alias("role_binding"), found(text, rules.WHITE_LABEL, True).alias("white_label"))
 
 
+#: Tests of prompts by name: pattern, whether case counts.
+PROMPT_TESTS = {
+    "opener": (rules.PROMPT_OPENERS, False), "opener_intl": (rules.PROMPT_OPENERS_INTL, False), "role": (rules.ROLE_WORDS, False), "role_intl": (rules.ROLE_WORDS_INTL, False),
+    "slot": (rules.TEMPLATE_SLOT, True), "ends": (f"[{rules.TERMINATORS}]", False), "clauses": (f"[{rules.CLAUSE_SEPARATORS}]", False), "code": (rules.CODE_LIKE, False),
+    "policy": (rules.POLICY_LIKE, False), "markup": (rules.MARKUP_LIKE, False), "framework": (rules.FRAMEWORK_NOISE, False), "licence": (rules.LICENCE_LIKE, False),
+    "labels": (rules.LABEL_ARRAY, True), "url": (rules.URL_LIKE, True), "log": (rules.LOG_LIKE, False), "marker": (rules.PROMPT_MARKERS, False),
+}
+
+
+def let(value: Column, body) -> Column:
+    """body(x) with x evaluated once, also within lambdas, where Spark doesn't share what occurs twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tests(names: list[str]) -> Column:
+    """Tests as data that one expression goes through: written out they are more code than the JVM compiles in one method."""
+    listed = [{"re": java(p, not case), "literals": anchors(p)} for p, case in map(PROMPT_TESTS.__getitem__, names)]
+    return F.from_json(F.lit(json.dumps(listed)), "array<struct<re: string, literals: array<string>>>")
+
+
+def _may(test: Column, low: Column) -> Column:
+    """Whether a text in small letters holds one of a test's literals; only then its pattern runs."""
+    return (F.size(test["literals"]) == 0) | F.exists(test["literals"], lambda x: F.contains(low, x))
+
+
+def passes_any(text: Column, low: Column, names: list[str]) -> Column:
+    return F.exists(_tests(names), lambda t: _may(t, low) & F.rlike(text, t["re"]))
+
+
 def prompt_score(text: Column, path: Column, low: Column | None = None) -> Column:
     """Components and score of a candidate system prompt; low is its text folded, if at hand."""
-    low = folded(text) if low is None else low
-    has = lambda p, case=False: found(text, p, not case, low)
-    on_path = lambda p: found(path, p, True)
+    names = list(PROMPT_TESTS)
+    counts = let(folded(text) if low is None else low, lambda x: F.transform(_tests(names), lambda t: F.when(_may(t, x), F.regexp_count(text, t["re"])).otherwise(0)))
+    return let(counts, lambda n: _scored(text, path, {name: F.get(n, F.lit(k)) for k, name in enumerate(names)}))
 
-    def hits(p: str, case: bool = False) -> Column:
-        number, some = F.regexp_count(text, F.lit(java(p, not case))), holds(low, p)
-        return number if some is None else F.when(some, number).otherwise(0)
 
+def _scored(text: Column, path: Column, n: dict[str, Column]) -> Column:
+    on_path = lambda p: found(path, p, True)
     dense = cjk_dense(text)
     length = (F.length(text) - F.when(dense, rules.MIN_LENGTH_SHORT).otherwise(rules.MIN_LENGTH)) / F.when(dense, 180.0).otherwise(520.0)
-    opener = has(rules.PROMPT_OPENERS) | has(rules.PROMPT_OPENERS_INTL)
-    slots = hits(rules.TEMPLATE_SLOT, True) >= 2
-    ends = F.regexp_count(text, F.lit(java(f"[{rules.TERMINATORS}]")))
-    code = has(rules.CODE_LIKE)
+    opener = (n["opener"] > 0) | (n["opener_intl"] > 0)
+    slots, code = n["slot"] >= 2, n["code"] > 0
     minus = lambda test, x: F.when(test, -x).otherwise(0.0)
     parts = {
         "length": F.round(0.20 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), length)), 3),
         "opener": F.when(opener, 0.35).otherwise(0.0),
-        "role_language": F.round(F.least(F.lit(0.30), 0.06 * (hits(rules.ROLE_WORDS) + hits(rules.ROLE_WORDS_INTL))), 3),
+        "role_language": F.round(F.least(F.lit(0.30), 0.06 * (n["role"] + n["role_intl"])), 3),
         "template_slots": F.when(slots, 0.15).otherwise(0.0),
-        "multi_sentence": F.when(F.when(dense, ends + F.regexp_count(text, F.lit(java(f"[{rules.CLAUSE_SEPARATORS}]"))) >= 1).otherwise(ends >= 2), 0.10).otherwise(0.0),
-        "policy_penalty": minus(has(rules.POLICY_LIKE), 0.25),
+        "multi_sentence": F.when(F.when(dense, n["ends"] + n["clauses"] >= 1).otherwise(n["ends"] >= 2), 0.10).otherwise(0.0),
+        "policy_penalty": minus(n["policy"] > 0, 0.25),
         "path_penalty": minus(on_path(rules.POLICY_PATH), 0.25),
-        "markup_penalty": minus(has(rules.MARKUP_LIKE), 0.20),
+        "markup_penalty": minus(n["markup"] > 0, 0.20),
         "machine_pool_penalty": minus(on_path(rules.MACHINE_POOL_PATH), 0.30),
-        "framework_penalty": minus(has(rules.FRAMEWORK_NOISE), 0.35),
+        "framework_penalty": minus(n["framework"] > 0, 0.35),
         "code_penalty": minus(code, 0.40),
-        "licence_penalty": minus(has(rules.LICENCE_LIKE), 0.35),
-        "label_array_penalty": minus(hits(rules.LABEL_ARRAY, True) >= 3, 0.35),
-        "url_penalty": minus(has(rules.URL_LIKE, True), 0.20),
-        "log_penalty": minus(has(rules.LOG_LIKE), 0.30),
+        "licence_penalty": minus(n["licence"] > 0, 0.35),
+        "label_array_penalty": minus(n["labels"] >= 3, 0.35),
+        "url_penalty": minus(n["url"] > 0, 0.20),
+        "log_penalty": minus(n["log"] > 0, 0.30),
     }
-    strong = ~code & (opener | slots | has(rules.PROMPT_MARKERS))
+    strong = ~code & (opener | slots | (n["marker"] > 0))
     total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(list(parts.values())[1:], parts["length"])))
     score = F.round(F.when(strong, total).otherwise(F.least(total, F.lit(rules.WEAK_CEILING))), 3)
     return F.struct(*[c.alias(k) for k, c in parts.items()], strong.alias("strong"), score.alias("score"))
@@ -272,14 +309,13 @@ def prompt_score(text: Column, path: Column, low: Column | None = None) -> Colum
 def prompt_strong(text: Column, low: Column) -> Column:
     """Whether a run can score over the ceiling of weak ones at all (program text apart)."""
     slots = (text.contains("[") | text.contains("{{")) & (F.regexp_count(text, F.lit(java(rules.TEMPLATE_SLOT))) >= 2)
-    return found(text, rules.PROMPT_OPENERS, True, low) | found(text, rules.PROMPT_OPENERS_INTL, True, low) | slots | found(text, rules.PROMPT_MARKERS, True, low)
+    return slots | passes_any(text, low, ["opener", "opener_intl", "marker"])
 
 
 def prompt_candidate(text: Column, low: Column) -> Column:
     """The length gate before scoring."""
     n = F.length(text)
-    signal = cjk_dense(text) | found(text, rules.PROMPT_OPENERS, True, low) | found(text, rules.PROMPT_OPENERS_INTL, True, low)
-    return F.when(n >= rules.MIN_LENGTH, True).when(n < rules.MIN_LENGTH_SHORT, False).otherwise(signal)
+    return F.when(n >= rules.MIN_LENGTH, True).when(n < rules.MIN_LENGTH_SHORT, False).otherwise(cjk_dense(text) | passes_any(text, low, ["opener", "opener_intl"]))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96, on_empty: str = "zero") -> Column:
@@ -295,6 +331,31 @@ def confidence_tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
 
 
+def round_exact(x: Column, digits: int = 4) -> Column:
+    """A double rounded to so many digits (at most 6) by its exact binary value, halves to even; other rounding goes by its shortest decimal form.
+
+    Whole numbers throughout: x is n / 2**k, and n * 10**digits is divided by 2**k.
+    Numbers of 2**22 and more stay as they are.
+    """
+    least = 2.0 ** -(4 * digits)  # less than half of the last digit
+    power = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p.cast("int")).cast("decimal(19)")
+
+    def of_scale(x: Column, k: Column) -> Column:
+        n, half = (F.abs(x) * F.pow(F.lit(2.0), k)).cast("bigint"), F.floor(k / 2)  # exact: k leaves no bit behind the point
+        parts = F.struct((n.cast("decimal(19)") * F.lit(10**digits).cast("decimal(8)")).alias("whole"), (power(half) * power(k - half)).alias("of"))
+        return let(parts, lambda p: let(F.struct(F.call_function("div", p["whole"], p["of"]).alias("q"), (2 * (p["whole"] % p["of"])).alias("rest"), p["of"].alias("of")), nearest))
+
+    def nearest(p: Column) -> Column:
+        up = (p["rest"] > p["of"]) | ((p["rest"] == p["of"]) & (p["q"] % 2 == 1))
+        return (p["q"] + up.cast("bigint")).cast("double") / float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        out = let((F.lit(55) - F.floor(F.log2(F.abs(x)))).cast("int"), lambda k: of_scale(x, k))
+        return F.when(F.abs(x) < least, F.lit(0.0)).when(F.abs(x) < (1 << 22), F.when(x < 0, -out).otherwise(out)).otherwise(x)
+
+    return let(x, rounded)
+
+
 def share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 

@@ -1,8 +1,8 @@
 """Detectors over sources(app_id, source_idx, source_file, content).
 
-Text is read in one pass: a combined pattern drops rows that no rule of a family
-can match, then all of a family's rules are applied in one projection. Only the
-small rows of matches are shuffled by application, never the texts.
+Texts are read in one pass (`matching`): an automaton of all literals marks the
+rules that may match, and one projection applies those alone. Only the small rows
+of matches are shuffled by application, never the texts.
 """
 
 from __future__ import annotations
@@ -19,33 +19,34 @@ from pyspark.sql import functions as F
 
 from textquarry import rules
 from textquarry.functions import scalars as S
+from textquarry.operators import matching as M
+from textquarry.sources.staging import staged
 
 KEYS = ["app_id", "source_idx", "source_file"]
 #: The order of detectors, which breaks ties between findings.
 LEXICAL, SECRETS, PROMPTS, SCHEMAS, RAG = range(5)
 
 
-def _candidates(sources: DataFrame, family: list[tuple[str, str, dict[str, object]]]) -> DataFrame:
-    """Sources with each rule of a family of which they hold a literal (all, for a rule without one): a join with the catalogue, whose size is fixed; patterns then run over those alone."""
+Family = list[tuple[str, str, dict[str, object]]]
+
+
+def _rules(family: Family, number: int = 0, take: int = M.EVERY) -> list[M.Rule]:
+    return M.rules_of(number, [(plain, java) for plain, java, _ in family], take)
+
+
+def _valued(hits: DataFrame, family: Family, *columns: str) -> DataFrame:
+    """Matches with their rules' values, looked up in the catalogue by rule_idx."""
     names = list(family[0][2])
     kinds = {str: "string", bool: "boolean", int: "int", float: "double"}
     types = [kinds[type(next((v[n] for _, _, v in family if v[n] is not None), ""))] for n in names]
-    rows = [(i, p, S.anchors(plain), *[values[n] for n in names]) for i, (plain, p, values) in enumerate(family)]
-    catalogue = sources.sparkSession.createDataFrame(rows, "rule_idx int, _re string, _literals array<string>, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
-    some = sources.select(*KEYS, "content", F.lower("content").alias("_low"))
-    return some.join(F.broadcast(catalogue), F.expr("size(_literals) = 0 or exists(_literals, x -> contains(_low, x))")).drop("_low", "_literals")
+    listed = M.constant([v for _, _, v in family], ", ".join(f"{n}: {t}" for n, t in zip(names, types, strict=True)))
+    return hits.withColumn("_v", F.get(listed, F.col("rule_idx"))).select(*KEYS, "rule_idx", *[F.col(f"_v.{n}").alias(n) for n in names], *columns)
 
 
-def _hits(sources: DataFrame, family: list[tuple[str, str, dict[str, object]]], places: bool = False) -> DataFrame:
+def _hits(sources: DataFrame, family: Family, places: bool = False) -> DataFrame:
     """A row for each match of each (pattern, its Java form, values) of a family in content: keys, rule_idx, the values, hit_idx and matched, and with places their offset."""
-    # an outer explode: an inner one would make Spark evaluate the patterns again to drop empty arrays
-    rows = _candidates(sources, family)
-    every = F.regexp_extract_all("content", F.col("_re"), F.lit(0))
-    if not places:
-        return rows.select(*KEYS, "rule_idx", *family[0][2], F.posexplode_outer(every).alias("hit_idx", "matched")).filter("matched is not null")
-    rows = rows.select(*KEYS, "rule_idx", *family[0][2], "_re", "content", every.alias("_all")).filter(F.size("_all") > 0)
-    found = rows.select(*KEYS, "rule_idx", *family[0][2], F.posexplode_outer(S.match_places(F.col("content"), F.col("_re"), F.col("_all"))).alias("hit_idx", "_m"))
-    return found.select(*KEYS, "rule_idx", *family[0][2], "hit_idx", F.col("_m.matched").alias("matched"), F.col("_m.offset").alias("offset"))
+    found = M.hits(sources, _rules(family, take=M.PLACES if places else M.EVERY), KEYS)
+    return _valued(found, family, "hit_idx", "matched", *(["offset"] if places else []))
 
 
 def lexical_family(endpoints=None, sdks=None) -> list[tuple[str, str, dict[str, object]]]:
@@ -68,18 +69,27 @@ def detected_providers(lexical: DataFrame) -> DataFrame:
     return listed.select("app_id", F.transform("p", lambda x: x["provider"]).alias("detected_providers"))
 
 
-def structural_evidence(sources: DataFrame, providers: DataFrame, invocations=None, bodies=None) -> DataFrame:
-    """One row per source and pattern that occurs: invocations of providers detected in the application, and request bodies of any provider."""
+def structural_family(invocations=None, bodies=None) -> Family:
     tests = [("invocation", who, p) for who, p in (rules.INVOCATIONS if invocations is None else invocations)] + [("json_body", None, p) for p in (rules.JSON_BODIES if bodies is None else bodies)]
-    if not tests:
-        return sources.limit(0).select(*KEYS, F.lit(0).alias("pattern_idx"), *[F.lit("").alias(x) for x in ("kind", "provider", "detail")])
-    rows = _candidates(sources, [(p, p, {"kind": kind, "provider": who, "detail": p}) for kind, who, p in tests]).filter("rlike(content, _re)")
-    rows = rows.select(*KEYS, F.col("rule_idx").alias("pattern_idx"), "kind", "provider", "detail")
+    return [(p, p, {"kind": kind, "provider": who, "detail": p}) for kind, who, p in tests]
+
+
+def _scoped(rows: DataFrame, providers: DataFrame) -> DataFrame:
+    """Of structural evidence, invocations of providers detected in the application, and request bodies of any provider."""
     known = providers.select("app_id", F.explode("detected_providers").alias("provider"))
     scoped = rows.filter("kind = 'invocation'").join(known, ["app_id", "provider"], "left_semi")
     return scoped.unionByName(rows.filter("kind = 'json_body'"))
 
 
+def structural_evidence(sources: DataFrame, providers: DataFrame, invocations=None, bodies=None) -> DataFrame:
+    """One row per source and pattern that occurs: invocations of providers detected in the application, and request bodies of any provider."""
+    family = structural_family(invocations, bodies)
+    if not family:
+        return sources.limit(0).select(*KEYS, F.lit(0).alias("pattern_idx"), *[F.lit("").alias(x) for x in ("kind", "provider", "detail")])
+    found = M.hits(sources, _rules(family, take=M.ANY), KEYS)
+    return _scoped(_valued(found, family).withColumnRenamed("rule_idx", "pattern_idx"), providers)
+
+
 def integration(lexical: DataFrame, structural: DataFrame, min_unique: int = 2) -> DataFrame:
     """Per application with a match: the confirmed rule (an endpoint, or a lexical and a structural sign) and the older quorum rule."""
     lex = lexical.groupBy("app_id").agg(F.bool_or("is_endpoint").alias("has_endpoint"), F.count("*").alias("n_lexical"), F.count_distinct(F.when(~F.col("is_endpoint"), F.col("matched"))).alias("n_sdk"))
@@ -108,37 +118,56 @@ def rag_path_matches(sources: DataFrame, paths=None) -> DataFrame:
     return sources.select(*KEYS, F.explode_outer(found).alias("r")).filter("r is not null").select(*KEYS, "r.*", S.basename(F.col("source_file")).alias("evidence"), S.dirname(F.col("source_file")).alias("container"))
 
 
+def rag_content_family(contents=None) -> Family:
+    return [(p, p, {"name": n, "severity": s, "confidence": c}) for n, p, s, c in (rules.RAG_CONTENT if contents is None else contents)]
+
+
 def rag_content_matches(sources: DataFrame, contents=None) -> DataFrame:
     """Client names in texts, with the places of their matches (offset, in code points from 0)."""
-    contents = rules.RAG_CONTENT if contents is None else contents
-    return _hits(sources, [(p, p, {"name": n, "severity": s, "confidence": c}) for n, p, s, c in contents], places=True)
+    return _hits(sources, rag_content_family(contents), places=True)
+
+
+def rag_content_findings(matches: DataFrame, n_paths: int = len(rules.RAG_PATHS)) -> DataFrame:
+    return _finding(matches, RAG, kind=F.lit("rag_artefact"), title=F.col("name"), evidence=F.col("matched"), offset=F.col("offset"), rule_idx=F.col("rule_idx") + n_paths)
+
+
+def rag_path_findings(sources: DataFrame, paths=None) -> DataFrame:
+    return _finding(rag_path_matches(sources, paths), RAG, kind=F.lit("rag_artefact"), title=F.col("name"), container=F.col("container"))
 
 
 def rag_findings(sources: DataFrame, paths=None, contents=None) -> DataFrame:
     """Findings by path and by content (rules of one's own replace the defaults, and an empty list means none)."""
-    kind, n = F.lit("rag_artefact"), len(rules.RAG_PATHS if paths is None else paths)
-    out = [_finding(rag_path_matches(sources, paths), RAG, kind=kind, title=F.col("name"), container=F.col("container"))] if n else []
+    n = len(rules.RAG_PATHS if paths is None else paths)
+    out = [rag_path_findings(sources, paths)] if n else []
     if contents is None or contents:
-        out.append(_finding(rag_content_matches(sources, contents), RAG, kind=kind, title=F.col("name"), evidence=F.col("matched"), offset=F.col("offset"), rule_idx=F.col("rule_idx") + n))
+        out.append(rag_content_findings(rag_content_matches(sources, contents), n))
     return reduce(DataFrame.unionByName, out) if out else _finding(sources.limit(0), RAG)
 
 
+def prompt_runs(content: Column, strong_only: bool = False) -> Column:
+    """The runs (hit_idx, run) of a text that pass the length gate; strong_only drops those that stay under the weak ceiling."""
+    # small letters are made first, so that all tests share them
+    made = F.transform(S.printable_runs(content), lambda x, k: F.struct(k.alias("hit_idx"), x.alias("run"), S.folded(x).alias("low")))
+    made = F.filter(made, lambda r: S.prompt_candidate(r["run"], r["low"]))
+    made = F.filter(made, lambda r: S.prompt_strong(r["run"], r["low"])) if strong_only else made
+    return F.transform(made, lambda r: F.struct(r["hit_idx"].alias("hit_idx"), r["run"].alias("run")))
+
+
 def prompt_scores(sources: DataFrame, strong_only: bool = False) -> DataFrame:
     """Candidate runs of every source with their scores and components; strong_only drops runs that stay under the weak ceiling before they are scored."""
-    # small letters are made before the explode, so that all tests share them
-    made = F.transform(S.printable_runs(F.col("content")), lambda x: F.struct(x.alias("run"), S.folded(x).alias("low")))
-    runs = sources.select(*KEYS, F.posexplode_outer(made).alias("hit_idx", "_r")).select(*KEYS, "hit_idx", F.col("_r.run").alias("run"), F.col("_r.low").alias("_low"))
-    gated = runs.filter(F.col("run").isNotNull() & S.prompt_candidate(F.col("run"), F.col("_low")))
-    if strong_only:
-        gated = gated.filter(S.prompt_strong(F.col("run"), F.col("_low")))
-    return gated.withColumn("s", S.prompt_score(F.col("run"), F.col("source_file"), F.col("_low"))).select(*KEYS, "hit_idx", "run", "s.*")
+    runs = sources.select(*KEYS, F.explode_outer(prompt_runs(F.col("content"), strong_only)).alias("_r")).filter("_r is not null").select(*KEYS, "_r.*")
+    return runs.withColumn("s", S.prompt_score(F.col("run"), F.col("source_file"))).select(*KEYS, "hit_idx", "run", "s.*")
 
 
-def prompt_findings(sources: DataFrame, threshold: float = rules.PROMPT_THRESHOLD) -> DataFrame:
-    rows = prompt_scores(sources, strong_only=threshold > rules.WEAK_CEILING).filter(F.col("score") >= threshold)
+def _prompt_findings(scores: DataFrame, threshold: float) -> DataFrame:
+    rows = scores.filter(F.col("score") >= threshold)
     return _finding(rows, PROMPTS, kind=F.lit("system_prompt"), severity=F.lit("medium"), title=F.lit("Embedded system prompt"), evidence=F.left("run", F.lit(200)), confidence=F.col("score"))
 
 
+def prompt_findings(sources: DataFrame, threshold: float = rules.PROMPT_THRESHOLD) -> DataFrame:
+    return _prompt_findings(prompt_scores(sources, strong_only=threshold > rules.WEAK_CEILING), threshold)
+
+
 def enclosing_object(text: str, at: int) -> str | None:
     """The object from the nearest { before a position to the } that balances it; braces in strings count too."""
     start = text.rfind("{", 0, at)
@@ -190,21 +219,30 @@ def tool_schemas_in(text: str) -> list[dict]:
 TOOL = "array<struct<offset:int,rule_idx:int,evidence:string,confidence:double,parsed_ok:boolean,tool_name:string>>"
 
 
-def tool_schemas(sources: DataFrame) -> DataFrame:
-    """Tool schemas (brace matching needs Python; only sources with a trace of one get there)."""
+def find_tools(text: Column) -> Column:
+    """Tool schemas (TOOL) of a text; brace matching needs Python. A null text, which is not looked at, has none."""
     kind = pa.list_(pa.struct([("offset", pa.int32()), ("rule_idx", pa.int32()), ("evidence", pa.string()), ("confidence", pa.float64()), ("parsed_ok", pa.bool_()), ("tool_name", pa.string())]))
 
     @F.arrow_udf(TOOL)
     def find(texts: pa.Array) -> pa.Array:
-        return pa.array([tool_schemas_in(x) for x in texts.to_pylist()], kind)
+        return pa.array([None if x is None else tool_schemas_in(x) for x in texts.to_pylist()], kind)
+
+    return find(text)
 
+
+def tool_schemas(sources: DataFrame) -> DataFrame:
+    """Tool schemas; only sources with a trace of one get to Python."""
     some = sources.filter(F.col("content").rlike(rules.TOOL_SHORT) | F.col("content").rlike(rules.TOOL_INPUT))
-    return some.select(*KEYS, F.posexplode_outer(find("content")).alias("hit_idx", "t")).filter("t is not null").select(*KEYS, "hit_idx", "t.*")
+    return some.select(*KEYS, F.posexplode_outer(find_tools(F.col("content"))).alias("hit_idx", "t")).filter("t is not null").select(*KEYS, "hit_idx", "t.*")
 
 
-def tool_findings(sources: DataFrame) -> DataFrame:
+def _tool_findings(schemas: DataFrame) -> DataFrame:
     full = F.col("rule_idx") < 2
-    return _finding(tool_schemas(sources), SCHEMAS, kind=F.lit("tool_schema"), severity=F.when(full, "medium").otherwise("low"), title=F.when(full, "Embedded tool/function schema").otherwise("Possible tool schema fragment"), offset=F.col("offset"))
+    return _finding(schemas, SCHEMAS, kind=F.lit("tool_schema"), severity=F.when(full, "medium").otherwise("low"), title=F.when(full, "Embedded tool/function schema").otherwise("Possible tool schema fragment"), offset=F.col("offset"))
+
+
+def tool_findings(sources: DataFrame) -> DataFrame:
+    return _tool_findings(tool_schemas(sources))
 
 
 def entropy(text: Column) -> Column:
@@ -213,9 +251,16 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - F.size(F.filter(chars, lambda x: x == c)) / F.size(chars) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)))
 
 
+def credential_family() -> Family:
+    return [(p, p, {"title": n, "provider": who, "severity": s, "base": c}) for n, who, p, s, c in rules.CREDENTIALS]
+
+
 def credential_findings(sources: DataFrame, least_entropy: float = 3.0) -> DataFrame:
     """Credential-shaped strings, by rules of our own. Evidence is a fingerprint with the length, never the string."""
-    found = _hits(sources, [(p, p, {"title": n, "provider": who, "severity": s, "base": c}) for n, who, p, s, c in rules.CREDENTIALS])
+    return _credential_findings(_hits(sources, credential_family()), least_entropy)
+
+
+def _credential_findings(found: DataFrame, least_entropy: float = 3.0) -> DataFrame:
     weak = F.col("matched").rlike(rules.PLACEHOLDER).cast("int") + (entropy(F.col("matched")) < least_entropy).cast("int")
     shown = F.concat(F.lit("fp:"), S.fingerprint(F.col("matched")), F.lit(" len:"), F.length("matched"))
     return _finding(found, SECRETS, kind=F.lit("secret"), title=F.col("title"), severity=F.col("severity"), evidence=shown, confidence=F.round(F.col("base") * F.pow(F.lit(0.5), weak), 4))
@@ -251,29 +296,78 @@ class Scanner(Protocol):
     def __call__(self, sources: DataFrame) -> DataFrame: ...
 
 
-#: Detectors besides the lexical one, in the order that breaks ties between findings.
-SCANNERS: tuple[Scanner, ...] = (credential_findings, prompt_findings, tool_findings, rag_findings)
+#: Families of rules in the scan's one pass, besides detectors' numbers.
+STRUCTURAL, RAG_FILE = 5, 6
+_SEEN = "family int, rule_idx int, hit_idx int, matched string, offset int, confidence double"
 
 
-def scan(sources: DataFrame, scanners: Sequence[Scanner] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+def one_pass(sources: DataFrame, lexical_only: bool = False, threshold: float = rules.PROMPT_THRESHOLD) -> DataFrame:
+    """A row (keys, family, rule_idx, hit_idx, matched, offset, confidence) for all that the detectors see in the sources, which are read once.
+
+    One automaton marks the candidates of all families, also texts that may hold a
+    strong prompt or a tool definition; one projection gathers the matches.
+    """
+    listed = _rules(lexical_family(), LEXICAL) + _rules(structural_family(), STRUCTURAL, M.ANY)
+    if lexical_only:
+        return M.hits(sources, listed, KEYS).withColumn("confidence", F.lit(None).cast("double"))
+    listed += _rules(credential_family(), SECRETS) + _rules(rag_content_family(), RAG, M.PLACES)
+    hints = {PROMPTS: [rules.PROMPT_OPENERS, rules.PROMPT_OPENERS_INTL, rules.PROMPT_MARKERS, rules.TEMPLATE_SLOT], SCHEMAS: [rules.TOOL_SHORT, rules.TOOL_INPUT]}
+    of = {family: [M.Rule(family, k, p, tuple(S.anchors(p))) for k, p in enumerate(patterns)] for family, patterns in hints.items()}
+    every = [*listed, *of[PROMPTS], *of[SCHEMAS]]
+
+    def hinted(family: int) -> Column:
+        return reduce(Column.__or__, [M.marked(F.col("_bits"), k) for k, r in enumerate(every) if r.family == family])
+
+    def seen(family: int, rule_idx: Column, hit_idx: Column, matched: Column, offset: Column, confidence: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), rule_idx.cast("int").alias("rule_idx"), hit_idx.cast("int").alias("hit_idx"), matched.alias("matched"), offset.cast("int").alias("offset"), confidence.cast("double").alias("confidence"))
+
+    null, kind = F.lit(None), f"array<struct<{_SEEN.replace(' int', ': int').replace(' string', ': string').replace(' double', ': double')}>>"
+    strong_only = threshold > rules.WEAK_CEILING
+    runs = prompt_runs(F.col("content"), strong_only)
+    marked = sources.select(*KEYS, "content", M.marks(every, F.col("content")).alias("_bits"))
+    marked = marked.withColumn("_tools", find_tools(F.when(hinted(SCHEMAS), F.col("content"))))
+    by_rule = F.transform(M.matches(F.col("_bits"), F.col("content"), listed), lambda m: F.struct(m["family"].alias("family"), m["rule_idx"].alias("rule_idx"), m["hit_idx"].alias("hit_idx"), m["matched"].alias("matched"), m["offset"].alias("offset"), null.cast("double").alias("confidence")))
+    by_run = F.transform(F.when(hinted(PROMPTS), runs).otherwise(F.array().cast("array<struct<hit_idx:int,run:string>>")) if strong_only else runs, lambda r: seen(PROMPTS, F.lit(0), r["hit_idx"], r["run"], null, null))
+    by_tool = F.transform(F.coalesce("_tools", F.array().cast(TOOL)), lambda t, k: seen(SCHEMAS, t["rule_idx"], k, t["evidence"], t["offset"], t["confidence"]))
+    by_path = F.filter(F.array(*[F.when(F.col("source_file").rlike(p), seen(RAG_FILE, F.lit(k), F.lit(0), null.cast("string"), null, null)) for k, (_, p, _, _) in enumerate(rules.RAG_PATHS)]), lambda x: x.isNotNull())
+    found = F.concat(*[F.coalesce(x, F.array().cast(kind)) for x in (by_rule, by_run, by_tool, by_path)])
+    return marked.select(*KEYS, F.explode_outer(found).alias("_m")).filter("_m is not null").select(*KEYS, "_m.*")
+
+
+def scan(sources: DataFrame, scanners: Sequence[Scanner] | None = None, keep: Callable[[DataFrame], DataFrame] = staged, threshold: float = rules.PROMPT_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole scan: deduplicated findings, detected providers and integration per application.
 
-    Scanners of one's own replace the defaults. keep() stages the small rows of lexical
-    matches, from which providers, findings and integration are made.
+    The texts are read once; keep() stages the small rows of what was seen in them,
+    from which all results are made. Scanners of one's own replace the default
+    detectors but the lexical one, and read the texts themselves.
     """
-    lexical = keep(lexical_matches(sources))
+    seen = keep(one_pass(sources, scanners is not None, threshold))
+    lexical = _valued(seen.filter(F.col("family") == LEXICAL), lexical_family(), "hit_idx", "matched")
     providers = keep(detected_providers(lexical))
-    found = lexical_findings(lexical)
-    for scanner in SCANNERS if scanners is None else scanners:
-        found = found.unionByName(scanner(sources).select(*FINDING))
-    found = dedup_findings(promote_google(found, providers))
-    return found, providers, integration(lexical, structural_evidence(sources, providers))
+    found = [lexical_findings(lexical)]
+    if scanners is None:
+        of = {family: seen.filter(F.col("family") == family) for family in (SECRETS, PROMPTS, SCHEMAS, RAG, RAG_FILE)}
+        scores = of[PROMPTS].withColumnRenamed("matched", "run").withColumn("score", S.prompt_score(F.col("run"), F.col("source_file"))["score"])
+        paths = M.constant([{"name": n, "severity": s, "confidence": c} for n, _, s, c in rules.RAG_PATHS], "name: string, severity: string, confidence: double")
+        by_path = of[RAG_FILE].withColumn("_v", F.get(paths, F.col("rule_idx"))).select(*KEYS, "rule_idx", "_v.*", S.basename(F.col("source_file")).alias("evidence"), S.dirname(F.col("source_file")).alias("container"))
+        found += [
+            _credential_findings(_valued(of[SECRETS], credential_family(), "hit_idx", "matched")),
+            _prompt_findings(scores, threshold),
+            _tool_findings(of[SCHEMAS].withColumnRenamed("matched", "evidence")),
+            _finding(by_path, RAG, kind=F.lit("rag_artefact"), title=F.col("name"), container=F.col("container")),
+            rag_content_findings(_valued(of[RAG], rag_content_family(), "hit_idx", "matched", "offset")),
+        ]
+    else:
+        found += [scanner(sources).select(*FINDING) for scanner in scanners]
+    findings = dedup_findings(promote_google(reduce(DataFrame.unionByName, found), providers))
+    structural = _valued(seen.filter(F.col("family") == STRUCTURAL), structural_family()).withColumnRenamed("rule_idx", "pattern_idx")
+    return findings, providers, integration(lexical, _scoped(structural, providers))
 
 
 def audit_matches(sources: DataFrame, patterns=None) -> DataFrame:
     """One row for each source and pattern of the audit's wider net that occurs in it, whatever the detectors say."""
-    patterns = rules.AUDIT if patterns is None else patterns
-    return _candidates(sources, [(p, p, {"name": n}) for n, p in patterns]).filter("rlike(content, _re)").select(*KEYS, "name")
+    family = [(p, p, {"name": n}) for n, p in (rules.AUDIT if patterns is None else patterns)]
+    return _valued(M.hits(sources, _rules(family, take=M.ANY), KEYS), family).select(*KEYS, "name")
 
 
 def audit_signals(sources: DataFrame) -> DataFrame:

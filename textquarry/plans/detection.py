@@ -133,6 +133,14 @@ def i10_scan_app(spark, d):
     return kinds.join(integ.select("app_id", "confirmed"), "app_id", "left").join(providers.select("app_id", F.array_join("detected_providers", "|").alias("providers")), "app_id", "left")
 
 
+def i10_scan_kinds(spark, d):
+    """The same scan's findings by application and kind, of the kinds that SQL can find, in long form."""
+    found, providers, integ = D.scan(sources(spark, d))
+    rows = found.filter(~F.col("kind").isin("system_prompt", "tool_schema")).groupBy("app_id", "kind", "provider", "severity").agg(F.count("*").alias("n"), F.sum(F.coalesce("occurrences", F.lit(1))).alias("occurrences"))
+    named = providers.select("app_id", F.array_join("detected_providers", "|").alias("providers"))
+    return rows.join(integ.select("app_id", "confirmed", "n_structural"), "app_id", "left").join(named, "app_id", "left")
+
+
 def g4_findings_union(spark, d):
     src = sources(spark, d)
     rows = D.lexical_findings(D.lexical_matches(src)).unionByName(D.rag_findings(src))
@@ -234,16 +242,40 @@ _CLASSES = f"""{SOURCES}, classed AS (SELECT app_id, source_idx, CASE WHEN confi
 _HOSTS = f"""hosts AS (SELECT app_id, lower(unnest(regexp_extract_all(content, '(?i){rules.HOST}', 1))) AS host FROM (SELECT concat('site', page_id % 7) AS app_id, url || ' ' || html AS content FROM pages)),
 judged AS (SELECT *, list_contains([{", ".join(f"'{x}'" for x in rules.TLDS)}], split_part(host, '.', -1)) AND NOT ({" OR ".join(f"suffix(host, '{x}')" for x in rules.BORING_HOSTS)})
  AND split_part(host, '.', 1) NOT IN ({", ".join(f"'{x}'" for x in rules.PACKAGE_ROOTS)}) AS interesting FROM hosts)"""
-_RAG_SQL = f"""{SOURCES}, paths(rule_idx, name, re, severity, confidence) AS {values(_RAG)}, ragp AS (SELECT app_id, source_idx, name, severity, confidence::DOUBLE AS confidence, split_part(source_file, '/', -1) AS evidence,
+_RAG_SQL = f"""{SOURCES}, paths(rule_idx, name, re, severity, confidence) AS {values(_RAG)}, ragp AS (SELECT app_id, source_idx, rule_idx, name, severity, confidence::DOUBLE AS confidence, split_part(source_file, '/', -1) AS evidence,
  CASE WHEN contains(source_file, '/') THEN regexp_replace(source_file, '/[^/]*$', '') END AS container FROM sources, paths WHERE regexp_matches(source_file, re)),
- contents(rule_idx, name, re, severity, confidence) AS {values(_CONTENT)}, ragc AS (SELECT app_id, source_idx, name, severity, confidence::DOUBLE AS confidence, unnest(regexp_extract_all(content, re)) AS matched FROM sources, contents)"""
+ contents(rule_idx, name, re, severity, confidence) AS {values(_CONTENT)}, ragc AS (SELECT app_id, source_idx, rule_idx, name, severity, confidence::DOUBLE AS confidence, unnest(regexp_extract_all(content, re)) AS matched FROM sources, contents)"""
+_KEYS = [(i, n, who, p.replace("(?!proj-|ant-|or-)", ""), s, c) for i, (n, who, p, s, c) in enumerate(rules.CREDENTIALS)]  # none of what follows is a letter or digit, so the look-ahead changes nothing
+_SECRETS = f"""{SOURCES}, shapes(rule_idx, title, provider, re, severity, base) AS {values(_KEYS)}, secrets AS (SELECT app_id, source_idx, source_file, rule_idx, title, provider, severity, base::DOUBLE AS base, unnest(regexp_extract_all(content, re)) AS matched FROM sources, shapes)"""
+
+
+def _n(name: str) -> str:
+    """How often a named test of prompts matches a run; a sign that may not come before is taken with the match, which changes no count as no match ends with one."""
+    pattern, case = S.PROMPT_TESTS[name]
+    return f"len(regexp_extract_all(run, {_re(pattern.replace(chr(40) + '?<![' + chr(92) + 'w' + chr(92) + ']])', '(?:^|[^' + chr(92) + 'w' + chr(92) + ']])'), not case)}))"
+
+
+#: prompts(app_id, source_idx, source_file, hit_idx, run, parts, strong, score): the scores of all runs that pass the length gate
+PROMPTS = f"""runs AS (SELECT app_id, source_idx, source_file, list[h] AS run, h - 1 AS hit_idx FROM (SELECT *, unnest(range(1, len(list) + 1)) AS h FROM (SELECT *, list_filter(regexp_split_to_array(content, '[\\pC\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> '') AS list FROM sources)) WHERE length(list[h]) >= {rules.MIN_LENGTH_SHORT}),
+gated AS (SELECT *, len(regexp_extract_all(run, '{rules.CJK}')) / length(run) >= {rules.CJK_DENSITY} AS dense, {_n("opener")} + {_n("opener_intl")} > 0 AS opener FROM runs),
+counted AS (SELECT *, {", ".join(f"{_n(x)} AS n_{x}" for x in S.PROMPT_TESTS if not x.startswith("opener"))} FROM gated WHERE length(run) >= {rules.MIN_LENGTH} OR dense OR opener),
+parted AS (SELECT *, round(0.20 * greatest(0.0, least(1.0, CASE WHEN dense THEN (length(run) - {rules.MIN_LENGTH_SHORT}) / 180.0 ELSE (length(run) - {rules.MIN_LENGTH}) / 520.0 END::DOUBLE)), 3)::DOUBLE AS length, CASE WHEN opener THEN 0.35 ELSE 0 END::DOUBLE AS opener_part,
+ round(least(0.30, 0.06 * (n_role + n_role_intl))::DOUBLE, 3) AS role_language, CASE WHEN n_slot >= 2 THEN 0.15 ELSE 0 END::DOUBLE AS template_slots, CASE WHEN CASE WHEN dense THEN n_ends + n_clauses >= 1 ELSE n_ends >= 2 END THEN 0.1 ELSE 0 END::DOUBLE AS multi_sentence,
+ {", ".join(f"CASE WHEN {test} THEN -{x} ELSE 0 END::DOUBLE AS {name}_penalty" for name, test, x in (("policy", "n_policy > 0", 0.25), ("path", f"regexp_matches(source_file, {_re(rules.POLICY_PATH)})", 0.25), ("markup", "n_markup > 0", 0.2), ("machine_pool", f"regexp_matches(source_file, {_re(rules.MACHINE_POOL_PATH)})", 0.3), ("framework", "n_framework > 0", 0.35), ("code", "n_code > 0", 0.4), ("licence", "n_licence > 0", 0.35), ("label_array", "n_labels >= 3", 0.35), ("url", "n_url > 0", 0.2), ("log", "n_log > 0", 0.3)))},
+ n_code = 0 AND (opener OR n_slot >= 2 OR n_marker > 0) AS strong FROM counted),
+prompts AS (SELECT *, round(CASE WHEN strong THEN total ELSE least(total, {rules.WEAK_CEILING}) END, 3) AS score FROM (SELECT *, greatest(0, least(1, length + opener_part + role_language + template_slots + multi_sentence + policy_penalty + path_penalty + markup_penalty + machine_pool_penalty + framework_penalty + code_penalty + licence_penalty + label_array_penalty + url_penalty + log_penalty)) AS total FROM parted))"""
+#: every(app_id, kind, provider, evidence, severity, source_file, and the order c, d, s, r, h): the findings of the kinds that SQL finds, before they are made one an evidence
+EVERY = f"""{_SECRETS}, {_RAG_SQL.removeprefix(SOURCES + ",")}, {LEX.removeprefix(SOURCES + ",")},
+ every AS (SELECT app_id, CASE WHEN is_endpoint THEN 'llm_endpoint' ELSE 'llm_sdk_reference' END AS kind, provider, matched AS evidence, 'info' AS severity, source_file, -CASE WHEN is_endpoint THEN 0.9 ELSE 0.7 END::DOUBLE AS c, 0 AS d, source_idx AS s, rule_idx AS r, hit_idx AS h FROM lex
+ UNION ALL SELECT app_id, 'secret', CASE WHEN g THEN 'google_gemini' ELSE provider END, matched, CASE WHEN g THEN 'high' ELSE severity END, source_file, -base, 1, source_idx, rule_idx, 0 FROM (SELECT *, title = '{D.UNKNOWN_GOOGLE}' AND app_id IN (SELECT app_id FROM lex WHERE provider = 'google_gemini') AS g FROM secrets)
+ UNION ALL SELECT app_id, 'rag_artefact', NULL, evidence, severity, source_file, -confidence, 4, source_idx, rule_idx, 0 FROM ragp JOIN sources USING (app_id, source_idx) UNION ALL SELECT app_id, 'rag_artefact', NULL, matched, severity, source_file, -confidence, 4, source_idx, rule_idx + {len(_RAG)}, 0 FROM ragc JOIN sources USING (app_id, source_idx))"""
 _TERMS = values([(i, t) for i, t in enumerate(rules.EVIDENCE_TERMS)])
 _HINTS = " OR ".join(f"contains(lower(line), '{h}')" for h in rules.SDK_HINTS)
 
 QUERIES = {f.__name__: f for f in (
     i1_lexical_endpoints, i2_lexical_sdk, e5_first_seen_providers, c2_structural_evidence, i3_structural_invocation, i4_structural_json_body, b3_llm_confirmed,
     b2_llm_lexical_rule, i5_lexical_findings, e1_dedup_findings, d1_severity_histogram, c1_rules_x_sources, i8_rag_paths, i9_rag_content, i6_prompt_components,
-    i6_system_prompts, h10_printable_runs, i7_tool_schemas, is_credentials, i10_scan_app, g4_findings_union, c6_gemini_corroboration, h15_classify_prompt,
+    i6_system_prompts, h10_printable_runs, i7_tool_schemas, is_credentials, i10_scan_app, i10_scan_kinds, g4_findings_union, c6_gemini_corroboration, h15_classify_prompt,
     d24_prompt_rollup, d22_host_counts, b5_host_interesting, f4_snippets, h13_snippet, f3_sdk_paths, e8_container_class, b10_non_dex, h8_paths, i12_audit_patterns, i12_audit, d25_audit_partition,
 )}
 
@@ -263,12 +295,20 @@ ORACLE_SQL = {
  UNION ALL SELECT app_id, 'rag', NULL, evidence, arg_min(severity, -confidence) FROM (SELECT app_id, evidence, severity, confidence FROM ragp UNION ALL SELECT app_id, matched, severity, confidence FROM ragc) GROUP BY app_id, evidence)
  SELECT app_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM every GROUP BY 1""",
     "c1_rules_x_sources": f"WITH {LEX} SELECT rule_idx, provider, count(*) AS n_hits, count(DISTINCT app_id) AS n_apps FROM lex GROUP BY ALL",
-    "i8_rag_paths": f"WITH {_RAG_SQL} SELECT * FROM ragp",
-    "i9_rag_content": f"WITH {_RAG_SQL} SELECT * FROM ragc",
+    "i8_rag_paths": f"WITH {_RAG_SQL} SELECT * EXCLUDE (rule_idx) FROM ragp",
+    "i9_rag_content": f"WITH {_RAG_SQL} SELECT * EXCLUDE (rule_idx) FROM ragc",
     "g4_findings_union": f"""WITH {_RAG_SQL}, {LEX.removeprefix(SOURCES + ",")} SELECT kind, severity, count(*) AS n FROM (SELECT CASE WHEN is_endpoint THEN 'llm_endpoint' ELSE 'llm_sdk_reference' END AS kind, 'info' AS severity FROM lex
  UNION ALL SELECT 'rag_artefact', severity FROM ragp UNION ALL SELECT 'rag_artefact', severity FROM ragc) GROUP BY ALL""",
     "c6_gemini_corroboration": f"""WITH {LEX} SELECT app_id, CASE WHEN g THEN 'google_gemini' ELSE 'generic' END AS provider, CASE WHEN g THEN 'high' ELSE 'medium' END AS severity, count(*) AS n
  FROM (SELECT app_id, app_id IN (SELECT app_id FROM lex WHERE provider = 'google_gemini') AS g FROM sources) GROUP BY ALL""",
+    "is_credentials": f"""WITH {_SECRETS} SELECT app_id, source_idx, title, provider, severity, 'fp:' || left(sha256(matched), 16) || ' len:' || length(matched) AS evidence,
+ round(base * pow(0.5, (regexp_matches(matched, {_re(rules.PLACEHOLDER.removeprefix("(?i)"))}))::INT + (bits < 3.0)::INT), 4) AS confidence FROM
+ (SELECT *, (SELECT sum(-n / length(matched) * log2(n / length(matched))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(matched, '')) AS c) GROUP BY c)) AS bits FROM secrets)""",
+    "i10_scan_kinds": f"""WITH {EVERY}, {PROVIDERS}, {INTEGRATION},
+ once AS (SELECT app_id, kind, provider, evidence, arg_min(severity, (c, d, s, r, h)) AS severity, count(*) AS occurrences FROM every GROUP BY ALL)
+ SELECT o.*, confirmed, n_structural, providers FROM (SELECT app_id, kind, provider, severity, count(*) AS n, sum(occurrences)::BIGINT AS occurrences FROM once GROUP BY ALL) o LEFT JOIN integ USING (app_id) LEFT JOIN prov USING (app_id)""",
+    "i6_system_prompts": f"WITH {SOURCES}, {PROMPTS} SELECT app_id, source_idx, 'system_prompt' AS kind, 'medium' AS severity, left(run, 200) AS evidence, score AS confidence, source_file AS file_path FROM prompts WHERE score >= {rules.PROMPT_THRESHOLD}",
+    "i6_prompt_components": f"WITH {SOURCES}, {PROMPTS} SELECT app_id, source_idx, hit_idx::INT AS hit_idx, md5(run) AS run, length, opener_part AS opener, role_language, template_slots, multi_sentence, policy_penalty, path_penalty, url_penalty, strong, score FROM prompts",
     "h10_printable_runs": f"""WITH {SOURCES}, r AS (SELECT source_idx, list_filter(regexp_split_to_array(content, '[\\pC\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> '') AS runs FROM sources)
  SELECT source_idx, len(runs) AS n_runs, coalesce(list_max(list_transform(runs, lambda x: length(x))), 0) AS longest FROM r""",
     "h15_classify_prompt": f"WITH {_CLASSES} SELECT source_idx, class, first_person, second_person, confidential, role_binding, white_label FROM classed",
