@@ -1,5 +1,7 @@
 """Frame, sampling, ledger, validation and statistics."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from textquarry.operators import corpus as C
@@ -25,8 +27,31 @@ def test_sample_doesnt_depend_on_partitions(spark):
     assert len(a) == 50
 
 
-def test_python_sample_is_seeded():
-    assert C.python_sample(list("abcdef"), 3, 7) == C.python_sample(list("fedcba"), 3, 7)
+def test_seeded_draws_are_those_of_lists(spark):
+    """What a generator draws from sorted lists, stratum after stratum."""
+    rng = random.Random(2)
+    rows = [(rng.choice([2019, 2020, 2021]), rng.choice(["é", "a", "b"]), f"{k * 7919 % 1000:04d}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "year int, store string, sha256 string").repartition(7)
+    for target, seed in ((0, 1), (37, 5), (399, 8), (1000, 3)):
+        strata = {}
+        for r in rows:
+            strata.setdefault(r[:2], []).append(r)
+        alloc = {(r["year"], r["store"]): r["alloc"] for r in C.largest_remainder(frame.groupBy("year", "store").agg(F.count("*").alias("size")), target, ["year", "store"]).collect()}
+        generator, want = random.Random(seed), []
+        for key in sorted(strata):
+            want += generator.sample(sorted(strata[key], key=lambda r: r[2]), alloc[key]) if alloc[key] else []
+        assert sorted(map(tuple, C.seeded_sample(frame, target, ["year", "store"], "sha256", seed).collect())) == sorted(want)
+
+
+def test_seeded_validation_draw(spark):
+    rows = [(f"{k:03d}", None if k % 10 == 0 else k % 3 == 0) for k in range(90)]
+    frame = spark.createDataFrame(rows, "sha256 string, flagged boolean").repartition(5)
+    for n in (5, 30, 60, 200):
+        pools, generator, want = [[r for r in rows if bool(r[1]) is on] for on in (True, False)], random.Random(4), []
+        for pool in pools:
+            want += [(*r, len(pool) < n) for r in (generator.sample(pool, n) if len(pool) > n else pool)]
+        assert sorted(map(repr, map(tuple, C.seeded_validation_sample(frame, "flagged", "sha256", n, 4).collect()))) == sorted(map(repr, want))
+    assert C.seeded_validation_sample(frame.limit(0), "flagged", "sha256", 3, 1).count() == 0
 
 
 def test_ledger(spark):

@@ -78,8 +78,6 @@ def test_tables(spark, tmp_path):
     assert back["A"]["signals"] == ["ai", "ml"]
     assert (back["B"]["year"], back["B"]["signals"], back["A"]["date_source"]) == (None, [], "dex_date")
     assert T.read_labels(spark, str(tmp_path / "none.jsonl")).count() == 0
-    (tmp_path / "log.txt").write_text("com.x  [scanner: 3 findings, llm=True]  AGREE\nother line\n")
-    assert [tuple(r) for r in T.audit_lines(spark, str(tmp_path / "log.txt")).collect()] == [("com.x", 3, True, "AGREE")]
 
 
 def test_reports(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry.functions import scalars as S
+from textquarry.sources.staging import staged
 
 # --- frame and sampling -----------------------------------------------------------------------------------------------------------
 
@@ -69,12 +71,45 @@ def blind_order(rows: DataFrame, key: str, seed: str = "1") -> DataFrame:
     return rows.orderBy(hash_order(seed, key), key)
 
 
-def python_sample(ids: list[str], size: int, seed: int) -> list[str]:
-    """Parity mode for small frames: the draw that a seeded random.Random makes from the sorted ids."""
-    import random
+def ranked(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """rows with `_rank`, their place from 0 in the order of keys and key: sorted by ranges, numbered by sums of the ranges' sizes before."""
+    spots = staged(rows.orderBy(*keys, key).withColumn("_spot", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_spot", 33))
+    sizes = spots.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a range
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return spots.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_spot").bitwiseAND((1 << 33) - 1)).drop("_spot", "_part", "_before")
 
-    pool = sorted(ids)
-    return sorted(random.Random(seed).sample(pool, min(size, len(pool))))
+
+def _at(rows: DataFrame, keys: list[str], key: str, places: list[int]) -> DataFrame:
+    """The rows at places of their order; as many as are asked for."""
+    wanted = rows.sparkSession.createDataFrame([(p,) for p in places], "_rank bigint")
+    return ranked(rows, keys, key).join(F.broadcast(wanted), "_rank", "left_semi").drop("_rank")
+
+
+def seeded_sample(rows: DataFrame, target: int, keys: list[str], key: str, seed: int) -> DataFrame:
+    """The draw that random.Random(seed) makes, stratum after stratum in order, of each one's rows sorted by key.
+
+    The generator needs sizes alone: it draws places, and rows are joined by their
+    rank. Only one number a stratum and one a drawn row are on the driver.
+    """
+    strata = largest_remainder(rows.groupBy(*keys).agg(F.count("*").alias("size")), target, keys).orderBy(*keys).collect()
+    generator, start, places = random.Random(seed), 0, []
+    for stratum in strata:
+        places += [start + k for k in generator.sample(range(stratum["size"]), stratum["alloc"])] if stratum["alloc"] else []
+        start += stratum["size"]
+    return _at(rows, keys, key, places)
+
+
+def seeded_validation_sample(rows: DataFrame, flag: str, key: str, per_stratum: int, seed: int) -> DataFrame:
+    """Flagged rows first, then the others, per_stratum of each by one seeded generator, or all of a smaller pool, which takes no draw; is_short says so."""
+    pools = rows.withColumn("_pool", F.when(F.col(flag), 0).otherwise(1))
+    sizes = {r["_pool"]: r["n"] for r in pools.groupBy("_pool").agg(F.count("*").alias("n")).collect()}
+    generator, start, places = random.Random(seed), 0, []
+    for pool in (0, 1):
+        n = sizes.get(pool, 0)
+        places += [start + k for k in (generator.sample(range(n), per_stratum) if n > per_stratum else range(n))]
+        start += n
+    short = F.col("_pool").isin([p for p in (0, 1) if sizes.get(p, 0) < per_stratum])
+    return _at(pools, ["_pool"], key, places).withColumn("is_short", short).drop("_pool")
 
 
 # --- ledger -----------------------------------------------------------------------------------------------------------------------

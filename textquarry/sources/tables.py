@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry import rules
@@ -121,11 +122,49 @@ def answer_key(sample: DataFrame) -> DataFrame:
     return sample.select("sha256", "pkg_name", "llm_integrated", F.array_join("providers", "|").alias("providers"), "n_findings")
 
 
-def audit_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Verdicts of an audit transcript: package, findings, flag and verdict of each header line."""
-    pattern = r"^(\S+)\s+\[scanner: (\S+) findings, llm=(\S+)\]\s+(.*)$"
-    part = lambda k: F.regexp_extract("value", pattern, k)
-    return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(part(1).alias("package"), part(2).try_cast("int").alias("n_findings"), truthy(part(3)).alias("llm"), part(4).alias("verdict"))
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (file, split, row, value) of text files that are appended to, in whatever way Spark cuts and orders them.
+
+    file orders files by time and name, split is where a part of a file begins, row
+    counts up within a part; together they are the order of the lines.
+    """
+    at = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path).select(at.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def last_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The last JSON line of each key over all files of a log; lines that can't be parsed and those without a key are none."""
+    parsed = lines(spark, path).withColumn("_r", F.from_json("value", schema)).filter(F.col(f"_r.{key}").isNotNull())
+    return parsed.groupBy(F.col(f"_r.{key}").alias("_key")).agg(F.max_by("_r", F.struct("file", "split", "row")).alias("_last")).select("_last.*")
+
+
+#: A verdict's line: package, findings, flag, verdict. Whatever holds the mark opens a block.
+AUDIT_LINE, AUDIT_MARK = r"^(\S+)\s+\[scanner: (\d+) findings, llm=([01])\]\s+(.*)$", "[scanner:"
+
+
+def audit_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of an audit transcript: a row (block, package, n_findings, llm, verdict, n_details) for each line that opens one, with the number of lines below it.
+
+    A block's number is the running count of openings: counted within parts of a
+    file, and added up over the parts before. Openings that can't be read have no package.
+    """
+    rows = lines(spark, path).withColumn("opens", F.col("value").contains(AUDIT_MARK).cast("bigint"))
+    sums = rows.groupBy("file", "split").agg(F.sum("opens").alias("_own"))  # one row a part
+    before = sums.select("file", "split", (F.sum("_own").over(W.orderBy("file", "split")) - F.col("_own")).alias("_before"))
+    within = F.sum("opens").over(W.partitionBy("file", "split").orderBy("row"))
+    numbered = rows.withColumn("_within", within).join(F.broadcast(before), ["file", "split"]).withColumn("block", F.col("_before") + F.col("_within")).filter("block > 0")
+    part = lambda k: F.regexp_extract("opening", AUDIT_LINE, k)
+    blocks = numbered.groupBy("block").agg(F.max(F.when(F.col("opens") == 1, F.col("value"))).alias("opening"), F.count_if((F.col("opens") == 0) & (F.trim("value") != "")).alias("n_details"))
+    return blocks.select("block", F.nullif(part(1), F.lit("")).alias("package"), part(2).try_cast("int").alias("n_findings"), (part(3) == "1").alias("llm"), part(4).alias("verdict"), "n_details")
+
+
+def audit_tally(blocks: DataFrame) -> DataFrame:
+    """Verdicts counted, one row. They must add up to the blocks, or the plan fails: an opening without a readable verdict is in none of them."""
+    read, verdict = F.col("package").isNotNull(), F.col("verdict")
+    empty, agree = verdict.contains("SCANNER SAID EMPTY"), verdict.contains("AGREE")
+    one = blocks.agg(F.count("*").alias("audited"), F.count_if("llm").alias("llm_audited"), F.count_if(read & empty).alias("empty_but_signal"), F.count_if(read & ~empty & agree).alias("agree"), F.count_if(read & ~empty & ~agree).alias("weak"))
+    whole = F.col("empty_but_signal") + F.col("agree") + F.col("weak")
+    return one.withColumn("audited", F.when(whole == F.col("audited"), F.col("audited")).otherwise(F.raise_error(F.format_string("verdicts %d of %d audited", whole, "audited")).cast("bigint")))
 
 
 # --- reports ----------------------------------------------------------------------------------------------------------------------
