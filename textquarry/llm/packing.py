@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -327,17 +327,22 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenize, cut and pack documents (doc_id, text): one row per piece, with the crc32 of its ids."""
+    """Tokenize, cut and pack documents (doc_id, text): one row per piece, with the crc32 of its ids and the md5 of its text, by which `sequences` finds its ids."""
     own = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    cut = token_pieces(own, tokenizer_path, capacity, end_id).select("doc_id", "_row", F.explode_outer("pieces").alias("p"))  # an inner explode would run the tokenizer twice, once to drop empty arrays
-    slim = staged(cut.select("doc_id", "_row", "p.piece", "p.start", "p.length", F.crc32("p.ids").alias("ids_crc32")))
-    return pack(slim, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = token_pieces(own, tokenizer_path, capacity, end_id).select("doc_id", "_row", _digest().alias("text_md5"), F.explode_outer("pieces").alias("p"))  # an inner explode would run the tokenizer twice, once to drop empty arrays
+    slim = staged(cut.select("doc_id", "_row", "text_md5", "p.piece", "p.start", "p.length", F.crc32("p.ids").alias("ids_crc32")))
+    return pack(slim, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "text_md5")
+
+
+def _digest() -> Column:
+    return F.md5(text_or_empty().cast("binary"))
 
 
 def sequences(packed: DataFrame, docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """The packed sequences' ids (sequence_id, ids): tokenizes again, joins the places and puts each sequence's pieces, capacity tokens at most, side by side."""
-    cut = token_pieces(docs.select("doc_id", "text"), tokenizer_path, capacity, end_id).select("doc_id", F.explode_outer("pieces").alias("p")).select("doc_id", "p.piece", "p.ids")
-    parts = packed.select("doc_id", "piece", "sequence_id", "offset").join(cut.dropDuplicates(["doc_id", "piece"]), ["doc_id", "piece"])
+    """The packed sequences' ids (sequence_id, ids), whatever documents' ids are: tokenizes each distinct text again, joins its pieces to all places of that text and puts each sequence's pieces, capacity tokens at most, side by side."""
+    texts = docs.select(text_or_empty().alias("text")).withColumn("text_md5", _digest()).dropDuplicates(["text_md5"])
+    cut = token_pieces(texts.withColumn("doc_id", F.lit(0)), tokenizer_path, capacity, end_id).select("text_md5", F.explode_outer("pieces").alias("p")).select("text_md5", "p.piece", "p.ids")
+    parts = packed.select("text_md5", "piece", "sequence_id", "offset").join(cut, ["text_md5", "piece"])
     joined = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return joined.select("sequence_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
@@ -345,4 +350,4 @@ def sequences(packed: DataFrame, docs: DataFrame, tokenizer_path: str, capacity:
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("text_md5")
