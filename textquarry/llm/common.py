@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -28,6 +28,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row of docs as one struct, so that its columns' names meet none of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ascii_lower(column):
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(column, UPPER, UPPER.lower())
@@ -98,6 +103,23 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def firsts(rows: DataFrame, bucket: Column, order: list, k: int) -> DataFrame:
+    """The first k rows by order, which begins with what bucket rises with.
+
+    A plain limit takes k rows from each partition. Here the buckets are counted and
+    only rows up to the one with row k are sorted, so k rows and a bucket come together.
+    """
+    sizes = rows.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy("_b")))
+    cut = sizes.filter(F.col("_upto") >= k).agg(F.min("_b")).first()[0]
+    return (rows if cut is None else rows.filter(bucket <= cut)).orderBy(*order).limit(k)
+
+
+def hash_firsts(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """The first k rows by a hash of columns, of which about a millionth of all rows share a bucket."""
+    drawn = F.xxhash64(*columns)
+    return firsts(rows, F.shiftright(drawn, 44), [drawn, *columns], k)
+
+
 def slices(batches, rows: int = 400, made: bool = False):
     """Parts of Arrow batches with few rows each, so that what Python holds of them at once stays small.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept
-from textquarry.llm.common import WORD_REGEX, ascii_lower, slices, staged, table, text_or_empty
+from textquarry.llm.common import WORD_REGEX, ascii_lower, firsts, hash_firsts, slices, staged, table, text_or_empty
 
 #: Words with a class of their own; classes of the rest; latent states; tokens of a training segment.
 FREQUENT, SHARED, STATES, SEGMENT = 16_384, 512, 8, 32
@@ -81,12 +81,19 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    """The most frequent words one by one, ties by a hash of the word, and what the others' classes add up to; besides, only sums reach the driver."""
+    least = firsts(counts, -F.col("c"), [F.desc("c")], FREQUENT).agg(F.min("c")).first()[0] or 0
+    above = counts.filter(F.col("c") > least)
+    n = above.count()
+    last = hash_firsts(counts.filter(F.col("c") == least), ["word"], FREQUENT - n)
+    top = [r for part in (above, last) for r in part.withColumn("_hash", F.xxhash64("word")).collect()]
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    rest = counts.limit(0)
-    if top:
-        c, word = top[-1]["c"], top[-1]["word"]
-        rest = counts.filter((F.col("c") < c) | (F.col("c") == c) & (F.col("word") > word))
+    rest = counts.filter(F.col("c") < least)
+    if len(top) > n:  # of the words as frequent as the last one, those with a greater hash are not in
+        edge = max((r["_hash"], r["word"]) for r in top[n:])
+        drawn = F.xxhash64("word")
+        rest = counts.filter((F.col("c") < least) | (F.col("c") == least) & ((drawn > edge[0]) | (drawn == edge[0]) & (F.col("word") > edge[1])))
+    top.sort(key=lambda r: (-r["c"], r["word"]))
     mass, kinds = np.zeros(SHARED), np.zeros(SHARED)
     for r in rest.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         mass[r["class"]], kinds[r["class"]] = r["n"], r["v"]
@@ -249,7 +256,8 @@ def first_model(sample: list[bytes], vocab: Vocabulary, states: int, seed: int =
 
 def train(training: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = 3, start_rows: int = 500) -> Model:
     """Baum-Welch from a start on at most start_rows documents; every pass covers all training rows."""
-    sample = training.orderBy(F.xxhash64("doc_id", "_row")).select("classes").limit(start_rows).collect()
+    chosen = hash_firsts(training.select("doc_id", "_row"), ["doc_id", "_row"], start_rows)
+    sample = training.join(F.broadcast(chosen.select("_row")), "_row", "left_semi").orderBy(F.xxhash64("doc_id", "_row")).select("classes").collect()
     model = first_model([bytes(r["classes"]) for r in sample], vocab, states)
     for _ in range(passes if sample else 0):
         model, _ = one_pass(training, model, vocab)

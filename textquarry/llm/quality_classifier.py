@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept
-from textquarry.llm.common import slices, table, text_or_empty
+from textquarry.llm.common import hash_firsts, slices, table, text_or_empty
 
 BITS = 18
 GRADES = 3
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
     """Fit on at most `most` labelled documents, taken in an order by hash of the id; of rows with one id the one whose text has the least digest."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = hash_firsts(known, ["doc_id"], most)
 
     @F.arrow_udf("array<int>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import SPACE_REGEX, WORD_REGEX, staged, table, text_or_empty
+from textquarry.llm.common import SPACE_REGEX, WORD_REGEX, hash_firsts, staged, table, text_or_empty
 
 WINDOW = 5
 
@@ -156,7 +156,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 def learn_rules(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> list[list[Condition]]:
     """A decision list from labels (doc_id, quality; 0 is bad) and a sample of at most `most` labelled rows, in an order by hash of the id."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = hash_firsts(known, ["doc_id"], most)
     rows = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).collect()
     x = {k: np.array([r[k] for r in rows], float) for k in FEATURES}
     return learn(x, np.array([r["quality"] == 0 for r in rows], bool))
