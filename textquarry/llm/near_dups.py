@@ -28,7 +28,7 @@ Defined cases: null text and text without words have an empty set and are linked
 with nothing; fewer words than a shingle make one shingle; a document's rows with
 one id are one node, linked by any of its texts; rows without an id are linked with
 nothing and kept; very long texts are taken whole; an empty table gives no rows;
-other columns are not used.
+other columns are not used. Ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textquarry.llm.common import few, slices, staged, table, text_or_empty
 from textquarry.llm.components import components
@@ -134,7 +135,9 @@ def with_leaders(pairs: DataFrame, texts: DataFrame, shingle: int, schema: str,
     dealt = staged(pairs.select("a", "b").join(few(heavy, 100_000), "a", "left").select("a", "b", salt.alias("salt")))
     wanted = dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id")))
     rows = wanted.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id")
-    kind = pa.schema([(x.split()[0], pa.list_(pa.int64()) if "array" in x else pa.int64()) for x in schema.split(", ")])
+    named = texts.schema["doc_id"].dataType  # of a and b; the other columns are numbers
+    kind = pa.schema([(x.split()[0], to_arrow_type(named) if x.split()[0] in ("a", "b") else pa.list_(pa.int64()) if "array" in x else pa.int64()) for x in schema.split(", ")])
+    schema = ", ".join(f"{x.split()[0]} {named.simpleString()}" if x.split()[0] in ("a", "b") else x for x in schema.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, group, sets = Shingles(shingle, lower=True), None, []
