@@ -171,11 +171,24 @@ def test_plan_uses_each_piece_once():
             assert at <= 100
 
 
-def test_sequences_hold_the_ids(docs):
-    one = docs.dropDuplicates(["doc_id"])
-    packed = staged(packing.pack_documents(one, WORDS, 64))
-    got = {r["sequence_id"]: len(r["ids"]) // 4 for r in packing.sequences(packed, one, WORDS, 64).collect()}
-    assert got == {r["sequence_id"]: r["n"] for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+def test_sequences_hold_the_ids(spark, docs):
+    """Of all rows, also those that share an id or have none."""
+    library = Tokenizer.from_file(WORDS)
+    few = [(1, "one text here", "a"), (1, "another text", "a"), (None, "a third one", "a"), (None, "a third one", "a"), (2, None, "a")]
+    for rows in (docs, table(spark, few)):
+        packed = staged(packing.pack_documents(rows, WORDS, 64))
+        got = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.sequences(packed, rows, WORDS, 64).collect()}
+        assert {k: len(x) for k, x in got.items()} == {r["sequence_id"]: r["n"] for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+        placed = collections.Counter()
+        for r in packed.collect():
+            ids = got[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+            assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+            placed[r["doc_id"], r["start"], tuple(ids)] += 1
+        want = collections.Counter()
+        for i, t, _ in plain(rows):
+            ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+            want.update((i, k, tuple(ids[k : k + 64])) for k in range(0, len(ids), 64))
+        assert placed == want
 
 
 # --- mixing -------------------------------------------------------------------------------------------------------------------------
@@ -733,6 +746,29 @@ def test_classifier_scores_against_plain_sums(spark):
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
+def test_first_rows_come_from_a_few_buckets(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1013).alias("c"), F.col("id").cast("string").alias("word")).repartition(9)
+    want = sorted(((r["c"], r["word"]) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    for k in (0, 1, 37, 4999, 9000):
+        assert [tuple(r) for r in common.firsts(rows, -F.col("c"), [F.desc("c"), "word"], k).collect()] == want[:k]
+    drawn = sorted((r["h"], r["word"]) for r in rows.select("word", F.xxhash64("word").alias("h")).collect())
+    assert sorted(r["word"] for r in common.hash_firsts(rows, ["word"], 120).collect()) == sorted(w for _, w in drawn[:120])
+    assert common.hash_firsts(rows.limit(0), ["word"], 3).count() == 0
+
+
+def test_vocabulary_is_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FREQUENT", 40)
+    rng = random.Random(6)
+    counts = {f"w{k}": rng.choice([1, 1, 1, 2, 3, 9, 50 + k]) for k in range(300)}
+    frame = spark.createDataFrame([(w, c, k % language_model.SHARED) for k, (w, c) in enumerate(counts.items())], "word string, c bigint, class int").repartition(5)
+    got = language_model.vocabulary(frame, 7)
+    mine = {w.decode(): c for w, (_, c) in got.frequent.items()}
+    assert len(mine) == 40 and all(counts[w] == c for w, c in mine.items())
+    assert sorted(mine.values()) == sorted(counts.values())[-40:]
+    left = {w: c for w, c in counts.items() if w not in mine}
+    assert (got.mass.sum(), got.kinds.sum(), got.total) == (sum(left.values()), len(left), sum(counts.values()) + 7)
+
+
 def test_workers_drop_what_other_operators_made():
     made = common.once(dict)
     assert list(common.slices([pa.array([1, 2, 3])], 2, made=True)) == [pa.array([1, 2]), pa.array([3])]
@@ -782,6 +818,62 @@ def mixed_rows():
     return rows + rows[:40] + [(2000 + k, rng.choice([None, "", " \n "]), rng.choice(["a", "c", "d"])) for k in range(120)]
 
 
+INTERNAL = ["_row", "_size", "_key", "_spans", "_node", "_group", "_doc", "_text", "_order", "_head", "_p", "_taken", "_range", "_of", "_s", "_label", "copy", "taken", "finish_time", "target", "budget", "base", "added", "range", "ahead", "digest", "rep", "n_shingles", "shard", "at", "marks", "accepted", "piece", "length", "rank"]
+
+
+def named_like_insides(docs):
+    """Documents with constant columns of the names that operators use inside, and a map."""
+    return docs.drop("size", "base", "n_tokens").withColumns({c: F.lit("stranger") for c in INTERNAL} | {"tags": F.create_map(F.lit("k"), F.col("doc_id"))})
+
+
+def test_columns_named_like_insides(spark, docs, tmp_path):
+    """Operators and stages give the same with them as without; stages hand them on."""
+    import corpus_pipeline as P
+
+    more = staged(named_like_insides(docs))
+    rows = lambda df, *c: collections.Counter(map(repr, df.select(*c).collect()))
+    for run, columns in [
+        (mixing.mix, ("doc_id", "size", "source_size", "target", "taken")), (near_dups.near_duplicates, ("doc_id", "n_shingles", "component_id")), (fingerprints.compare_with_edits, ("doc_id", "edited_sha256", "near_next")),
+        (lambda x: digest_columns(contexts.personal_data(x), contexts.KINDS), ("doc_id", "spans")), (lambda x: packing.pack_documents(x, WORDS, 64), ("doc_id", "piece", "length", "ids_crc32")), (lambda x: count_tokens(x, BYTES), ("doc_id", "n_tokens")),
+    ]:
+        assert rows(run(more), *columns) == rows(run(docs), *columns)
+    graded_docs, labels = graded(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    graded_docs = graded_docs.limit(80).unionByName(table(spark, [(9000, "call joe@mail.example.com now please", "b"), (9001, None, None)] * 2))
+    at, plainly = staged(named_like_insides(graded_docs)), staged(graded_docs)
+    for name, stage in P.STAGES:
+        at, plainly = staged(stage(spark, at, str(tmp_path))), staged(stage(spark, plainly, str(tmp_path)))
+        shared = ("doc_id", "text") if name != P.STAGES[-1][0] else ("doc_id", "piece", "length", "ids_crc32")
+        assert rows(at, *shared) == rows(plainly, *shared), name
+        if name != P.STAGES[-1][0]:
+            assert at.count() == at.filter(" and ".join(f"{c} = 'stranger'" for c in INTERNAL)).count() > 0
+            assert at.filter("tags['k'] = doc_id or doc_id is null").count() == at.count()
+
+
+def test_ids_of_other_types(spark):
+    """Text, binary and decimal ids."""
+    rows = near_rows()
+    for kind, name in (("string", "concat('id-', lpad(doc_id, 5, '0'))"), ("binary", "cast(concat('b', lpad(doc_id, 5, '0')) as binary)"), ("decimal(20,2)", "cast(doc_id as decimal(20,2))")):
+        docs = staged(table(spark, [(i, t, "a") for i, t in rows]).selectExpr(f"{name} as doc_id", "text"))
+        assert docs.schema["doc_id"].dataType.simpleString() == kind
+        named = {r["i"]: r["doc_id"] for r in table(spark, [(i, t, "a") for i, t in rows]).selectExpr("doc_id as i", f"{name} as doc_id").collect()}
+        want = brute_components(shingle_sets(rows, 2))
+        got = {bytes(r["doc_id"]) if kind == "binary" else r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, shingle=2).collect()}
+        assert got == {bytes(named[i]) if kind == "binary" else named[i]: named[c] for i, c in want.items()}
+        order = sorted(rows, reverse=True)
+        edits = {bytes(r["doc_id"]) if kind == "binary" else r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_with_edits(docs).collect()}
+        for k, (i, t) in enumerate(order):
+            t, after = t or "", order[(k + 1) % len(order)][1] or ""
+            half = len(t) // 2
+            assert edits[bytes(named[i]) if kind == "binary" else named[i]] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    spread = [(f"{k % 7}x{k:04d}", f"text {k} of many words here") for k in range(300)]
+    order = sorted(spread, reverse=True)
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_with_edits(spark.createDataFrame(spread, "doc_id string, text string")).collect()}
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_mix_sources_is_the_queue(spark, monkeypatch):
     import corpus_pipeline as P
 

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import few, slices, staged, table, text_or_empty
+from textquarry.llm.common import few, slices, staged, table, text_or_empty, whole
 from textquarry.llm.spans import digest_columns
 
 KINDS = ("email", "ip", "card", "phone")
@@ -217,10 +217,15 @@ def score_patterns(seen: DataFrame, rounds: int = 3, support: int = 3, threshold
     return None
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """128 bits of a document's id, which may be null, and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-")), F.lit("\n"), text).cast("binary")))
+
+
 def personal_data(docs: DataFrame, threshold: float = 0.5, rounds: int = 3, text: str = "text") -> DataFrame:
-    """Rows (doc_id, _row, _key, base, added): _key is a hash of id and text; spans (start, kind, end) of the base rules and of the bootstrap."""
+    """Rows (doc_id, _row, _key, base, added): _key is 128 bits of id and text; spans (start, kind, end) of the base rules and of the bootstrap."""
     whole = text_or_empty(text)
-    own = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", whole).alias("_key"), F.arrow_udf(find, FOUND)(whole).alias("_found"))
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), identity(F.col("doc_id"), whole).alias("_key"), F.arrow_udf(find, FOUND)(whole).alias("_found"))
     kept = staged(own.select("doc_id", "_row", "_key", "_found.*"))
     seen = kept.filter(F.size("mentions") > 0).select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
     scores = score_patterns(patterned(seen.drop("_row", "start", "end")), rounds, threshold=threshold).filter(F.col("score") >= threshold)
@@ -246,8 +251,9 @@ def redact(docs: DataFrame, found: DataFrame, most: int = 500_000) -> DataFrame:
     def cover(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([covered(x, s) for x, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", text_or_empty())).join(spans, "_key", "left")
-    return keyed.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cover("text", F.coalesce("_spans", F.array().cast("array<struct<start:int,kind:string,end:int>>"))))).drop("_key", "_spans")
+    keyed = docs.select(whole(docs).alias("_doc"), identity(F.col("doc_id"), text_or_empty()).alias("_key"), F.col("text").alias("_text")).join(spans, "_key", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(cover("_text", F.coalesce("_spans", F.array().cast("array<struct<start:int,kind:string,end:int>>"))))
+    return keyed.select(F.col("_doc").withField("text", clean).alias("_doc")).select("_doc.*")
 
 
 def covered(text: str | None, spans: list[dict]) -> str | None:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import WORD_REGEX, few, staged, table, text_or_empty
+from textquarry.llm.common import WORD_REGEX, few, staged, table, text_or_empty, whole
 
 #: Rows of a salted bucket of one source, and buckets of one source at most.
 BUCKET_ROWS, MOST_BUCKETS = 128, 1 << 20
@@ -71,11 +71,6 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return run.select("source", "source_size", "source_rows", target.alias("target"))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Add size, the number of words."""
-    return docs.withColumn("size", words())
-
-
 def words() -> Column:
     return F.regexp_count(text_or_empty(), F.lit(WORD_REGEX)).cast("long")
 
@@ -135,13 +130,15 @@ def truncated(rows: DataFrame, total: int, count: int) -> DataFrame:
     return rows.join(sums, "_range").withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(total) - start)).cast("long")).drop("_range", "_before")
 
 
-def measured(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, _row, source, size and the columns to keep) and the sources' targets of documents (doc_id, text, source; and _row and _size if they are numbered)."""
-    if {"_row", "_size"} <= set(docs.columns):
-        sized = staged(docs.select("doc_id", "source", "_row", *keep, F.col("_size").alias("size")))
-    else:
-        row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-        sized = staged(sizes(docs.select("doc_id", "source", "text", row.alias("_row"), *keep)).drop("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """Staged rows (_doc, doc_id, source, _row, _size): documents as structs, whose columns' names meet no others, with a number and the number of words."""
+    return staged(docs.select(whole(docs).alias("_doc"), "doc_id", "source", F.monotonically_increasing_id().alias("_row"), words().alias("_size")))
+
+
+def measured(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, keep: tuple[str, ...] = (), row: str | None = None, size: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _row, source, size and the columns to keep) and the sources' targets of documents (doc_id, text, source), whose numbers and sizes are the columns `row` and `size`, if these are named."""
+    own = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = staged(docs.select("doc_id", "source", own.alias("_row"), *keep, (words() if size is None else F.col(size)).alias("size")))
     return sized, staged(source_targets(sized, weights, share))
 
 
@@ -152,7 +149,7 @@ def queued(sized: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame
 
 
 def served(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 20240, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The queue's packets (doc_id, _row, source, size, source_size, target, copy, words, finish_time, taken and the columns to keep) of documents (doc_id, text, source; and _row if they are numbered)."""
+    """The queue's packets (doc_id, _row, source, size, source_size, target, copy, words, finish_time, taken and the columns to keep) of documents (doc_id, text, source)."""
     return queued(*measured(docs, weights, share, keep), seed)
 
 
@@ -168,8 +165,8 @@ def stream(rows: DataFrame) -> DataFrame:
     return rows.filter("taken > 0").orderBy("finish_time", F.col("source").asc_nulls_last(), "_from", "copy", "doc_id", "_row")
 
 
-def sequenced(docs: DataFrame, columns: list[str], kept: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
-    """The columns of docs (numbered by _row, with _size) as often as kept (_row, copy, doc_id, source, size, finish_time) has the row, in order of finish time.
+def sequenced(docs: DataFrame, kept: DataFrame, targets: DataFrame, seed: int = 20240) -> DataFrame:
+    """The documents of docs (as `numbered` gives them) as often as kept (_row, copy, doc_id, source, size, finish_time) has the row, in order of finish time.
 
     kept is sorted and dealt into ranges. In a source's order one copy's finish times
     rise, so a range holds a stretch of it; the stretches of a cell are a few bounds,
@@ -187,7 +184,7 @@ def sequenced(docs: DataFrame, columns: list[str], kept: DataFrame, targets: Dat
     bounds = places.groupBy(*cell, "copy", "_range").agg(F.min("_turn").alias("_first"), F.max("_turn").alias("_last"), (F.max("size") > 0).alias("_words"))
     cells = staged(bounds.groupBy(*cell).agg(F.collect_list(F.struct("copy", "_range", "_first", "_last", "_words")).alias("_bounds")))
 
-    rows = docs.select("_row", "doc_id", "source", F.col("_size").alias("size"), F.struct(*columns).alias("_doc"))
+    rows = docs.select("_row", "doc_id", "source", F.col("_size").alias("size"), "_doc")
     rows = turns(rows, marks, seed).withColumns(cell).withColumn("_turn", turn).select("_row", "size", *cell, "_turn", "_doc")
     inside = F.filter("_bounds", lambda x: (x["_first"] <= F.col("_turn")) & (F.col("_turn") <= x["_last"]) & (x["_words"] | (F.col("size") == 0)))
     sent = rows.join(few(cells, FEW_CELLS), list(cell)).select("_row", "_doc", F.explode(inside).alias("_to")).select("_row", "_to.copy", "_to._range", "_doc")
