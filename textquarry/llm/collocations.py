@@ -20,6 +20,7 @@ are not used; an empty table gives no rows.
 from __future__ import annotations
 
 import collections
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(UPPER.encode() + ENDS + b"\t", UPPER.lower().encode() + b"\n" * len(ENDS) + b" ")
 #: Between pieces, as a word of its own.
 BREAK = b"\n"
+GAPS, SPACES = re.compile(rb"[ \n]*\n[ \n]*"), re.compile(rb"  +")
 #: Single words meet their phrases in so many tasks.
 SALTS = 32
 
@@ -60,16 +62,17 @@ def sharded(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in slices(batches, 16):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for raw in text.encode().translate(FOLDED).split(BREAK):
-                    piece = b" ".join(raw.split())  # the other white space is gone
-                    if piece:
-                        held.setdefault(lang, []).append(piece)
-                        full[lang] = full.get(lang, 0) + len(piece) + 3
-                        every += len(piece) + 3
-                        if full[lang] >= size:
-                            yield out([lang])
-                        elif every >= 4 * size:
-                            yield out(list(held))
+                rest = SPACES.sub(b" ", GAPS.sub(BREAK, text.encode().translate(FOLDED))).strip(b" \n")
+                while rest:
+                    end = rest.find(BREAK, size)  # only a text that fills a shard by itself is cut
+                    part, rest = (rest, b"") if end < 0 else (rest[:end], rest[end + 1 :])
+                    held.setdefault(lang, []).append(part.replace(BREAK, b" \n "))
+                    full[lang] = full.get(lang, 0) + len(part)
+                    every += len(part)
+                    if full[lang] >= size:
+                        yield out([lang])
+                    elif every >= 4 * size:
+                        yield out(list(held))
         if held:
             yield out(list(held))
 
