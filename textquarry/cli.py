@@ -36,7 +36,7 @@ def years(text: str) -> list[int]:
 def _results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Applications (with package, file, integration and providers) and findings of all packages below a path; unreadable ones are left out with a word."""
     sources = staging.staged(archives.read_packages(spark, path))
-    for r in sources.filter("error is not null").select("app_id", "error").collect():
+    for r in sources.filter("error is not null").select("app_id", "error").toLocalIterator():
         print(f"skip {r['app_id']}: {r['error']}", file=sys.stderr)
     good = sources.filter("error is null").drop("error")
     found, providers, integration = D.scan(good, keep=staging.staged)
@@ -54,7 +54,7 @@ def _documents(apps: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _show(rows: DataFrame) -> None:
-    for r in rows.collect():
+    for r in rows.toLocalIterator():  # a partition at a time, whatever there is
         print("\t".join("" if x is None else str(x) for x in r))
 
 

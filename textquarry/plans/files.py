@@ -10,6 +10,7 @@ from textquarry.operators import detectors as D
 from textquarry.plans.corpus import INDEX, OUTCOMES, SIGNALS, STORE, _interval, _outcomes, index
 from textquarry.plans.detection import _HOSTS
 from textquarry.plans.overlay import read
+from textquarry.sources.report_files import write_reports
 from textquarry.sources import renderers as R
 from textquarry.sources import tables as T
 from textquarry.sources.staging import new_folder, staged
@@ -91,7 +92,7 @@ def a14_detail_semi(spark, d):
     return T.read_details(spark, path, ids, "n_name string").select("app_id", "n_name")
 
 
-def a16_a18_a24_worksheets(spark, d):
+def a16_a24_a29_worksheets(spark, d):
     """The coder's view and the answer key of a sample, written and read back."""
     view, key = new_folder(spark, "view"), new_folder(spark, "key")
     rows = _results(spark, d)
@@ -135,6 +136,14 @@ def a30_outputs(spark, d):
     return spark.read.text(f"{path}/md", wholetext=True).select("slug", F.md5("value").alias("digest"))
 
 
+def a30_report_files(spark, d):
+    """A file for each application's report in a few folders, read back by name."""
+    path = new_folder(spark, "reports")
+    write_reports(T.markdown_report(_supplier_findings(spark, d)).select(F.col("app_id").alias("name"), F.col("report").alias("content")), path, folders=4)
+    rows = spark.read.text(f"{path}/*/*.md", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.select(F.regexp_replace("file", r"\.md$", "").alias("app_id"), F.md5("value").alias("digest"))
+
+
 def a31_publication(spark, d):
     """Outcomes without package and with days alone, in the order of their content."""
     rows = _outcomes(spark, d).withColumn("checked_at", F.lit("2026-08-01T10:11:12"))
@@ -233,7 +242,7 @@ _GREEDY = """walk(i, total, negatives, sha256, bytes, kept, reason) AS (SELECT 0
 
 
 QUERIES = {f.__name__: f for f in (
-    a7_index_read, a8_index_gzip, a9_frame_round_trip, a10_manifest_round_trip, a11_findings_log, a12_labels, a14_detail_semi, a16_a18_a24_worksheets, a17_credentials, a22_markdown_report, a26_aggregate_lines, a30_outputs, a31_publication, a31_strings,
+    a7_index_read, a8_index_gzip, a9_frame_round_trip, a10_manifest_round_trip, a11_findings_log, a12_labels, a14_detail_semi, a16_a24_a29_worksheets, a17_credentials, a22_markdown_report, a26_aggregate_lines, a30_outputs, a30_report_files, a31_publication, a31_strings,
     a32_confusion_text, a32_credential_text, a32_evidence_text, j1_bounded_run, j8_poison_isolation, j7_resume, d26_run_totals, j6_run_log, j9_retention, e10_retention_budget,
 )}
 
@@ -252,11 +261,12 @@ ORACLE_SQL = {
     "a11_findings_log": "SELECT 'U' || c_custkey AS sha256, c_name AS pkg_name, (2020 + c_nationkey % 5)::INT AS year, c_nationkey % 2 = 0 AS llm_integrated, CASE WHEN c_nationkey % 2 = 0 THEN 'openai|cohere' ELSE 'openai' END AS providers, (c_nationkey % 3 + CASE WHEN c_nationkey % 2 = 0 THEN 10 ELSE 0 END)::BIGINT AS n_findings, (c_nationkey % 3)::BIGINT AS info FROM customer",
     "a12_labels": "SELECT DISTINCT 'S' || doc_id AS apk_sha256, false AS is_llm_integrated, CASE WHEN quality = 1 THEN '2026-02-01' ELSE '2026-01-01' END AS labelled_at FROM labels",
     "a14_detail_semi": "SELECT 'n' || n_nationkey AS app_id, n_name FROM nation WHERE n_regionkey < 2",
-    "a16_a18_a24_worksheets": "SELECT 'U' || c_custkey AS sha256, c_name AS pkg_name, '1' AS version, (c_custkey * 10)::BIGINT AS apk_size, c_nationkey % 2 = 0 AS llm_integrated, CASE WHEN c_nationkey % 2 = 0 THEN 'openai|cohere' ELSE 'openai' END AS providers, (c_nationkey % 3)::BIGINT AS n_findings FROM customer",
+    "a16_a24_a29_worksheets": "SELECT 'U' || c_custkey AS sha256, c_name AS pkg_name, '1' AS version, (c_custkey * 10)::BIGINT AS apk_size, c_nationkey % 2 = 0 AS llm_integrated, CASE WHEN c_nationkey % 2 = 0 THEN 'openai|cohere' ELSE 'openai' END AS providers, (c_nationkey % 3)::BIGINT AS n_findings FROM customer",
     "a17_credentials": f"SELECT {_WHO}[c_custkey % 4 + 1] AS provider, left(sha256('k-' || c_name), 16) AS fingerprint, 's' || c_custkey AS sha256, c_mktsegment AS package FROM customer WHERE c_custkey % 4 < 3",
     "a22_markdown_report": f"WITH {_REPORTS} SELECT app_id, md5(report) AS digest FROM reports",
     "a26_aggregate_lines": f"WITH c AS (SELECT c_mktsegment AS category, count(*) FILTER (c_acctbal > 0) AS successes, count(*) AS n FROM customer GROUP BY 1), i AS (SELECT *, {_interval()} FROM c) SELECT 'severity' AS category_kind, category, successes::VARCHAR AS successes, n::VARCHAR AS n, {_FOUR} FROM i",
     "a30_outputs": f"WITH {_REPORTS} SELECT app_id AS slug, md5(report || chr(10)) AS digest FROM reports",
+    "a30_report_files": f"WITH {_REPORTS} SELECT app_id, md5(report) AS digest FROM reports",
     "a31_publication": f"WITH {OUTCOMES} SELECT fingerprint, provider, valid, state, '2026-08-01' AS checked_at FROM outcomes",
     "a31_strings": "SELECT CASE WHEN page_id % 2 = 0 THEN 'asset' ELSE 'dex' END AS container, md5(html) AS digest FROM pages",
     "a32_confusion_text": f"""WITH m AS (SELECT count(*) FILTER (f AND t) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (NOT f AND t) AS fn, count(*) FILTER (NOT f AND NOT t) AS tn FROM (SELECT length(text) > 1500 AS f, quality = 1 AS t FROM documents JOIN labels USING (doc_id)) WHERE t IS NOT NULL),
