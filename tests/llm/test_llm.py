@@ -358,6 +358,41 @@ def test_bootstrap_finds_what_the_rules_miss(spark, none):
     assert contexts.personal_data(none).count() == 0
 
 
+def plain_scores(mentions, rounds, support, threshold):
+    """Pattern scores by loops over patterns and instances; mentions are (pattern, string, kind) with '' for no seed."""
+    n = collections.Counter((p, s) for p, s, _ in mentions)
+    kinds = collections.defaultdict(set)
+    for _, s, kind in mentions:
+        if kind:
+            kinds[s].add(kind)
+    sure, best = {(s, k) for s in kinds for k in kinds[s]}, {}
+    for _ in range(rounds):
+        proposed = {(p, k) for p, s in n for t, k in sure if s == t}
+        value = {(p, k, s): (float(k in kinds[s]) if s in kinds else best.get((s, k), 0.0)) for p, k in proposed for q, s in n if p == q}
+        scores = {}
+        for p, k in proposed:
+            own = [(math.log1p(n[p, s]), v) for (q, j, s), v in value.items() if (q, j) == (p, k)]
+            scores[p, k] = sum(w * v for w, v in own) / (sum(w for w, _ in own) + support)
+        best = {}
+        for p, k, s in value:
+            if s not in kinds:
+                best[s, k] = max(best.get((s, k), 0.0), scores[p, k])
+        sure = {(s, k) for s in kinds for k in kinds[s]} | {key for key, v in best.items() if v >= threshold}
+    return scores
+
+
+def test_pattern_scores_against_loops(spark):
+    rng = random.Random(7)
+    patterns = [(f"b{k}", f"=f{k % 3}", f"a{k % 2}") for k in range(9)]
+    seeds = {f"s{k}": rng.choice(["email", "phone", ""]) for k in range(40)}
+    mentions = [(rng.choice(patterns), s, seeds[s] if rng.random() < 0.8 else "") for s in rng.choices(list(seeds), k=260)]
+    seen = spark.createDataFrame([(*p, s, k) for p, s, k in mentions], "before string, form string, after string, string string, kind string")
+    for rounds, threshold in ((1, 0.5), (3, 0.3), (3, 0.6)):
+        got = {((r["before"], r["form"], r["after"]), r["kind"]): r["score"] for r in contexts.score_patterns(seen, rounds, 3, threshold).collect()}
+        want = plain_scores(mentions, rounds, 3, threshold)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_bootstrap_finds_other_forms(spark):
     """Forms that no base rule has, by left or right context; instances of one context lead to another one; long ones too."""
     texts = [f"please call +1 (487) 555-{n} soon" for n in range(1000, 1080)] + [f"please mail p{n}@mail.example.com soon" for n in range(40)]
@@ -408,6 +443,18 @@ def test_weak_parts_need_a_partner(spark, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_endpoints_of_any_ending_and_length():
+    weak = "Zq8x" * 6
+    long = ".".join(f"l{k}" for k in range(40)) + ".internal"
+    for endpoint in ("https://a.b/c", "postgresql+async://db:1/x", "api.service.ai", "db.prod.local:5432", "host.example:80", "10.0.0.7:8443", long, "xn--bcher-kva.shop.museum", "S3.EU.Example"):
+        found = [p for p in secrets.scan(f"see {endpoint} {weak}")[1] if p[3] == "endpoint"]
+        assert found == [(4, "", 4 + len(endpoint), "endpoint")], endpoint
+    for other in ("two.words", "e.g. this", "1.2.3.4", "joe@mail.example.com", "v1.2.3", "a..b.c", "3.14:x"):
+        assert not [p for p in secrets.scan(f"see {other} {weak}")[1] if p[3] == "endpoint"], other
+    for hostile in ("a." * 200_000, "a-" * 200_000 + ".", "x" * 400_000 + "://", "a.b." * 100_000 + "9"):
+        secrets.scan(hostile)
+
+
 def test_scopes_at_every_alignment(spark):
     """Both orders, several gaps, all places in a bin: the bins lose no pair that the interval condition admits."""
     scope, rows = 20, []

@@ -37,7 +37,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SHORT_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}(?![A-Za-z0-9])")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 SHORT_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,15}(?![A-Za-z0-9])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]{3,}+|(?<![A-Za-z0-9.@-])[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){1,5}\.(?:com|net|org|io|cloud|dev)(?![A-Za-z0-9-])")
+# Endpoints: anything with a scheme; hosts of three labels or more whose last one has letters alone, as endings have; hosts of two and addresses if a port follows. Each begins where a run of its signs does, which keeps the search linear.
+ENDPOINT = re.compile(
+    r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]{3,}+"
+    r"|(?<![A-Za-z0-9.@_-])(?:[A-Za-z0-9][A-Za-z0-9-]*+\.){2,}+[A-Za-z]{2,}+(?::[0-9]{1,5}+)?+(?![A-Za-z0-9-])"
+    r"|(?<![A-Za-z0-9.@_-])(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)++(?:[A-Za-z]{2,}+|[0-9]{1,3}+):[0-9]{1,5}+(?![A-Za-z0-9-])"
+)
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SHORT_ASSIGN = 6  # characters of an assigned value that is at least a weak part
 
@@ -81,7 +86,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
             parts.append((a, kind, b, role))
             done = b
     parts += [(a, "", b, "identifier" if kind == "access" else "secret") for a, kind, b in base]
-    if "." in text:
+    if "." in text or "://" in text:
         parts += [(m.start(), "", m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     return base, parts
 
