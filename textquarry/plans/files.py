@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry import rules
@@ -10,9 +11,9 @@ from textquarry.operators import detectors as D
 from textquarry.plans.corpus import INDEX, OUTCOMES, SIGNALS, STORE, _interval, _outcomes, index
 from textquarry.plans.detection import _HOSTS
 from textquarry.plans.overlay import read
-from textquarry.sources.report_files import write_reports
 from textquarry.sources import renderers as R
 from textquarry.sources import tables as T
+from textquarry.sources.report_files import write_reports
 from textquarry.sources.staging import new_folder, staged
 from textquarry.streaming import runs as J
 
@@ -180,9 +181,13 @@ _LEDGER = "CASE WHEN c_nationkey % 6 = 0 THEN 'scanned' WHEN c_nationkey % 6 = 1
 _CAME = "CASE c_custkey % 4 WHEN 0 THEN c_name || ' https://api.openai.com/v1' WHEN 1 THEN c_name || ' com/anthropic/x' ELSE c_name END AS content", "CASE WHEN c_nationkey % 7 = 2 THEN 'BadZipFile: broken' END AS error"
 
 
-def _run(spark, d, limit=None):
+def _enrolled(spark, d):
+    return read(spark, d, "customer").selectExpr("concat('u', c_custkey) AS sha256", *_LEDGER)
+
+
+def _run(spark, d, limit=None, ledger=None):
     people = read(spark, d, "customer").withColumn("sha256", F.concat(F.lit("u"), "c_custkey"))
-    ledger = people.selectExpr("sha256", *_LEDGER)
+    ledger = _enrolled(spark, d) if ledger is None else ledger
     manifest = people.selectExpr("sha256", "cast(c_custkey % 97 * 1000 AS bigint) AS apk_size")
     came = people.filter("c_nationkey % 5 <> 4").selectExpr("sha256 AS app_id", "0 AS source_idx", "'classes.dex' AS source_file", *_CAME)
     light = lambda s: D.scan(s, scanners=(), keep=staged)
@@ -200,10 +205,14 @@ def j8_poison_isolation(spark, d):
 
 
 def j7_resume(spark, d):
-    """The ledger after a run of 50 applications and one of the rest: nothing is scanned twice."""
+    """The events of a run of 50 applications and of one that its ledger feeds: what was scanned isn't pending, what failed is tried again."""
     first = _run(spark, d, 50).outcomes
-    second = _run(spark, d).outcomes.join(first.filter("event = 'scanned'").select("sha256"), "sha256", "left_anti")
-    return J.events(first, F.lit(1), 1).unionByName(J.events(second, F.lit(2), 2)).groupBy("event").agg(F.count_distinct("sha256").alias("n"))
+    failed = F.col("event").isin(C.DOWNLOAD_FAILED, C.SCAN_FAILED).cast("int")
+    after = _enrolled(spark, d).join(first.select("sha256", "event"), "sha256", "left").select("sha256", F.coalesce("event", "state").alias("state"), (F.col("attempts") + F.coalesce(failed, F.lit(0))).alias("attempts"))
+    second = _run(spark, d, ledger=after).outcomes
+    both = J.events(first, F.lit(1), 1).unionByName(J.events(second, F.lit(2), 2))
+    twice = F.count_if(F.col("event") == C.SCANNED).over(W.partitionBy("sha256"))
+    return both.withColumn("_scans", twice).filter("_scans <= 1").groupBy("event").agg(F.count_distinct("sha256").alias("n"))
 
 
 def d26_run_totals(spark, d):
