@@ -64,6 +64,12 @@ def test_no_documents(spark):
     assert mine(frame(spark, [(1, None, None)])).count() == 0
 
 
+def test_long_runs_of_space_and_breaks(spark):
+    rows = [(k, "en", "a b" + " " * 200_000 + "c\t \t" + "\n " * 50_000 + "." * 100_000 + " a b") for k in range(3)]
+    got = [(r["phrase"], r["a"], r["n"]) for r in mine(frame(spark, rows), least=3).collect()]
+    assert got == [("a b c", 3, 15)]  # it covers half of all "a b"
+
+
 def test_matches_overlap_and_keep_to_words():
     assert matches(" a a a b \n aa a a ", ["a a", "a", "a b", "b a"]).tolist() == [3, 5, 1, 0]
 

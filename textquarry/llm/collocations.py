@@ -3,8 +3,9 @@
 A sketch of all phrases' counts, by language, gives upper bounds; the phrases of a
 shard of text whose bound reaches the least count compile into an automaton, each
 between spaces, which scans the shard and counts all matches, overlapping ones
-too (single words, which are parts only, are counted as they come). Counts are summed over the shards, and then only are thresholds applied, so
-what the sketch lets through needlessly costs time, not correctness.
+too (single words, which are parts only, are counted as they come). Counts are
+summed over the shards, and then only are thresholds applied, so what the sketch
+lets through needlessly costs time, not correctness.
 
 The sketch is distributed (see `exchange`): its cells grow with the texts, and a
 shard asks for its own phrases' bounds only. An automaton is as large as its
@@ -37,7 +38,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(UPPER.encode() + ENDS + b"\t", UPPER.lower().encode() + b"\n" * len(ENDS) + b" ")
 #: Between pieces, as a word of its own.
 BREAK = b"\n"
-GAPS, SPACES = re.compile(rb"[ \n]*\n[ \n]*"), re.compile(rb"  +")
+SPACES, GAPS = re.compile(rb"  +"), re.compile(rb" ?\n[ \n]*")
 #: Single words meet their phrases in so many tasks.
 SALTS = 32
 
@@ -62,7 +63,7 @@ def sharded(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in slices(batches, 16):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rest = SPACES.sub(b" ", GAPS.sub(BREAK, text.encode().translate(FOLDED))).strip(b" \n")
+                rest = GAPS.sub(BREAK, SPACES.sub(b" ", text.encode().translate(FOLDED))).strip(b" \n")
                 while rest:
                     end = rest.find(BREAK, size)  # only a text that fills a shard by itself is cut
                     part, rest = (rest, b"") if end < 0 else (rest[:end], rest[end + 1 :])
@@ -163,7 +164,7 @@ def scored(counts: DataFrame, fewest: int, most: int, covered: int) -> DataFrame
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(fewest), F.col("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("words") - n + 1), lambda i: joined(i, n)))))
     longer = phrases.filter(F.col("words") > fewest).select("lang", "a", inner.alias("phrase")).select("lang", "phrase", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("bigint").alias("f"), F.col("a").alias("longer"))
     whole = met.unionByName(longer).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("longer").alias("longer"), *(F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f"))).alias(f"{side}{k}") for k in range(1, most) for side in "lr"))
-    whole = whole.filter("longer is null").unionByName(whole.filter(f"100 * cast(longer as decimal(20)) < {int(covered)} * cast(a as decimal(20))"))
+    whole = whole.filter(f"longer is null or 100 * cast(longer as decimal(20)) < {int(covered)} * cast(a as decimal(20))")
     score = [F.when(F.col(f"l{k}").isNotNull(), F.struct(F.expr(f"(1000000 * cast(a as decimal(16)) * cast(a as decimal(16))) div (cast(l{k} as decimal(19)) * cast(r{k} as decimal(19)))").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, most)]
     best = F.array_min(F.array_compact(F.array(*score)))
     return whole.withColumn("best", best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
