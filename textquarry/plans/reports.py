@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textquarry import rules
 from textquarry.functions import scalars as S
 from textquarry.operators import detectors as D
-from textquarry.plans.detection import _RAG_SQL, INTEGRATION, LEX, PROVIDERS
-from textquarry.plans.overlay import read, sources
+from textquarry.plans.detection import _RAG_SQL, EVERY, INTEGRATION, LEX, PROMPTS, PROVIDERS
+from textquarry.plans.overlay import SOURCES, read, sources
 from textquarry.sources import tables as T
 from textquarry.sources.report_files import write_reports
 from textquarry.sources.staging import new_folder
@@ -71,11 +72,21 @@ _NL = " || chr(10) || "
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _REDACTED = "CASE WHEN length({0}) <= {1} THEN {0} ELSE left({0}, {1} // 2) || '…' || right({0}, {1} // 4) END"
 
+#: tools(app_id, source_idx, rule_idx, evidence): objects here lie in one line, so a line's rest from the nearest brace on is the object
+_TOOLS = f"""tools AS (SELECT app_id, source_idx, 0 AS rule_idx, regexp_extract(content, '\\{{[^\\n{{]*"type"\\s*:\\s*"function"\\s*,\\s*"function"[^\\n]*') AS evidence FROM sources WHERE regexp_matches(content, '{rules.TOOL_FULL}')
+ UNION ALL SELECT app_id, source_idx, 1, regexp_extract(content, '\\{{[^\\n{{]*"input_schema"[^\\n]*') FROM sources WHERE regexp_matches(content, '{rules.TOOL_INPUT}')
+ UNION ALL SELECT app_id, source_idx, 2, substr(content, length(regexp_extract(content, '(?s)^(.*?){rules.TOOL_SHORT}', 1)) + 1, 80) FROM sources WHERE regexp_matches(content, '{rules.TOOL_SHORT}') AND NOT regexp_matches(content, '{rules.TOOL_FULL}'))"""
+
 QUERIES = {f.__name__: f for f in (h11_match_offsets, h20_ascii_strings, a13_a21_result_documents, a22_scan_report, a23_html_report, a27_findings_details)}
 ORACLE_SQL = {
     "h11_match_offsets": f"""WITH {_RAG_SQL}, parts AS (SELECT app_id, source_idx, rule_idx, regexp_extract_all(content, re) AS found, regexp_split_to_array(content, re) AS rest FROM sources, contents),
  each AS (SELECT *, unnest(range(1, len(found) + 1)) AS h FROM parts)
  SELECT app_id, source_idx, rule_idx, (h - 1)::INT AS hit_idx, (list_sum(list_transform(rest[1:h], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:h - 1], lambda x: length(x))), 0))::INT AS "offset", found[h] AS matched FROM each""",
+    "i7_tool_schemas": f"""WITH {SOURCES}, {_TOOLS} SELECT app_id, source_idx, rule_idx, CASE WHEN rule_idx = 2 THEN 0.4 WHEN NOT json_valid(evidence) THEN 0.5 WHEN json_extract_string(evidence, '$.type') = 'function' AND json_extract_string(evidence, '$.function.name') IS NOT NULL AND json_exists(evidence, '$.function.parameters')
+  OR json_extract_string(evidence, '$.name') IS NOT NULL AND json_extract_string(evidence, '$.input_schema.type') = 'object' THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN rule_idx < 2 THEN json_valid(evidence) END AS parsed_ok,
+  CASE WHEN rule_idx < 2 THEN CASE WHEN json_extract_string(evidence, '$.type') = 'function' THEN json_extract_string(evidence, '$.function.name') ELSE json_extract_string(evidence, '$.name') END END AS tool_name FROM tools""",
+    "i10_scan_app": f"""WITH {EVERY}, {PROVIDERS}, {INTEGRATION}, {PROMPTS}, {_TOOLS}, once AS (SELECT DISTINCT app_id, kind, provider, evidence FROM every UNION ALL SELECT DISTINCT app_id, 'system_prompt', NULL, left(run, 200) FROM prompts WHERE score >= {rules.PROMPT_THRESHOLD} UNION ALL SELECT DISTINCT app_id, 'tool_schema', NULL, left(evidence, 300) FROM tools),
+ by_kind AS (SELECT app_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in rules.KINDS)} FROM once GROUP BY 1) SELECT c.*, confirmed, providers FROM by_kind c LEFT JOIN integ USING (app_id) LEFT JOIN prov USING (app_id)""",
     "h20_ascii_strings": "SELECT doc_id, len(f) AS n, md5(array_to_string(f, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[\\x20-\\x7e\\t]{4,}') AS f FROM documents)",
     "a13_a21_result_documents": "SELECT 'Ä' || k AS app_id, max(c_name) AS pkg_name, count(*) AS n_findings, min(c_acctbal) AS least FROM (SELECT *, c_custkey % 40 AS k FROM customer) WHERE k % 8 <> 3 GROUP BY k",
     "a22_scan_report": f"""WITH {_FOUND}, lined AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY o, evidence) AS i FROM findings),
