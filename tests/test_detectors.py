@@ -1,6 +1,9 @@
 """Detectors, deduplication and the whole scan on seeded texts."""
 
+from pyspark.sql import functions as F
+
 from textquarry.operators import detectors as D
+from textquarry.operators.tools import find_tools
 
 ROWS = [
     ("a", 0, "assets/x.txt", "see https://api.openai.com/v1/chat/completions and API.OPENAI.COM"),
@@ -28,12 +31,10 @@ def test_integration(spark):
     assert got == {"a": (True, True), "b": (True, False)}
 
 
-def test_tool_schemas():
-    got = D.tool_schemas_in(ROWS[4][3])
-    assert [(t["tool_name"], t["confidence"]) for t in got] == [("f", 0.95), ("g", 0.95), (None, 0.4)]
-    broken = D.tool_schemas_in('{"type": "function", "function": {"name": "f", oops}}')
-    assert broken[0]["confidence"] == 0.5
-    assert D.enclosing_object("a { b", 5) is None
+def test_tool_schemas(spark):
+    find = lambda x: spark.createDataFrame([(x,)], "text string").select(find_tools(F.col("text")).alias("t")).first()["t"]
+    assert [(t["tool_name"], t["confidence"]) for t in find(ROWS[4][3])] == [("f", 0.95), ("g", 0.95), (None, 0.4)]
+    assert find('{"type": "function", "function": {"name": "f", oops}}')[0]["confidence"] == 0.5
 
 
 def test_rag(spark):

@@ -7,12 +7,10 @@ of matches are shuffled by application, never the texts.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Protocol
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from textquarry import rules
 from textquarry.functions import scalars as S
 from textquarry.operators import matching as M
+from textquarry.operators.tools import TOOL, find_tools
 from textquarry.sources.staging import staged
 
 KEYS = ["app_id", "source_idx", "source_file"]
@@ -168,70 +167,8 @@ def prompt_findings(sources: DataFrame, threshold: float = rules.PROMPT_THRESHOL
     return _prompt_findings(prompt_scores(sources, strong_only=threshold > rules.WEAK_CEILING), threshold)
 
 
-def enclosing_object(text: str, at: int) -> str | None:
-    """The object from the nearest { before a position to the } that balances it; braces in strings count too."""
-    start = text.rfind("{", 0, at)
-    depth = 0
-    for k in range(start, len(text)) if start >= 0 else ():
-        depth += (text[k] == "{") - (text[k] == "}")
-        if not depth:
-            return text[start : k + 1]
-    return None
-
-
-def is_real_tool(x: object) -> bool:
-    if not isinstance(x, dict):
-        return False
-    function, schema = x.get("function"), x.get("input_schema")
-    if x.get("type") == "function" and isinstance(function, dict) and isinstance(function.get("name"), str) and "parameters" in function:
-        return True
-    return isinstance(x.get("name"), str) and isinstance(schema, dict) and schema.get("type") == "object"
-
-
-def tool_schemas_in(text: str) -> list[dict]:
-    """Tool definitions of one source; fragments at places where nothing fuller was found count for little."""
-    import re
-
-    out, objects, places = [], set(), set()
-    for k, pattern in enumerate((rules.TOOL_FULL, rules.TOOL_INPUT)):
-        for m in re.finditer(pattern, text):
-            own = enclosing_object(text, m.start())
-            if own is None or own in objects:
-                continue
-            objects.add(own)
-            places.add(m.start())
-            try:
-                parsed = json.loads(own)
-            except ValueError:
-                parsed = None
-            name = None
-            if isinstance(parsed, dict):
-                inner = parsed.get("function")
-                name = (inner if isinstance(inner, dict) else {}).get("name") if parsed.get("type") == "function" else parsed.get("name")
-            confidence = 0.95 if is_real_tool(parsed) else 0.7 if parsed is not None else 0.5
-            out.append({"offset": m.start(), "rule_idx": k, "evidence": own[:300], "confidence": confidence, "parsed_ok": parsed is not None, "tool_name": name if isinstance(name, str) else None})
-    for m in re.finditer(rules.TOOL_SHORT, text):
-        if m.start() not in places:
-            out.append({"offset": m.start(), "rule_idx": 2, "evidence": text[m.start() : m.start() + 80], "confidence": 0.4, "parsed_ok": None, "tool_name": None})
-    return out
-
-
-TOOL = "array<struct<offset:int,rule_idx:int,evidence:string,confidence:double,parsed_ok:boolean,tool_name:string>>"
-
-
-def find_tools(text: Column) -> Column:
-    """Tool schemas (TOOL) of a text; brace matching needs Python. A null text, which is not looked at, has none."""
-    kind = pa.list_(pa.struct([("offset", pa.int32()), ("rule_idx", pa.int32()), ("evidence", pa.string()), ("confidence", pa.float64()), ("parsed_ok", pa.bool_()), ("tool_name", pa.string())]))
-
-    @F.arrow_udf(TOOL)
-    def find(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else tool_schemas_in(x) for x in texts.to_pylist()], kind)
-
-    return find(text)
-
-
 def tool_schemas(sources: DataFrame) -> DataFrame:
-    """Tool schemas; only sources with a trace of one get to Python."""
+    """Tool schemas of the sources with a trace of one."""
     some = sources.filter(F.col("content").rlike(rules.TOOL_SHORT) | F.col("content").rlike(rules.TOOL_INPUT))
     return some.select(*KEYS, F.posexplode_outer(find_tools(F.col("content"))).alias("hit_idx", "t")).filter("t is not null").select(*KEYS, "hit_idx", "t.*")
 
