@@ -115,9 +115,9 @@ def firsts(rows: DataFrame, bucket: Column, order: list, k: int) -> DataFrame:
 
 
 def hash_firsts(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """The first k rows by a hash of columns, of which about a millionth of all rows share a bucket."""
+    """The first k rows by a hash of columns, whose 16,384 buckets are alike in size."""
     drawn = F.xxhash64(*columns)
-    return firsts(rows, F.shiftright(drawn, 44), [drawn, *columns], k)
+    return firsts(rows, F.shiftright(drawn, 50), [drawn, *columns], k)
 
 
 def slices(batches, rows: int = 400, made: bool = False):
