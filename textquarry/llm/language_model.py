@@ -22,6 +22,8 @@ are not used.
 
 from __future__ import annotations
 
+import collections
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bpe import Kept
-from textquarry.llm.common import WORD_REGEX, ascii_lower, firsts, hash_firsts, slices, staged, table, text_or_empty
+from textquarry.llm.common import ascii_lower, firsts, hash_firsts, slices, staged, table, text_or_empty
 
 #: Words with a class of their own; classes of the rest; latent states; tokens of a training segment.
 FREQUENT, SHARED, STATES, SEGMENT = 16_384, 512, 8, 32
 SMOOTH = 0.1
+#: Different words that a task counts before it hands their counts on.
+COUNTED = 400_000
 
 
 @dataclass
@@ -63,8 +67,9 @@ class Vocabulary:
         return self.total + SMOOTH * (self.distinct + 1)
 
 
-def shared_class(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % SHARED
+def shared_class(last: str) -> int:
+    """By a word's last two letters."""
+    return zlib.crc32(last.encode()) % SHARED
 
 
 def rows_of(docs: DataFrame, held_out_tenth: bool = True) -> DataFrame:
@@ -74,10 +79,26 @@ def rows_of(docs: DataFrame, held_out_tenth: bool = True) -> DataFrame:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Counts of all words of the training rows, with each word's shared class."""
-    words = rows.filter(~F.col("held_out")).select(F.explode(F.regexp_extract_all("text", F.lit(WORD_REGEX), F.lit(0))).alias("word"))
+    """Counts of all words of the training rows, with each word's shared class; counted within tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: collections.Counter = collections.Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                seen.update(text.encode().split())
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    words = rows.filter(~F.col("held_out")).select("text").mapInArrow(count, "word string, c bigint")
     own = F.pmod(F.crc32(F.right("word", F.lit(2)).cast("binary")), F.lit(SHARED)).cast("int")
-    return words.groupBy("word").agg(F.count("*").alias("c")).withColumn("class", own)
+    return words.groupBy("word").agg(F.sum("c").alias("c")).withColumn("class", own)
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -110,7 +131,7 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = shared.value
-        classes = Kept(lambda w: FREQUENT + shared_class(w), 400_000)
+        ends = Kept(lambda last: FREQUENT + shared_class(last), 400_000)
         frequent = {w: k for w, (k, _) in v.frequent.items()}
         logs = np.log10(np.array([c for _, c in v.frequent.values()] or [0.0]) + SMOOTH) - np.log10(max(v.norm, SMOOTH))
         end = np.log10(v.ends + SMOOTH) - np.log10(v.norm)
@@ -118,12 +139,13 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
             out = []
             for x in batch.to_pylist():
                 words = x.encode().split()
-                own = list(map(frequent.get, words))
-                rare = [w for w, k in zip(words, own, strict=True) if k is None]
-                known = [k for k in own if k is not None]
-                full = [classes[w] if k is None else k for w, k in zip(words, own, strict=True)] if rare else own
-                ids = np.array([*full, v.end], "<u2")
-                out.append({"classes": ids.tobytes(), "n_tokens": len(ids), "base": float(logs[known].sum() + end), "known": len(known) + (v.ends > 0), "rare": [w.decode() for w in rare]})
+                own = np.fromiter(map(frequent.get, words, itertools.repeat(-1)), np.int64, len(words))
+                gone = np.flatnonzero(own < 0).tolist()
+                rare, known = [words[k].decode() for k in gone], own[own >= 0]
+                if gone:
+                    own[gone] = [ends[w[-2:]] for w in rare]
+                ids = np.append(own, v.end).astype("<u2")
+                out.append({"classes": ids.tobytes(), "n_tokens": len(ids), "base": float(logs[known].sum() + end), "known": len(known) + (v.ends > 0), "rare": rare})
             yield pa.array(out, kind)
 
     return rows.select("doc_id", "_row", "held_out", F.arrow_udf(encode, ENCODED)(F.col("text")).alias("_e")).select("doc_id", "_row", "held_out", "_e.*")
