@@ -9,7 +9,7 @@ from textquarry.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each group; the rest are compared by the driver.
-SOME = ["a7_index_read", "a32_evidence_text", "j1_bounded_run", "j9_retention", "d16_finding_counters", "d17_prevalence", "j1_event_stream", "i1_lexical_endpoints", "b3_llm_confirmed", "e1_dedup_findings", "i8_rag_paths", "h15_classify_prompt", "h2_ai_signals", "e2_dedup_by_package", "e6_largest_remainder", "l1_stratified_sample", "j2_ledger_state", "c3_confusion", "d11_credential_summary", "d5_by_provider_and_kind", "h30_wilson", "f7_content_order", "i6_prompt_components", "is_credentials", "d18_sensitivity_of_findings", "h11_match_offsets", "a13_a21_result_documents", "j2_state_stream_totals", "a18_d25_audit_tally"]
+SOME = ["a7_index_read", "a32_evidence_text", "j1_bounded_run", "j9_retention", "d16_finding_counters", "d17_prevalence", "j1_event_stream", "i1_lexical_endpoints", "b3_llm_confirmed", "e1_dedup_findings", "i8_rag_paths", "h15_classify_prompt", "h2_ai_signals", "e2_dedup_by_package", "e6_largest_remainder", "l1_stratified_sample", "j2_ledger_state", "c3_confusion", "d11_credential_summary", "d5_by_provider_and_kind", "h30_wilson", "f7_content_order", "i6_prompt_components", "d18_sensitivity_of_findings", "h11_match_offsets", "a13_a21_result_documents", "j2_state_stream_totals", "a18_d25_audit_tally"]
 
 
 def plain(x):
