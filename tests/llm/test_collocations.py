@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from textquarry.llm import collocations
@@ -87,3 +88,44 @@ def test_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(map(tuple, collocations.op12_phrase_collocations(spark, sf).collect())) == sorted(con.execute(collocations.PHRASE_SQL).fetchall())
+
+
+def test_automata_and_shards_stay_small(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(collocations, "AT_ONCE", 7)
+    monkeypatch.setattr(collocations, "matches", lambda body, phrases: asked.append(len(phrases)) or matches(body, phrases))
+    words = [b"a", b"b", b"a", b"b", b"\n", b"a", *(b"w%d" % k for k in range(40))]
+
+    class Shards:
+        """Stands for one shard, whose keys are all wanted."""
+
+        sparkSession = None
+
+        def __getattr__(self, _):
+            return lambda *a, **_: self
+
+        def mapInArrow(self, scan, _):  # noqa: N802
+            row = {"lang": "en", "body": f" {b' '.join(words).decode()} "}
+            cells = collocations.Cells(collocations.phrases(row, 3)[2], 1, False)
+            row["marks"] = [{"block": 0, "bits": b"\xff" * len(cells.counts)}]
+            self.rows = [r for b in scan([pa.RecordBatch.from_pylist([row])]) for r in b.to_pylist()]
+            return self
+
+    shards = Shards()
+    monkeypatch.setattr(collocations, "frequent", lambda *_: shards)
+    monkeypatch.setattr(collocations, "staged", lambda df: df)
+    collocations.phrase_counts(shards, 3, 10, 1)
+    want = collections.Counter(w for n in (1, 2, 3) for i in range(len(words) - n + 1) if b"\n" not in (w := tuple(words[i : i + n])))
+    assert {r["phrase"]: (r["words"], r["a"]) for r in shards.rows} == {b" ".join(w).decode(): (len(w), a) for w, a in want.items()}
+    assert len(shards.rows) == len(want)
+    assert len(asked) > 10
+    assert max(asked) <= 7
+    assert collocations.grain(10**12, collocations.MOST_SHARD, collocations.MOST_BLOCK)[0] <= 4_000_000
+
+
+def test_short_names_differ():
+    words = [b"%d" % k for k in range(70_000)]
+    names = list(collocations.short_names([*words[:5], b"\n", *words[5:]]))
+    assert names[5] == "\n"
+    assert len(set(names)) == 70_001
+    assert [len(names[k]) for k in (0, 64, 65, 64 + 64**2)] == [1, 1, 2, 2]

@@ -8,8 +8,9 @@ summed over the shards, and then only are thresholds applied, so what the sketch
 lets through needlessly costs time, not correctness.
 
 The sketch is distributed (see `exchange`): its cells grow with the texts, and a
-shard asks for its own phrases' bounds only. An automaton is as large as its
-shard's text at most. Parts' counts are joined by (lang, part); single words,
+shard asks for its own phrases' bounds only. A shard has 4 MB of text however large
+the texts are, and an automaton takes so many of its phrases at a time, spelt by
+short names of their words; so what a task holds doesn't grow. Parts' counts are joined by (lang, part); single words,
 whose phrases may be many, are salted.
 
 Defined cases: a null text is empty, a null lang is `und`; repeated rows and equal
@@ -21,6 +22,7 @@ are not used; an empty table gives no rows.
 from __future__ import annotations
 
 import collections
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,6 +41,12 @@ FOLDED = bytes.maketrans(UPPER.encode() + ENDS + b"\t", UPPER.lower().encode() +
 #: Between pieces, as a word of its own.
 BREAK = b"\n"
 SPACES, GAPS = re.compile(rb"  +"), re.compile(rb" ?\n[ \n]*")
+#: Bytes of text in a shard, and in a block's share of the texts, at most: a worker's keys of a shard take some 50 times that for a while.
+MOST_SHARD, MOST_BLOCK = 4_000_000, 16_000_000
+#: Phrases in an automaton; each takes some hundred bytes and more.
+AT_ONCE = 200_000
+#: Letters of short names.
+LETTERS = [chr(k) for k in range(ord("!"), ord("!") + 64)]
 #: Single words meet their phrases in so many tasks.
 SALTS = 32
 
@@ -114,14 +122,28 @@ def matches(body: str, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter((k for _, k in automaton.iter(body)), np.int64), minlength=len(phrases))
 
 
+def short_names(words: list[bytes]) -> Iterator[str]:
+    """A name for each of distinct words, none twice: the first have one letter, the next two, and so on; a break stays one."""
+    names = ("".join(x) for n in itertools.count(1) for x in itertools.product(LETTERS, repeat=n))
+    return ("\n" if word == BREAK else next(names) for word in words)
+
+
+def different(at: np.ndarray, n: int, numbers: np.ndarray) -> np.ndarray:
+    """Places of phrases of n words in the order of their words' numbers, each phrase once."""
+    at = at[np.lexsort([numbers[at + k] for k in reversed(range(n))])]
+    new = np.ones(len(at), bool)
+    new[1:] = np.any([numbers[at[1:] + k] != numbers[at[:-1] + k] for k in range(n)], axis=0)
+    return at[new]
+
+
 def phrase_counts(shards: DataFrame, most: int, least: int, blocks: int) -> DataFrame:
     """(lang, phrase, words, a) of all phrases of 1 to `most` words that occur `least` times or more in their language."""
     if least > 255:
         raise ValueError("sums in the exchange tell counts up to 255 apart")
     marks = frequent(shards, lambda row: phrases(row, most, False)[2], least, blocks, False)
 
-    def counted(lang: str, named: dict[str, int], counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named, pa.string()), pa.array(named.values(), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
+    def counted(lang: str, n: int, named: list[str], counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named, pa.string()), pa.array([n] * len(named), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -129,19 +151,21 @@ def phrase_counts(shards: DataFrame, most: int, least: int, blocks: int) -> Data
                 words, places, keys = phrases(row, most)
                 wanted, first = Cells(keys, blocks, False).distinct(row["marks"]), 0
                 del keys
+                every = collections.Counter(words)
+                number = {word: k for k, (word, _) in enumerate(every.most_common())}
+                numbers = np.fromiter((number[word] for word in words), np.int32, len(words))
+                names = list(short_names(list(number)))
+                spelt = [names[k] for k in numbers.tolist()]
+                body = f" {' '.join(spelt)} "
+                del number, names
                 for n, at in enumerate(places, 1):
-                    of_size = at[wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + len(at))] - first].tolist()
+                    of_size = different(at[wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + len(at))] - first], n, numbers)
                     first += len(at)
-                    if n == 1:  # single words are parts of candidates, not candidates
-                        every = collections.Counter(words)
-                        found = {words[k]: every[words[k]] for k in of_size}
-                        del every
-                        yield counted(row["lang"], {word.decode(): 1 for word in found}, list(found.values()))
-                        named: dict[str, int] = {}
-                    else:
-                        named |= {b" ".join(words[k : k + n]).decode(): n for k in of_size}
-                if named:
-                    yield counted(row["lang"], named, matches(row["body"], list(named)))
+                    for k in range(0, len(of_size), AT_ONCE):
+                        part = of_size[k : k + AT_ONCE].tolist()
+                        # single words are parts of candidates, not candidates
+                        counts = [every[words[k]] for k in part] if n == 1 else matches(body, [" ".join(spelt[k : k + n]) for k in part])
+                        yield counted(row["lang"], n, [b" ".join(words[k : k + n]).decode() for k in part], counts)
 
     found = shards.join(marks, "shard").select("lang", "body", "marks").mapInArrow(scan, "lang string, phrase string, words int, a bigint")
     return staged(found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
@@ -177,7 +201,7 @@ def collocations(docs: DataFrame, fewest: int = 2, most: int = 3, least: int = 1
     floor(1000000 a a / (l r)) of its lowest-scoring cut in two, and a candidate
     within a longer one that has `covered` percent of its occurrences is dropped.
     """
-    size, blocks = grain(text_bytes(docs))
+    size, blocks = grain(text_bytes(docs), MOST_SHARD, MOST_BLOCK)
     shards = sharded(docs, shard_bytes or size)
     counts = phrase_counts(shards, most, least, most * blocks)
     n = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
