@@ -12,6 +12,7 @@ from textquarry.functions import scalars as S
 from textquarry.operators import corpus as C
 from textquarry.operators import prevalence as P
 from textquarry.operators.snapshots import Ledger, export_rows
+from textquarry.plans import logs
 from textquarry.sources import tables as T
 
 
@@ -162,3 +163,22 @@ def test_utf16_strings_are_those_of_a_loop(spark):
     for chunk in (16, 1 << 20):
         got = {r["k"]: r["f"] for r in rows.select("k", S.utf16_strings(F.col("content"), 4, chunk).alias("f")).collect()}
         assert got == {k: None if x is None else utf16_strings(x, 4, chunk) for k, x in enumerate(blobs)}
+
+
+def test_rounded_numbers_against_sql_with_zeros_of_both_signs(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, 900.0 + k, k % 7, 0.05 / 0.7 - e, k % 5, k % 3) for k in range(30) for e in (0.0, 1e-5, 1e-4, -1e-5)] + [(None, None, None, None, None, None)] * 2
+    frame = spark.createDataFrame(rows, "l_orderkey bigint, l_extendedprice double, l_partkey bigint, l_discount double, l_suppkey bigint, l_linenumber bigint")
+    frame.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {r["rounded"]: r["n"] for r in logs.h32_rounding(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(logs.ORACLE_SQL["h32_rounding"]).fetchall())
+    assert {"0.0000", "-0.0000", None} <= set(got)
+
+
+def test_rounding_is_compiled_as_a_whole(spark):
+    plan = spark.range(3).select(S.round_exact(F.col("id") / 7))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    assert "decimal" not in plan
