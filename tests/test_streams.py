@@ -108,3 +108,31 @@ def test_a_killed_batch_counts_for_nothing_until_repeated(spark, tmp_path):
     for k, a in enumerate(apps):
         assert left[a][0] == ("download_failed" if not k % 5 else "scan_failed" if k % 7 == 3 else "scanned")
         assert left[a][1] in ((0,) if a in readable else (1, 2))
+
+
+def test_an_application_costs_one_read_and_one_write(spark):
+    from pyspark.sql import Row
+
+    asked = []
+
+    class Store:
+        """Stands for the state store and the timers."""
+
+        kept = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, *a)) or (self.kept if name == "get" else self.__dict__.update(kept=a[0]) if name == "update" else None)
+
+    processor = machine.Processor(6 * HOUR, 3)
+    processor.init(Store())
+    given = [Row(sha256="a", us=us, seq=seq, event=event) for us, seq, event in ((2_000, 2, "scan_failed"), (1_000, 1, "downloaded"), (1_500, 9, "reset"))]
+    got = [r.asDict() for r in processor.handleInputRows(("a",), iter(given), None)]
+    assert [(r["us"], r["event"], r["before"], r["state"], r["attempts"], r["accepted"]) for r in got] == [(1_000, "downloaded", "pending", "downloaded", 0, True), (1_500, "reset", "downloaded", "downloaded", 0, False), (2_000, "scan_failed", "downloaded", "scan_failed", 1, True)]
+    assert asked == [("get",), ("update", ("scan_failed", 1, 2_000)), ("registerTimer", 6 * HOUR // 1000 + 2)]
+    asked.clear()
+    later = [r.asDict() for r in processor.handleInputRows(("a",), iter([Row(sha256="a", us=6 * HOUR + 2_000, seq=10, event="downloaded")]), None)]
+    assert [(r["seq"], r["event"], r["state"]) for r in later] == [(None, "retry", "pending"), (10, "downloaded", "downloaded")]
+    assert [x[0] for x in asked] == ["get", "update", "deleteTimer"]

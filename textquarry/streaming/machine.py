@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,7 +26,7 @@ FAILED = (DOWNLOAD_FAILED, SCAN_FAILED)
 #: One row an event or retry: the state before and after it, failures so far, and whether it was legal. A rejected event changes nothing.
 TRANSITION = "sha256 string, at timestamp, seq bigint, event string, before string, state string, attempts bigint, accepted boolean"
 _GIVEN = TRANSITION.replace("at timestamp", "us bigint")  # whatever the session's time zone
-_COLUMNS = [x.split()[0] for x in _GIVEN.split(", ")]
+_MADE = Row(*[x.split()[0] for x in _GIVEN.split(", ")])
 
 
 class Machine:
@@ -53,6 +53,8 @@ class Machine:
 
 
 class Processor(StatefulProcessor):
+    """Takes and gives rows: a data frame for each application and trigger costs more than all else."""
+
     def __init__(self, retry_after: int, most: int):
         self.retry_after, self.most = retry_after, most
 
@@ -61,8 +63,7 @@ class Processor(StatefulProcessor):
         self.kept = handle.getValueState("machine", "state string, attempts bigint, failed_at bigint")
 
     def _machine(self) -> Machine:
-        kept = self.kept.get() if self.kept.exists() else (PENDING, 0, -1)
-        return Machine(*kept, self.retry_after, self.most)
+        return Machine(*(self.kept.get() or (PENDING, 0, -1)), self.retry_after, self.most)
 
     def _keep(self, machine: Machine, due: int | None) -> None:
         """Store the state; `due` is when the timer that was set before fires."""
@@ -73,28 +74,21 @@ class Processor(StatefulProcessor):
             if machine.due() is not None:
                 self.handle.registerTimer(-(-machine.due() // 1000))
 
-    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=_COLUMNS)
-        out["seq"] = out["seq"].astype("Int64")
-        return out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        machine, out = self._machine(), []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        machine = self._machine()
         set_before = machine.due()
-        events = [e for part in rows for e in zip(part["us"].tolist(), part["seq"].tolist(), part["event"].tolist(), strict=True)]
-        for at, seq, event in sorted(events):  # what one trigger takes of one application
+        for at, seq, event in sorted((r["us"], r["seq"], r["event"]) for r in rows):  # what one trigger takes of one application
             if machine.due() is not None and at >= machine.due():
-                out.append(machine.retry())
-            out.append(machine.take(at, seq, event))
+                yield _MADE(key[0], *machine.retry())
+            yield _MADE(key[0], *machine.take(at, seq, event))
         self._keep(machine, set_before)
-        yield self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         machine = self._machine()
         if machine.due() is not None and -(-machine.due() // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
             row = machine.retry()
             self.kept.update((machine.state, machine.attempts, machine.failed_at))
-            yield self._rows(key, [row])
+            yield _MADE(key[0], *row)
 
     def close(self) -> None:
         pass
@@ -104,7 +98,7 @@ def transitions(events: DataFrame, retry_after: str = "6 hours", late: str = "1
     """Transitions (TRANSITION) of a stream of events (sha256, at, seq, event). The session's state store must be RocksDB's (`stores`)."""
     micros = int(pd.Timedelta(retry_after).total_seconds() * 1_000_000)
     rows = events.select("sha256", F.col("at").cast("timestamp").alias("at"), "seq", "event").withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    out = rows.groupBy("sha256").transformWithStateInPandas(Processor(micros, most), outputStructType=_GIVEN, outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy("sha256").transformWithState(Processor(micros, most), outputStructType=_GIVEN, outputMode="Append", timeMode="EventTime")
     return out.withColumn("at", F.timestamp_micros("us")).select(*[x.split()[0] for x in TRANSITION.split(", ")])
 
 
