@@ -109,3 +109,18 @@ def test_whole_scan(spark):
     assert {k for k in got if k[0] != "all"} == {("sdk", "llm_sdk_reference")}
     assert {r["app_id"]: r["detected_providers"] for r in providers.collect()} == {"all": ["openai"], "sdk": ["anthropic"]}
     assert {r["app_id"]: r["confirmed"] for r in integration.collect()} == {"all": True, "sdk": False}
+
+
+def test_tests_that_a_text_does_not_mark_are_not_tried(spark):
+    from pyspark.sql import functions as F
+
+    from textquarry.functions import scalars as S
+
+    assert S.prompt_literals("[，、]") == sorted("，、")
+    assert S.prompt_literals("ab+c|dé") == S.anchors("ab+c|dé")
+    text = "You are a helpful assistant. Always answer in French. " * 3
+    rows = spark.createDataFrame([(text, 0), (text, -1), ("Eres un asistente útil. Siempre responde. " * 3, -1)], "t string, b bigint")
+    none, every, spanish = [r["s"] for r in rows.select(S.prompt_score(F.col("t"), F.lit("classes.dex"), bits=F.col("b")).alias("s")).collect()]
+    assert (none["opener"], none["role_language"], none["multi_sentence"]) == (0.0, 0.0, 0.0)
+    assert every["opener"] == spanish["opener"] == 0.35
+    assert every["score"] == pytest.approx(plain_score(text, "classes.dex")["score"], abs=1e-3)
