@@ -10,6 +10,7 @@ import pytest
 from textquarry.llm import collocations
 from textquarry.llm.collocations import collocations as mine
 from textquarry.llm.collocations import matches
+from textquarry.llm.exchange import Cells, hashed
 
 SCHEMA = "doc_id bigint, lang string, text string, shard string, body string, marks string, phrase string, words string, n string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,3 +130,19 @@ def test_short_names_differ():
     assert names[5] == "\n"
     assert len(set(names)) == 70_001
     assert [len(names[k]) for k in (0, 64, 65, 64 + 64**2)] == [1, 1, 2, 2]
+
+
+def test_a_shards_words_are_hashed_once_each(monkeypatch):
+    asked = []
+    monkeypatch.setattr(collocations, "hashed", lambda words, *a: asked.append(len(words)) or hashed(words, *a))
+    words, places, keys = collocations.phrases({"lang": "en", "body": " a b a b \n " + "a b " * 500}, 3)
+    assert max(asked) == 3
+    assert words.to_pylist() == ["a", "b", "a", "b", "\n", *["a", "b"] * 500]
+    assert [len(at) for at in places] == [1004, 3 + 999, 2 + 998]
+    assert len(set(keys[0].tolist())) == 6
+
+
+def test_cells_without_places_send_the_same():
+    keys = hashed([b"%d" % (k % 700) for k in range(2000)])
+    for long in (False, True):
+        assert list(Cells(keys, 5, long, False).rows()) == list(Cells(keys, 5, long).rows())

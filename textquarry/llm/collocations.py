@@ -21,19 +21,19 @@ are not used; an empty table gives no rows.
 
 from __future__ import annotations
 
-import collections
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import UPPER, slices, staged, table, text_or_empty
-from textquarry.llm.exchange import Cells, Keys, frequent, grain, hashed, text_bytes, windows
+from textquarry.llm.exchange import Cells, Keys, frequent, grain, hashed, taken, text_bytes, windows
 
 #: Pieces end at these; words within a piece are set apart by spaces and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -89,12 +89,17 @@ def sharded(docs: DataFrame, size: int) -> DataFrame:
     return staged(rows.mapInArrow(gather, "shard bigint, lang string, n_words bigint, body string"))
 
 
-def phrases(row: dict, most: int, low: bool = True) -> tuple[list[bytes], list[np.ndarray], Keys]:
+def listed(strings: pa.Array) -> list:
+    """to_pylist, several times as fast."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def phrases(row: dict, most: int) -> tuple[pa.DictionaryArray, list[np.ndarray], Keys]:
     """A shard's words, the places of its phrases of 1 to `most` words within pieces, by number of words, and their keys, which differ by language and number."""
-    words = row["body"].encode()[1:-1].split(b" ")
-    keys = hashed(words, low)
-    breaks = np.flatnonzero(keys[0] == hashed([BREAK])[0])
-    breaks = breaks[[words[k] == BREAK for k in breaks]]
+    words = pc.split_pattern(pa.array([row["body"]], pa.string()), " ").values[1:-1].dictionary_encode()
+    once, at = listed(words.dictionary.cast(pa.binary())), words.indices.to_numpy()
+    keys = taken(hashed(once, False), at)
+    breaks = np.flatnonzero(at == once.index(BREAK)) if BREAK in once else at[:0]
     places, found = [], []
     for n in range(1, most + 1):
         here = windows(keys, n)
@@ -103,10 +108,9 @@ def phrases(row: dict, most: int, low: bool = True) -> tuple[list[bytes], list[n
             off = breaks - k
             inside[off[(off >= 0) & (off < len(inside))]] = False
         at = np.flatnonzero(inside)
-        kind = hashed([f"{n} {row['lang']}".encode()])
         places.append(at)
-        found.append([None if x is None else x[at] ^ k for x, k in zip(here, kind, strict=True)])
-    return words, places, (np.concatenate([k[0] for k in found]), np.concatenate([k[1] for k in found]) if low else None)
+        found.append(here[0][at] ^ hashed([f"{n} {row['lang']}".encode()], False)[0])
+    return words, places, (np.concatenate(found), None)
 
 
 def matches(body: str, phrases: list[str]) -> np.ndarray:
@@ -128,6 +132,11 @@ def short_names(words: list[bytes]) -> Iterator[str]:
     return ("\n" if word == BREAK else next(names) for word in words)
 
 
+def spelt(words: pa.Array, numbers: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The phrases of n words at these places, with single spaces; a word is words[its number]."""
+    return pc.binary_join_element_wise(*(words.take(pa.array(numbers[at + k])) for k in range(n)), " ")
+
+
 def different(at: np.ndarray, n: int, numbers: np.ndarray) -> np.ndarray:
     """Places of phrases of n words in the order of their words' numbers, each phrase once."""
     at = at[np.lexsort([numbers[at + k] for k in reversed(range(n))])]
@@ -140,32 +149,35 @@ def phrase_counts(shards: DataFrame, most: int, least: int, blocks: int) -> Data
     """(lang, phrase, words, a) of all phrases of 1 to `most` words that occur `least` times or more in their language."""
     if least > 255:
         raise ValueError("sums in the exchange tell counts up to 255 apart")
-    marks = frequent(shards, lambda row: phrases(row, most, False)[2], least, blocks, False)
+    marks = frequent(shards, lambda row: phrases(row, most)[2], least, blocks, False)
 
-    def counted(lang: str, n: int, named: list[str], counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), pa.array(named, pa.string()), pa.array([n] * len(named), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
+    def counted(lang: str, named: pa.Array, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(named), pa.string()), named, pa.array(sizes), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 words, places, keys = phrases(row, most)
-                wanted, first = Cells(keys, blocks, False).distinct(row["marks"]), 0
+                wanted = np.split(Cells(keys, blocks, False).marked(row["marks"]), np.cumsum([len(at) for at in places])[:-1])
                 del keys
-                every = collections.Counter(words)
-                number = {word: k for k, (word, _) in enumerate(every.most_common())}
-                numbers = np.fromiter((number[word] for word in words), np.int32, len(words))
-                names = list(short_names(list(number)))
-                spelt = [names[k] for k in numbers.tolist()]
-                body = f" {' '.join(spelt)} "
-                del number, names
-                for n, at in enumerate(places, 1):
-                    of_size = different(at[wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + len(at))] - first], n, numbers)
-                    first += len(at)
-                    for k in range(0, len(of_size), AT_ONCE):
-                        part = of_size[k : k + AT_ONCE].tolist()
-                        # single words are parts of candidates, not candidates
-                        counts = [every[words[k]] for k in part] if n == 1 else matches(body, [" ".join(spelt[k : k + n]) for k in part])
-                        yield counted(row["lang"], n, [b" ".join(words[k : k + n]).decode() for k in part], counts)
+                every = np.bincount(words.indices)
+                often = np.argsort(-every, kind="stable")
+                texts, every = words.dictionary.take(pa.array(often)), every[often]
+                numbers = np.argsort(often).astype(np.int32)[words.indices]
+                names = pa.array(short_names(listed(texts.cast(pa.binary()))), pa.string())
+                body = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(numbers)], names.take(pa.array(numbers))), " ")[0].as_py() + " "
+                single = np.unique(numbers[places[0][wanted[0]]])
+                found = [different(at[some], n, numbers) for n, (at, some) in enumerate(zip(places[1:], wanted[1:], strict=True), 2)]
+                del words, places, wanted
+                for k in range(0, len(single), AT_ONCE):  # parts of candidates, not candidates
+                    here = single[k : k + AT_ONCE]
+                    yield counted(row["lang"], texts.take(pa.array(here)), np.ones(len(here), np.int32), every[here])
+                sizes, starts = np.repeat(np.arange(2, most + 1, dtype=np.int32), [len(at) for at in found]), np.concatenate([single[:0], *found])
+                for k in range(0, len(starts), AT_ONCE):
+                    here = sizes[k : k + AT_ONCE]
+                    parts = [(starts[k : k + AT_ONCE][here == n], n) for n in range(2, most + 1)]
+                    counts = matches(body, listed(pa.concat_arrays([spelt(names, numbers, at, n) for at, n in parts])))
+                    yield counted(row["lang"], pa.concat_arrays([spelt(texts, numbers, at, n) for at, n in parts]), here, counts)
 
     found = shards.join(marks, "shard").select("lang", "body", "marks").mapInArrow(scan, "lang string, phrase string, words int, a bigint")
     return staged(found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))

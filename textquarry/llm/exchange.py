@@ -91,14 +91,14 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
 
 
 class Cells:
-    """A shard's distinct keys in order, by block: a block is a range of keys' first bits."""
+    """A shard's distinct keys in order, by block: a block is a range of keys' first bits. Without `places`, what was given where isn't kept."""
 
-    def __init__(self, keys: Keys, blocks: int, long: bool):
+    def __init__(self, keys: Keys, blocks: int, long: bool, places: bool = True):
         high, low = keys
         self.blocks, self.long, self.keys = blocks, long, keys
         bits = 64 if long else min(64, SHORT + blocks.bit_length())
-        self.order = np.lexsort((low >> np.uint64(32), high)) if long else np.argsort(high)
-        sorted_ = high[self.order] >> np.uint64(64 - bits)
+        self.order = np.lexsort((low >> np.uint64(32), high)) if long else np.argsort(high) if places else None
+        sorted_ = (np.sort(high) if self.order is None else high[self.order]) >> np.uint64(64 - bits)
         self.new = np.ones(len(high), bool)
         self.new[1:] = sorted_[1:] != sorted_[:-1]
         if long:
@@ -132,13 +132,6 @@ class Cells:
         out[self.order] = self._wanted(marks)
         return out
 
-    def distinct(self, marks: list[dict] | None) -> np.ndarray:
-        """Where wanted keys were given, once for each key of 128 bits (or oftener, if two that share 64 bits are mixed)."""
-        high, low = taken(self.keys, self.order)
-        first = np.ones(len(high), bool)
-        first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        return np.sort(self.order[first & self._wanted(marks)])
-
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -161,7 +154,7 @@ def frequent(rows: DataFrame, keys: Callable[[dict], Keys], least: int, blocks:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                out = list(Cells(keys(row), blocks, long).rows())
+                out = list(Cells(keys(row), blocks, long, False).rows())
                 if out:
                     block, n, high, low, counts = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out), pa.int64()), pa.array(block, pa.int32()), pa.array(n, pa.int32()), pa.array(high, pa.binary()), pa.array(low, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "n", "high", "low", "counts"])
