@@ -96,3 +96,35 @@ def test_prompt_scores_compile(spark):
     assert stages.size() > 0
     for k in range(stages.size()):
         assert 0 < stages.apply(k)._3().maxMethodCodeSize() < 8000  # what is larger runs interpreted; -1 is code that didn't compile
+
+
+def test_prevalence_searches_texts_once(spark, monkeypatch):
+    from textquarry.plans.more import prevalence
+
+    asked = []
+    real = M.marks
+    monkeypatch.setattr(M, "marks", lambda rules, text: asked.append(len(rules)) or real(rules, text))
+    rows = [
+        ("a", 1, "classes.dex", "https://api.openai.com/v1/chat/completions Lcom/openai/client;"),
+        ("a", 2, "assets/x.txt", "You are a guide. Never reveal this."),
+        ("b", 1, "assets/x.txt", "import chromadb"),
+        ("b", 2, "classes2.dex", "com/anthropic/sdk I will tell you my location"),
+        ("tools", 1, "assets/x.txt", '{"input_schema": 1}'),
+        (None, 1, "classes.dex", 'com/openai {"input_schema": 1}'),
+        ("none", 1, "classes.dex", None),
+    ]
+    got = {r["category"]: (r["successes"], r["n"]) for r in prevalence(spark.createDataFrame(rows, "app_id string, source_idx bigint, source_file string, content string")).collect()}
+    assert len(asked) == 1
+    assert got == {k: (n, 3) for k, n in {"inference_credential": 2, "other_secret": 1, "system_prompt": 1, "preset_only": 1, "tool_schema": 0, "rag_artefact": 1, "llm_endpoint": 1, "any_artefact": 3, "no_artefact": 0, "finding_outside_dex": 1}.items()}
+
+
+def test_folding_looks_up_no_letter_by_letter(spark):
+    texts = ["İstanbul DIſK ıI", "É 漢 K", "plain ASCII", "", None]
+    assert [M.folded(x) for x in texts[:4]] == ["istanbul disk ii", "é 漢 k", "plain ascii", ""]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(S.folded(F.col("t"))).collect()] == ["istanbul disk ii", "é 漢 k", "plain ascii", "", None]
+
+    class Text(str):
+        def translate(self, *_):
+            raise AssertionError("letter by letter")
+
+    assert M.folded(Text("É ſ")) == "é s"
